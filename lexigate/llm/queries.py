@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import decontaminate, near_dedup
+from lexigate.llm import byte_bpe, decontaminate, near_dedup, quality_rules, token_counts
+from lexigate.llm.vocabularies import PATTERN, vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, digest=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op6_byte_bpe, op8_quality_rules, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
