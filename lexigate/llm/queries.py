@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import byte_bpe, decontaminate, near_dedup, quality_rules, token_counts
+from lexigate.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules, token_counts
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 
 
@@ -31,11 +31,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    return left.select("doc_id", "n_removed", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op6_byte_bpe, op8_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op6_byte_bpe, op8_quality_rules, op9_line_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
