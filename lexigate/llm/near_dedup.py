@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
 Each distinct shingle set gets a signature of ``SYMBOLS`` b-bit MinHash symbols. The
-first ``CHUNKS * WIDTH`` symbols are split into chunks. By the pigeonhole principle two
+first ``CHUNKS * WIDTH`` of them, kept with more bits, are split into chunks. By the pigeonhole principle two
 signatures with at most ``CHUNKS * (ERRORS + 1) - 1`` differing symbols there differ in
 at most ``ERRORS`` symbols of some chunk, so each chunk is indexed once for every choice
 of ``ERRORS`` symbols to leave out: the pair is then sure to meet under an equal key.
@@ -28,9 +28,10 @@ from lexigate.llm._buckets import Side, bucket_components, shared_buckets
 from lexigate.llm._session import cut, prepare
 
 SHINGLE = 5
-BITS = 8
-SYMBOLS = 128
-CHUNKS, WIDTH, ERRORS = 8, 5, 1
+#: The indexed part: chunks of 8-bit symbols.
+INDEX_BITS, CHUNKS, WIDTH, ERRORS = 8, 8, 5, 1
+#: The compared part: all symbols, of 4 bits each.
+BITS, SYMBOLS = 4, 512
 ROUNDS = 2
 
 _rng = np.random.default_rng(7)
@@ -79,6 +80,7 @@ def _sign(shingle: int):
             for a, b, flat, offsets in _sets(batch, shingle):
                 size = np.diff(offsets)
                 some = np.flatnonzero(size)
+                lead = np.zeros((b - a, CHUNKS * WIDTH), np.uint8)
                 sym = np.zeros((b - a, SYMBOLS), np.uint8)
                 if len(some):
                     x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
@@ -86,24 +88,20 @@ def _sign(shingle: int):
                     for k in range(SYMBOLS):
                         low = np.minimum.reduceat(x * _A[k] + _B[k], at)
                         low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                        sym[some, k] = low >> np.uint32(24)
-                wide = sym.astype(np.int64)
-                keys = np.empty((b - a, len(_KEPT)), np.int64)
-                for k, kept in enumerate(_KEPT):
-                    v = np.full(b - a, k, np.int64)
-                    for i in kept:
-                        v = (v << BITS) | wide[:, i]
-                    keys[:, k] = v
+                        sym[some, k] = low >> np.uint32(28)
+                        if k < CHUNKS * WIDTH:
+                            lead[some, k] = (low >> np.uint32(20)) & np.uint32(255)
+                packed = sym[:, 0::2] | (sym[:, 1::2] << 4)
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
                         pa.array(size, pa.int64()),
                         _set_ids(flat, offsets),
-                        T.int_lists(sym.view(np.int64).reshape(-1), np.arange(n + 1) * (SYMBOLS // 8)),
-                        T.int_lists(keys.reshape(-1), np.arange(n + 1) * len(_KEPT)),
+                        T.int_lists(packed.view(np.int64).reshape(-1), np.arange(n + 1) * (SYMBOLS * BITS // 64)),
+                        T.int_lists(lead.view(np.int64).reshape(-1), np.arange(n + 1) * (CHUNKS * WIDTH // 8)),
                     ],
-                    ["doc_id", "n_shingles", "cid", "sig", "keys"],
+                    ["doc_id", "n_shingles", "cid", "sig", "lead"],
                 )
 
     return run
@@ -119,17 +117,29 @@ def _hashes(shingle: int):
 
 
 def _differing(x: Column, y: Column) -> Column:
-    """Symbols that differ: fold each byte of the XOR into its lowest bit and count bits."""
+    """Symbols that differ: fold each 4 bits of the XOR into the lowest and count bits."""
     total = None
-    for i in range(SYMBOLS // 8):
+    for i in range(SYMBOLS * BITS // 64):
         z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
-        for k in (4, 2, 1):
+        for k in (2, 1):
             z = z.bitwiseOR(F.shiftrightunsigned(z, k))
-        n = F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+        n = F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
         total = n if total is None else total + n
     return total
 
 
+def _keys(lead: Column) -> Column:
+    """One key for each chunk and choice of symbols to leave out: its number and the kept symbols."""
+    symbol = [F.shiftrightunsigned(F.get(lead, F.lit(i // 8)), 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(CHUNKS * WIDTH)]
+    out = []
+    for number, kept in enumerate(_KEPT):
+        key = F.lit(number << (INDEX_BITS * len(kept))).cast("bigint")
+        for place, i in enumerate(kept):
+            key = key.bitwiseOR(F.shiftleft(symbol[i], INDEX_BITS * place))
+        out.append(key)
+    return F.array(*out)
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Group documents whose word-shingle sets have a Jaccard similarity of threshold per cent.
 
@@ -144,10 +154,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
     prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, sig array<bigint>, keys array<bigint>"))
+    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, sig array<bigint>, lead array<bigint>"))
 
-    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), F.explode("keys").alias("key"))))
+    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("lead").alias("lead")))
+    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), F.explode(_keys(F.col("lead"))).alias("key"))))
     needed = cut(classes.join(buckets.select(F.col("node").alias("cid")).distinct(), "cid", "left_semi"))
 
     owners = needed.select("rep").distinct()
@@ -164,7 +174,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
         common = F.size(F.array_intersect("ia", "ib"))
         return both.where(100 * common >= threshold * (F.size("ia") + F.size("ib") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", "sig", "keys"), near, confirm, ROUNDS)
+    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", "sig", _keys(F.col("lead")).alias("keys")), near, confirm, ROUNDS)
 
     nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality_rules, token_counts
+from lexigate.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, quality_rules, token_counts
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    """Rows whose crc32 of the doc_id as text leaves this remainder; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -21,11 +26,27 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _held_out(4, 2)
+    net = language_id.fit(docs.select("doc_id", "text", "lang"), ~held_out)
+    found = language_id.identify(docs, net, F.col("doc_id"))
+    return found.withColumnRenamed("carry", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, digest=True)
     return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = _held_out(3, 1)
+    model = pairwise_quality.fit(docs.where(~held_out).join(labels.where(~held_out), "doc_id").select("text", F.col("quality").alias("label")))
+    scored = pairwise_quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -43,5 +64,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op6_byte_bpe, op8_quality_rules, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op6_byte_bpe, op7_pairwise_quality, op8_quality_rules, op9_line_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
