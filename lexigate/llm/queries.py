@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, token_counts
+from lexigate.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, token_counts
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 
 
@@ -34,6 +34,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("carry", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _held_out(7, 2)
+    scored = context_tree.code_lengths(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents")))
 
@@ -68,5 +74,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op5_personal_data, op6_byte_bpe, op7_pairwise_quality, op8_quality_rules, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op4_context_tree, op5_personal_data, op6_byte_bpe, op7_pairwise_quality, op8_quality_rules, op9_line_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
