@@ -26,6 +26,8 @@ from lexigate.llm._session import prepare
 FIRST = 0x4E00
 #: Distinct pre-tokens that a worker remembers.
 CACHE = 300_000
+#: Rows of one output batch.
+ROWS = 200
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -105,30 +107,32 @@ def _code(path: str, pattern: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, pattern)
         for batch in batches:
-            n, ids, back = [], [], []
-            for text in T.texts(batch).to_pylist():
-                coded = codec.encode(text)
-                raw = codec.decode(coded)
-                n.append(len(coded) // 4)
-                ids.append(hashlib.sha256(coded).hexdigest() if digest else np.frombuffer(coded, "<u4").astype(np.int32))
-                back.append(hashlib.sha256(raw).hexdigest() if digest else raw)
-            kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, kinds[0]), pa.array(back, kinds[1])], ["carry", "n_tokens", "ids", "decoded"])
+            texts = T.texts(batch)
+            for at in range(0, len(texts), ROWS):
+                n, ids, back = [], [], []
+                for text in texts.slice(at, ROWS).to_pylist():
+                    coded = codec.encode(text)
+                    raw = codec.decode(coded)
+                    n.append(len(coded) // 4)
+                    ids.append(hashlib.sha256(coded).hexdigest() if digest else np.frombuffer(coded, "<u4").astype(np.int32))
+                    back.append(hashlib.sha256(raw).hexdigest() if digest else raw)
+                kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(ids, kinds[0]), pa.array(back, kinds[1])], ["carry", "n_tokens", "ids", "decoded"])
 
     return run
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, carry: str = "doc_id", digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> DataFrame:
     """Encode each whole text, and decode the ids again.
 
     Null texts are empty: no ids, no bytes. Rows are returned one for one, repeated ones
-    too; an empty table gives an empty result. ``carry`` names the column to keep.
+    too; an empty table gives an empty result.
 
-    Returns carry's column, n_tokens, ids (array<int>) and decoded (binary); with
+    Returns doc_id, n_tokens, ids (array<int>) and decoded (binary); with
     ``digest`` the SHA-256 of either instead, ids as little-endian unsigned 32-bit integers.
     """
     prepare(docs.sparkSession)
-    source = docs.select(F.col(f"`{carry}`").alias("carry"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").alias("carry"), F.col("text").cast("string").alias("text"))
     kind = source.schema["carry"].dataType.simpleString()
     types = "ids string, decoded string" if digest else "ids array<int>, decoded binary"
-    return source.mapInArrow(_code(path, pattern, digest), f"carry {kind}, n_tokens bigint, {types}").withColumnRenamed("carry", carry)
+    return source.mapInArrow(_code(path, pattern, digest), f"carry {kind}, n_tokens bigint, {types}").withColumnRenamed("carry", "doc_id")
