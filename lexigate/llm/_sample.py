@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 PARTS = 64
 
 
-def bounded(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """At most ``size`` distinct (group, text) rows of each group: those with the least text hash.
+def bounded(rows: DataFrame, group: str, size: int, by: str = "text") -> DataFrame:
+    """At most ``size`` values of ``by`` in each group: (group, h), h the hash of the value.
 
-    The choice depends on the texts alone. Ranking goes by parts first, so no task gets
-    more of a group than its share and ``size * PARTS`` rows. Returns group, text, h.
+    Those with the least hashes are chosen, so the choice is the same at each run. Ranking
+    goes by parts first, so no task gets more of a group than its share and ``size * PARTS``
+    rows. The result may be broadcast: it has ``size`` rows for each group at most.
     """
-    rows = rows.select(group, "text", F.xxhash64("text").alias("h"))
-    local = rows.select(group, "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    local = rows.select(group, F.xxhash64(by).alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
     local = local.withColumn("place", F.row_number().over(Window.partitionBy(group, "part").orderBy("h"))).where(F.col("place") <= size)
-    chosen = local.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("place") <= size)
-    return rows.join(chosen.select(group, "h"), [group, "h"], "left_semi").dropDuplicates([group, "h"])
+    best = local.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("place") <= size)
+    return best.select(group, "h")

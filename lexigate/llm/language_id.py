@@ -219,7 +219,8 @@ def fit(docs: DataFrame, train_rows: Column, lang: str = "lang") -> Network:
     """
     pick = docs.where(train_rows & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}"))
     pick = pick.select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = bounded(pick, "lang", SAMPLE).orderBy("h", "lang").collect()  # SAMPLE rows for each language
+    chosen = F.broadcast(bounded(pick, "lang", SAMPLE))  # SAMPLE rows for each language
+    rows = pick.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

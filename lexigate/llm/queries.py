@@ -52,7 +52,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = _held_out(3, 1)
-    model = pairwise_quality.fit(docs.where(~held_out).join(labels.where(~held_out), "doc_id").select("text", F.col("quality").alias("label")))
+    model = pairwise_quality.fit(docs.where(~held_out), labels.where(~held_out).withColumnRenamed("quality", "label"))
     scored = pairwise_quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
