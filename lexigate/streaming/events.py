@@ -23,9 +23,10 @@ def sessions(events: DataFrame) -> DataFrame:
 
 
 def replay(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream."""
+    """The events table as a stream; watermarks need instants, so ts becomes one."""
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true")
+    return source.parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
