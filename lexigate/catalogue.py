@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigate.operators import documents, gate_queries, quality, relational
+from lexigate.operators import documents, gate_queries, quality, relational, text_queries
 from lexigate.plans import audit
 from lexigate.streaming import events
 
-_MODULES = (relational, quality, gate_queries, documents, audit, events)
+_MODULES = (relational, quality, gate_queries, documents, text_queries, audit, events)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
