@@ -22,7 +22,27 @@ NEGATION_MARKERS = {
     "fr": ["ne", "pas", "aucun", "jamais", "rien", "personne", "non"],
     "es": ["no", "nunca", "jamás", "tampoco", "nadie", "nada", "ningún"],
     "nl": ["niet", "geen", "nooit", "nee", "noch"],
+    "sv": ["inte", "ingen", "aldrig", "ej", "inga"],
+    "da": ["ikke", "ingen", "aldrig", "nej"],
+    "fi": ["ei", "älä", "ettei", "eikä"],
+    "pl": ["nie", "żaden", "nigdy", "ani"],
+    "el": ["δεν", "μην", "όχι", "ποτέ", "ούτε"],
+    "cs": ["ne", "žádný", "nikdy", "ani"],
+    "hu": ["nem", "ne", "soha", "sem", "semmilyen"],
+    "pt": ["não", "nunca", "jamais", "nenhum", "nenhuma", "nem", "nada", "ninguém", "proibido", "contraindicado", "evitar"],
+    "zh": ["不", "没有", "没", "无", "非", "未", "勿", "禁止", "禁忌", "切勿", "不可", "不得", "不要", "不能", "不应"],
+    "ko": ["않", "없", "못", "안", "금지", "금기", "불가", "하지 마", "사용하지", "복용하지", "투여하지", "아니", "말것", "마십시오"],
+    "ar": ["لا", "لم", "لن", "ليس", "غير", "عدم", "إياك", "تحذير", "ممنوع"],
+    "ja": ["ない", "ません", "ぬ", "ず", "禁忌", "禁止", "使用しない"],
 }
+#: Source words that negate, more for the languages with a wider list.
+WIDE_NEGATION = r"(?i)\b(no|not|never|none|neither|nor|cannot|don't|won't|avoid|prohibited|contraindicated)\b"
+WIDE = ["pt", "zh", "ko", "ar", "ja"]
+#: Traditional characters and their simplified forms; European terms and their Brazilian forms.
+TRADITIONAL = {"藥": "药", "醫": "医", "療": "疗", "處": "处", "與": "与", "對": "对", "進": "进", "開": "开"}
+EUROPEAN = {"doente": "paciente"}
+#: Digits of other scripts, 0 to 9.
+DIGITS = {"ar": "٠١٢٣٤٥٦٧٨٩", "ja": "０１２３４５６７８９"}
 NEGATIVE_MARKERS = {
     "en": ["not", "never", "bad", "worst", "terrible", "fail"],
     "fr": ["pas", "jamais", "mauvais", "pire", "terrible", "échec"],
@@ -37,13 +57,23 @@ PII_SHAPES = {
     "CREDIT_CARD": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
 }
 INJECTION = {
+    "ignore_previous": r"(?i)ignore\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|above)\s+(?:instructions?|prompts?|text|messages?)",
+    "disregard_above": r"(?i)disregard\s+(?:all\s+|the\s+|any\s+)?(?:previous\s+|above\s+|prior\s+)?(?:instructions?|prompts?|text|context)",
+    "forget_instructions": r"(?i)forget\s+(?:all\s+|the\s+)?(?:everything|previous|above|prior|earlier)\b",
+    "you_are_now": r"(?i)you\s+are\s+now\s+(?:a\s+|an\s+|the\s+)",
     "system_prompt_ref": r"(?i)system\s+prompt",
     "jailbreak": r"(?i)\bjailbreak\b",
     "prompt_injection_literal": r"(?i)prompt\s+injection",
-    "you_are_now": r"(?i)you\s+are\s+now\s+(?:a\s+|an\s+|the\s+)",
+    "reveal_prompt": r"(?i)(?:reveal|repeat|print|show|output|expose)\s+(?:me\s+)?(?:your\s+|the\s+)?(?:system\s+|initial\s+|original\s+)?(?:prompt|instructions?)",
     "new_instructions_marker": r"(?i)\bnew\s+instructions?\s*:",
     "role_tag": r"(?i)</?\s*(?:system|assistant|user)\s*>",
     "inst_tag": r"(?i)\[/?\s*(?:INST|SYS|SYSTEM)\s*\]",
+    "instead_directive": r"(?i)\binstead[,\s]+(?:output|say|write|respond|print|translate|return|reply)\b",
+    "act_as_model": r"(?i)act\s+as\s+(?:an?\s+)?(?:ai|assistant|language\s+model|llm|dan|chatbot|developer\s+mode)",
+    "override_directive": r"(?i)override\s+(?:your\s+|the\s+|all\s+)?(?:previous\s+)?(?:instructions?|settings?|rules?|safety|guardrails?)",
+    "begin_response_with": r"(?i)begin\s+your\s+(?:response|answer|reply|output)\s+with",
+    "you_must_output": r"(?i)you\s+must\s+(?:output|respond|reply|say|write|return)\b",
+    "translate_as_literal": r"(?i)translate\s+(?:this|it|the\s+\w+)\s+as\s+[\"']",
 }
 #: Severity by the first word that a message holds, in this order.
 SEVERITY_WORDS = [
@@ -140,13 +170,40 @@ def complexity(source: Column) -> Column:
     return _one(kind.isNotNull(), "COMPLEXITY_WARNING", F.concat(F.lit("Complexity: "), kind, F.lit(" for review.")))
 
 
+def resolve_lang(lang: str) -> str:
+    """Two-letter code of a language tag."""
+    return lang.lower().split("-")[0]
+
+
 def negation(source: Column, target: Column, lang: str) -> Column:
-    """The source negates and the target holds none of the language's markers."""
-    markers = NEGATION_MARKERS[lang]
+    """The source negates and the target holds none of the language's markers, as substrings."""
+    lang = resolve_lang(lang)
     held = F.lit(False)
-    for m in markers:
+    for m in NEGATION_MARKERS[lang]:
         held = held | F.lower(target).contains(m)
-    return _one(source.rlike(SOURCE_NEGATION) & ~held, "NEGATION_FLIP", F.lit("Negation lost."))
+    return _one(source.rlike(WIDE_NEGATION if lang in WIDE else SOURCE_NEGATION) & ~held, "NEGATION_FLIP", F.lit("Negation lost."))
+
+
+def script_numbers(source: Column, target: Column, lang: str) -> Column:
+    """Numbers of the source in neither Western nor the language's digits, as substrings."""
+    other = lambda n: F.translate(n, "0123456789", DIGITS[resolve_lang(lang)])
+    gone = F.filter(F.regexp_extract_all(source, F.lit(NUMBER), F.lit(0)), lambda n: ~F.contains(target, n) & ~F.contains(target, other(n)))
+    return F.transform(gone, lambda n: _defect("NUMERIC_MISMATCH", F.concat(F.lit("Number "), n, F.lit(" missing in target."))))
+
+
+def cjk_punctuation(target: Column, lang: str) -> Column:
+    """Western comma or full stop where the script has its own."""
+    comma, script = ("、", r"[\u3040-\u30ff\u4e00-\u9fff]") if resolve_lang(lang) == "ja" else ("，", r"[\u4e00-\u9fff]")
+    has = target.rlike(script)
+    return F.concat(
+        _one(has & target.contains(",") & ~target.contains(comma), "FORMATTING", F.lit("Punctuation: comma.")),
+        _one(has & target.rlike(r"(?<!\d)\.|\.(?!\d)") & ~target.contains("。"), "FORMATTING", F.lit("Punctuation: full stop.")),
+    )
+
+
+def variants(target: Column, pairs: dict[str, str]) -> Column:
+    """Forms of the other variant without the right one: TRADITIONAL or EUROPEAN."""
+    return F.concat(*[_one(F.lower(target).contains(a) & ~F.lower(target).contains(b), "VARIANT_MISMATCH", F.lit(f"Variant {a}, use {b}.")) for a, b in pairs.items()])
 
 
 def sentiment(source: Column, target: Column, lang: str) -> Column:

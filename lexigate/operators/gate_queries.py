@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "gate_negation_fr": _out(f"SELECT conv_id, turn, CASE WHEN regexp_matches(source, '(?i)\\b(no|not|never|none|neither|nor|cannot|don''t|won''t)\\b') AND NOT {_holds('target', gates.NEGATION_MARKERS['fr'])} THEN 'Negation lost.' END AS message FROM pairs", "NEGATION_FLIP", "CRITICAL"),
     "gate_sentiment_es": _out(f"SELECT conv_id, turn, CASE WHEN {_holds('source', gates.NEGATIVE_MARKERS['en'])} <> {_holds('target', gates.NEGATIVE_MARKERS['es'])} THEN 'Sentiment shift.' END AS message FROM pairs", "SENTIMENT_SHIFT", "MAJOR"),
     "gate_glossary": f"WITH {_PAIRS}, terms AS (SELECT DISTINCT lower(substr(n_name, 1, 2)) AS term FROM nation) SELECT conv_id, turn, term FROM pairs JOIN terms ON contains(lower(source), term) AND NOT contains(lower(target), term)",
-    "gate_injection": "SELECT page_id, label FROM (" + " UNION ALL ".join(f"SELECT page_id, '{k}' AS label FROM pages WHERE regexp_matches(html, '{v}')" for k, v in gates.INJECTION.items()) + ") t",
+    "gate_injection": "SELECT page_id, label FROM (" + " UNION ALL ".join("SELECT page_id, '{}' AS label FROM pages WHERE regexp_matches(html, '{}')".format(k, v.replace("'", "''")) for k, v in gates.INJECTION.items()) + ") t",
     "pii_counts_by_source": r"SELECT source, count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}')) AS emails, count(*) FILTER (WHERE regexp_matches(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS addresses FROM documents GROUP BY source",
     "gate_placeholders_multiset": "WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]')) AS v FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, CAST(floor(length(text) / 2.0) AS BIGINT)), '[0-9]')) AS v FROM documents), a AS (SELECT doc_id, v, count(*) AS n FROM s GROUP BY doc_id, v), b AS (SELECT doc_id, v, count(*) AS n FROM t GROUP BY doc_id, v) SELECT a.doc_id, '[' || a.v || ']' AS value, a.n - coalesce(b.n, 0) AS lost FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.v = b.v WHERE a.n > coalesce(b.n, 0)",
 }
