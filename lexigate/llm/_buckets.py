@@ -33,7 +33,8 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     component need no comparison. A pair is taken from the first bucket that it shares.
 
     The first centre of a bucket is the member that meets most others over all buckets: the
-    document that a family was copied from meets nearly all of it. Later ones are random.
+    document that a family was copied from meets nearly all of it. Later ones are random,
+    but the same in all buckets that they share, so few pairs come of them.
     """
     columns = [c for c in nodes.columns if c != "node"]
 
@@ -48,7 +49,7 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     meets = buckets.join(size, "key").groupBy("node").agg(F.sum("size").alias("meets"))
     labelled = cut(buckets.join(meets, "node").withColumn("comp", F.col("node")))
     for turn in range(rounds):
-        order = F.struct(-F.col("meets"), "node") if not turn else F.struct(F.xxhash64("node", "key", F.lit(turn)), "node")
+        order = F.struct(-F.col("meets"), "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
         centre = labelled.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("centre"))
         pairs = labelled.join(centre, "key").where("comp <> centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
         close = pairs.join(side("a"), "a").join(side("b"), "b").where(near(of("a"), of("b"))).select("a", "b")

@@ -44,10 +44,10 @@ def max_distance(threshold: int) -> int:
     """Differing symbols (of SYMBOLS) up to which a pair is a candidate.
 
     At the similarity threshold a symbol differs with probability (1 - t)(1 - 2**-b);
-    5.5 standard deviations above that mean miss fewer than one pair in ten million.
+    4.75 standard deviations above that mean miss about one such pair in a million.
     """
     p = (1 - threshold / 100) * (1 - 2.0**-BITS)
-    return int(np.ceil(SYMBOLS * p + 5.5 * np.sqrt(SYMBOLS * p * (1 - p))))
+    return int(np.ceil(SYMBOLS * p + 4.75 * np.sqrt(SYMBOLS * p * (1 - p))))
 
 
 def _sets(batch: pa.RecordBatch, shingle: int):
