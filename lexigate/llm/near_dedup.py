@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
 def drop_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """Keep one document of each near-duplicate group: one row with its least doc_id.
 
-    Rows that repeat an id keep one row; rows without an id are kept.
+    Rows that repeat both id and text keep one row; rows without an id are kept.
     """
     kept = near_duplicates(docs, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
