@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts in which a group's rows are ranked before its best are ranked together.
-PARTS = 64
+#: Steps of the share that is kept.
+STEPS = 1 << 20
 
 
 def bounded(rows: DataFrame, group: str, size: int, by: str = "text") -> DataFrame:
-    """At most ``size`` values of ``by`` in each group: (group, h), h the hash of the value.
+    """About ``size`` values of ``by`` of each group at most: (group, h), h the hash of the value.
 
-    Those with the least hashes are chosen, so the choice is the same at each run. Ranking
-    goes by parts first, so no task gets more of a group than its share and ``size * PARTS``
-    rows. The result may be broadcast: it has ``size`` rows for each group at most.
+    Distinct values are counted, and those kept whose hash lies in the share of all hashes that
+    gives ``size``; a group with fewer values keeps all. The choice is the same at each run, no
+    task gathers a group, and the result may be broadcast: it has about ``size`` rows a group.
     """
-    local = rows.select(group, F.xxhash64(by).alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
-    local = local.withColumn("place", F.row_number().over(Window.partitionBy(group, "part").orderBy("h"))).where(F.col("place") <= size)
-    best = local.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("place") <= size)
-    return best.select(group, "h")
+    values = rows.select(group, F.xxhash64(by).alias("h")).distinct()
+    share = values.groupBy(group).agg((F.lit(size) / F.count("*")).alias("share"))
+    kept = values.join(share, group).where(F.pmod("h", F.lit(STEPS)) < F.col("share") * STEPS)
+    return kept.select(group, "h")

@@ -24,7 +24,7 @@ from lexigate.llm._session import prepare
 #: Bytes that one run of the recurrence reads; states start anew in each window.
 WINDOW = 48
 HIDDEN = 6
-#: Labelled documents of each language that the network is fitted on, at most.
+#: Labelled documents of each language that the network is fitted on, about, at most.
 SAMPLE = 600
 #: Windows taken from each of them, at most.
 WINDOWS_EACH = 12
