@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder and go on from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame as Parquet under the checkpoint folder and go on from there.
+
+    The plan runs once, and what it leaves is columnar; a checkpoint() would run it twice and
+    keep plain rows. Files live as long as the folder: a cluster clears it with the job.
+    """
+    spark = prepare(df.sparkSession)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -3,8 +3,8 @@
 Lines are normalised (words of letters and digits, A-Z lower-cased, digits to 0), equal
 ones are one node, and each node has a 64-bit SimHash of its words. By the pigeonhole
 principle two hashes at most three bits apart agree in one of four 16-bit blocks; nodes
-meet under (block, value, length band), every node in its own band and the next, so
-that lengths a tenth apart still meet. Pairs that are near in SimHash are confirmed by
+meet under (block, value, length band), a node near the end of its band also in the
+next, so that lengths a tenth apart still meet. Pairs that are near in SimHash are confirmed by
 edit similarity, and each connected group keeps its first occurrence.
 
 Small buckets are joined pair by pair. Large ones (many variants of one line) go through
@@ -13,6 +13,7 @@ centres and components, so they are never expanded into all their pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,12 @@ MIN_WORDS = 5
 DISTANCE, BLOCKS = 3, 4
 #: Edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.9
+#: Ratio of lengths within a band.
+BAND = 1.5
+#: Bits of the filter that picks candidate lines where they are read.
+FILTER_BITS = 1 << 24
 #: Nodes of a bucket up to which it is joined pair by pair.
-SMALL = 64
+SMALL = 200
 
 _ZERO_DIGITS = T.LOWER.copy()
 _ZERO_DIGITS[0x30:0x3A] = 0x30
@@ -91,26 +96,84 @@ def _sign(min_words: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised texts of the wanted lines; columns: text, numbers."""
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Levenshtein distance by bit-parallel columns (Myers 1999, Hyyro 2003); over ``most``, most + 1."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = mask, 0, len(a), len(b)
+    for c in b:
+        same = where.get(c, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        plus, minus = down | (mask & ~(horizontal | up)), up & horizontal
+        left -= 1
+        score += 1 if plus & high else -1 if minus & high else 0
+        if score - left > most:
+            return most + 1
+        plus = plus << 1 | 1
+        up, down = (minus << 1 | (mask & ~(vertical | plus))) & mask, plus & vertical & mask
+    return score
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines with enough edit similarity; columns: a, b, la, lb."""
     for batch in batches:
-        wanted = batch.column(1)
-        for a, b, data, offsets in T.blocks(batch):
-            norm, w, _, _, row, number, first = _lines(data, offsets)
-            line = _ids(T.span_hash(norm, w.start, w.end), first)
-            base = np.searchsorted(row, np.arange(b - a))
-            nodes, texts = [], []
-            for r in range(b - a):
-                for k in wanted[a + r].as_py():
-                    i = int(base[r]) + k
-                    if i < len(row) and row[i] == r and number[i] == k:
-                        nodes.append(line[i])
-                        texts.append(b" ".join(norm[w.start[j] : w.end[j]].tobytes() for j in range(first[i], first[i + 1])).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(texts, pa.string())], ["node", "line"])
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            most = int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
+            good.append(edit_distance(x, y, most) <= most)
+        mask = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+
+
+def _texts(words: np.ndarray):
+    """Normalised texts of the lines whose node is in a filter of FILTER_BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in T.blocks(batch):
+                norm, w, _, _, _, _, first = _lines(data, offsets)
+                line = _ids(T.span_hash(norm, w.start, w.end), first)
+                bit = (line & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                wanted = np.flatnonzero(((words[bit >> 6] >> (bit & 63)) & 1).astype(bool) & (np.diff(first) > 0))
+                wanted = wanted[np.unique(line[wanted], return_index=True)[1]]
+                texts = [b" ".join(norm[w.start[j] : w.end[j]].tobytes() for j in range(first[i], first[i + 1])).decode() for i in wanted.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(line[wanted].view(np.int64)), pa.array(texts, pa.string())], ["node", "line"])
+
+    return run
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each node, as FILTER_BITS / 64 words: combined by Spark."""
+    place = F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.expr(f"shiftleft(1L, cast((node & {FILTER_BITS - 1}) & 63 as int))")
+    rows = nodes.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows.column("i").to_numpy()] = rows.column("w").to_numpy()
+    return out
 
 
 def _band(n: Column) -> Column:
-    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(-np.log(SIMILARITY))).cast("bigint")
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(BAND)).cast("bigint")
+
+
+def _top_band(n: Column) -> Column:
+    """The band of the longest line that may still be similar."""
+    return _band(n / SIMILARITY)
 
 
 def _near(x: Side, y: Side) -> Column:
@@ -126,6 +189,14 @@ def _first_meeting(key: Column, x: Side, y: Side) -> Column:
     return (key.bitwiseAND(F.lit(0xFFF)) == F.greatest(_band(x("n")), _band(y("n")))) & differs
 
 
+def _keys(sim: Column, n: Column) -> Column:
+    """(block, value, band) of a node: its own band, and the next where a similar line may lie there."""
+    value = [F.lit(j << 28).cast("bigint").bitwiseOR(F.shiftleft(F.shiftrightunsigned(sim, 16 * j).bitwiseAND(F.lit(0xFFFF)), 12)) for j in range(BLOCKS)]
+    own = F.array(*[v.bitwiseOR(_band(n)) for v in value])
+    both = F.array(*[v.bitwiseOR(b) for v in value for b in (_band(n), _band(n) + 1)])
+    return F.when(_top_band(n) > _band(n), both).otherwise(own)
+
+
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, first): every judged line, and whether it is the one its group keeps."""
     prepare(docs.sparkSession)
@@ -134,34 +205,30 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = cut(source.mapInArrow(_sign(min_words), f"doc_id {kind}, line_no bigint, node bigint, sim bigint, n int"))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sim").alias("sim"), F.first("n").alias("n")))
 
-    band = _band(F.col("n"))
-    value = [F.lit(j << 28).cast("bigint").bitwiseOR(F.shiftleft(F.shiftrightunsigned("sim", 16 * j).bitwiseAND(F.lit(0xFFFF)), 12)) for j in range(BLOCKS)]
-    keys = F.array(*[v.bitwiseOR(b) for v in value for b in (band, band + 1)])
+    keys = _keys(F.col("sim"), F.col("n"))
     met = nodes.select("node", "sim", "n", F.explode(keys).alias("key")).repartition("key")
     size = met.groupBy("key").agg(F.count("*").alias("c"))
     small = met.join(size.where((F.col("c") > 1) & (F.col("c") <= SMALL)).select("key"), "key", "left_semi")
+    large = met.join(size.where(F.col("c") > SMALL).select("key"), "key", "left_semi")
     x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "sim", "n")]) for s in "ab")
     of = lambda s: lambda c: F.col(f"{c}_{s}")
     close = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & _near(of("a"), of("b")) & _first_meeting(x["key"], of("a"), of("b")))
-    close = cut(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    # one job for both, so that they share one exchange
+    found = cut(close.select(F.lit(True).alias("pair"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(large.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b"))))
+
+    large = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    ends = cut(found.select(F.explode(F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct())
+    lines = source.select("text").mapInArrow(_texts(_filter(ends)), "node bigint, line string").join(ends, "node", "left_semi")
+    lines = cut(lines.groupBy("node").agg(F.first("line").alias("line")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = ends.join(nodes.select("node", "at.doc_id", "at.line_no"), "node").groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set("line_no").alias("numbers"))
-        held = source.join(wanted, source["doc_id"].eqNullSafe(wanted["owner"])).select("text", "numbers")
-        lines = held.mapInArrow(_texts, "node bigint, line string").groupBy("node").agg(F.first("line").alias("line"))
         both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        longer = F.greatest(F.char_length("la"), F.char_length("lb"))
-        allowed = F.floor((1 - SIMILARITY) * longer + 1e-9).cast("int")
-        both = both.withColumn("allowed", allowed)
-        return both.where(F.expr("levenshtein(la, lb, allowed) >= 0")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return both.select("a", "b", "la", "lb").mapInArrow(_confirm, "u bigint, v bigint")
 
-    links = cut(confirm(close))
-    large = cut(met.join(size.where(F.col("c") > SMALL).select("key"), "key", "left_semi").select("key", "node"))
+    links = cut(confirm(found.where("pair").select("a", "b")))
     if not large.isEmpty():
         inner = large.select("node").distinct().join(nodes.select("node", "sim", "n", keys.alias("keys")), "node")
-        more = bucket_components(large, cut(inner), _near, confirm, 2)
+        more = bucket_components(large, cut(inner), _near, confirm, 1)
         links = links.unionByName(more.select(F.col("node").alias("u"), F.col("component").alias("v")))
     comp = components(links)
     grouped = nodes.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("component"))
