@@ -198,11 +198,16 @@ def _keys(sim: Column, n: Column) -> Column:
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, first): every judged line, and whether it is the one its group keeps."""
+    """(doc_id, version, line_no, first): every judged line, and whether it is the one its group keeps.
+
+    The version is the hash of the row's text: it tells apart rows that share a doc_id.
+    """
     prepare(docs.sparkSession)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(_sign(min_words), f"doc_id {kind}, line_no bigint, node bigint, sim bigint, n int"))
+    signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
+    signed = signed.mapInArrow(_sign(min_words), f"doc_id struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, sim bigint, n int")
+    rows = cut(signed.select("doc_id.*", "line_no", "node", "sim", "n"))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sim").alias("sim"), F.first("n").alias("n")))
 
     keys = _keys(F.col("sim"), F.col("n"))
@@ -234,7 +239,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     grouped = nodes.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("at").alias("kept"))
     kept = grouped.join(least, "component").select("node", "kept")
-    return rows.join(kept, "node").select("doc_id", "line_no", (F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).alias("first"))
+    return rows.join(kept, "node").select("doc_id", "version", "line_no", (F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).alias("first"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -243,14 +248,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Lines end at a newline. Those with fewer than ``min_words`` words always stay. Of each
     group of lines linked by SimHash distance and edit similarity the occurrence with the
     least (doc_id, line number) stays; a null doc_id comes first. Rows that share a doc_id
-    count as one document: a line kept in one is kept in the other. Null texts stay null,
-    empty ones empty. An empty table gives an empty result. Nodes are 64-bit hashes.
+    count as one document: a line kept in one is kept in the other, and what is cut from one
+    is cut from the others only where they have the same text. Null texts stay null, empty
+    ones empty. An empty table gives an empty result. Nodes are 64-bit hashes.
 
     Returns all columns of docs with the new text, and n_removed (lines taken out).
     """
-    gone = line_groups(docs, min_words).where("not first").groupBy(F.col("doc_id").alias("owner_")).agg(F.collect_set("line_no").alias("gone_"))
+    gone = line_groups(docs, min_words).where("not first").groupBy(F.col("doc_id").alias("owner_"), F.col("version").alias("version_")).agg(F.collect_set("line_no").alias("gone_"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
-    out = packed.join(gone, F.col("row_.doc_id").eqNullSafe(F.col("owner_")), "left")
+    same = F.col("row_.doc_id").eqNullSafe(F.col("owner_")) & (F.xxhash64(F.col("row_.text").cast("string")) == F.col("version_"))
+    out = packed.join(gone, same, "left")
     lines = F.filter(F.split(F.col("row_.text"), "\n", -1), lambda _, i: ~F.array_contains("gone_", i.cast("bigint")))
     text = F.when(F.col("gone_").isNull(), F.col("row_.text")).otherwise(F.array_join(lines, "\n"))
     return out.select(*[(text if c == "text" else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns], F.coalesce(F.array_size("gone_"), F.lit(0)).cast("bigint").alias("n_removed"))

@@ -391,6 +391,15 @@ def test_line_dedup(spark, edges, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A repeat in one row takes nothing from another row of the same, or of no, doc_id."""
+    first, second, third = ("one two three four five six", "red green blue black white grey", "north south east west up down")
+    items = [(None, f"{second}\n{first}"), (None, f"{second}\n{third}"), (1, first), (1, f"alone {third} too"), (2, f"{second}\n{third}"), (2, f"{third} again here\n{first}"), (2, f"{second}\n{third}")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(items, "doc_id bigint, text string")).collect()
+    want = [(None, items[0][1], 0), (None, items[1][1], 0), (1, "", 1), (1, items[3][1], 0), (2, "", 2), (2, f"{third} again here", 1), (2, "", 2)]
+    assert collections.Counter(map(tuple, out)) == collections.Counter(want)
+
+
 def test_line_links_match_brute_force(spark, rows):
     """Groups over all lines: every pair within the SimHash distance, confirmed by edit similarity."""
     import pyarrow as pa
