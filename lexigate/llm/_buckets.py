@@ -26,11 +26,11 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     """(node, component) over all confirmed links between nodes that share a bucket.
 
     ``buckets`` has (key, node), ``nodes`` has node and the columns that ``near`` reads from
-    either side, ``keys`` (in index order) among them; ``confirm`` takes (a, b) pairs and
-    returns the confirmed ones as (u, v). Each round compares the members of a bucket with
+    either side, ``keys`` (all of a node's keys, in any order) among them; ``confirm`` takes
+    (a, b) pairs and returns the confirmed ones as (u, v). Each round compares the members of a bucket with
     one centre and merges the confirmed. Then every two members of one bucket that lie in
     different components are compared, so no component is left split; pairs inside a
-    component need no comparison. A pair is taken from the first bucket that it shares.
+    component need no comparison. A pair is taken from the least key that it shares.
 
     The first centre of a bucket is the member that meets most others over all buckets: the
     document that a family was copied from meets nearly all of it. Later ones are random,
@@ -62,14 +62,13 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     member = labelled.join(main, "key").withColumnRenamed("node", "m")
     x = member.where("comp <> main").select("key", F.col("m").alias("a"), F.col("comp").alias("comp_a")).join(side("a"), "a")
     y = member.select("key", F.col("m").alias("b"), F.col("comp").alias("comp_b"), "main").join(side("b"), "b")
-    earlier = F.slice(F.zip_with("keys_a", "keys_b", lambda p, q: p == q), F.lit(1), F.array_position("keys_a", x["key"]).cast("int") - 1)
     rest = x.join(
         y,
         (x["key"] == y["key"])
         & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & near(of("a"), of("b"))
-        & ~F.exists(earlier, lambda same: same),
+        & (x["key"] == F.array_min(F.array_intersect("keys_a", "keys_b"))),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return components(links.unionByName(cut(confirm(rest.distinct()))))
 

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigate.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, queries, token_counts
+from lexigate.llm._buckets import bucket_components
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 from tests.conftest import SMALL
 
@@ -439,6 +440,20 @@ def test_line_links_match_brute_force(spark, rows):
     assert got == kept
 
 
+def test_line_links_of_large_buckets_match_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", 1)
+    test_line_links_match_brute_force(spark, rows)
+
+
+def test_large_bucket_links_nodes_of_more_and_fewer_keys(spark):
+    """Nodes 1 and 2 meet in one key only, at different places of their lists; node 3 is the centre."""
+    keys = {1: [10, 11, 20, 21, 30, 31, 40, 41], 2: [12, 22, 31, 42], 3: [31, 50], 4: [50]}
+    nodes = spark.createDataFrame([(k, k > 2, v) for k, v in keys.items()], "node bigint, kind boolean, keys array<bigint>")
+    buckets = nodes.select(F.explode("keys").alias("key"), "node").where("key in (31, 50)")
+    comp = bucket_components(buckets, nodes, lambda x, y: x("kind") == y("kind"), lambda pairs: pairs.toDF("u", "v"), 1)
+    assert {r["node"]: r["component"] for r in comp.collect()} == {2: 1, 4: 3}
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
