@@ -1,11 +1,11 @@
 """Fuzzy line deduplication over the whole corpus.
 
-Lines are normalised (words of letters and digits, A-Z lower-cased, digits to 0), equal
-ones are one node, and each node has a 64-bit SimHash of its words. By the pigeonhole
-principle two hashes at most three bits apart agree in one of four 16-bit blocks; nodes
-meet under (block, value, length band), a node near the end of its band also in the
-next, so that lengths a tenth apart still meet. Pairs that are near in SimHash are confirmed by
-edit similarity, and each connected group keeps its first occurrence.
+Lines are normalised (words of letters and digits, A-Z lower-cased, digits to 0), and equal
+ones are one node. A node has BLOCKS keys, each of DEPTH MinHashes of its set of words (in
+scripts without spaces, of its letters); nodes meet under (block, value, length band), a
+node near the end of its band also in the next, so that lengths a tenth apart still meet.
+Pairs that meet are confirmed by edit similarity alone, and each connected group keeps its
+first occurrence. A signature of counted letters spares comparisons that cannot succeed.
 
 Small buckets are joined pair by pair. Large ones (many variants of one line) go through
 centres and components, so they are never expanded into all their pairs.
@@ -28,7 +28,10 @@ from lexigate.llm._session import cut, prepare
 
 #: Lines with fewer words say too little to be called repeats; they always stay.
 MIN_WORDS = 5
-DISTANCE, BLOCKS = 3, 4
+#: Keys of a node, and MinHashes in each.
+BLOCKS, DEPTH = 16, 4
+#: Bits that two signatures may differ in: all, for edit similarity alone decides.
+DISTANCE = 64
 #: Edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.9
 #: Ratio of lengths within a band.
@@ -41,6 +44,7 @@ SMALL = 200
 _ZERO_DIGITS = T.LOWER.copy()
 _ZERO_DIGITS[0x30:0x3A] = 0x30
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
+_FACTORS = np.random.default_rng(20240611).integers(1, 1 << 63, (BLOCKS, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -64,11 +68,38 @@ def _ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return T.mix((total[first[1:]] - total[first[:-1]]) * q[first[:-1]] + np.diff(first).astype(np.uint64) * _ODD)
 
 
-def _sign(min_words: int):
+def _counts(norm: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """16 counts of letters for each line, modulo 16, in 4 bits each: an edit moves two of them by one at most.
+
+    A letter counts by the last byte of its code point; spaces do not count.
+    """
+    last = np.append((norm[1:] & 0xC0) != 0x80, True) & T.ALNUM_WORDS[norm]
+    line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(norm))))
+    counts = np.bincount(line[last] * 16 + (norm[last] & 15), minlength=16 * len(begin)).reshape(-1, 16).astype(np.uint64)
+    return ((counts & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """BLOCKS 32-bit keys of each kept line, from the hashes of its words."""
+    edges = np.stack([first[keep], first[keep + 1]], axis=1).reshape(-1)
+    if edges[-1] == len(h):
+        edges = edges[:-1]
+    out = np.empty((len(keep), BLOCKS), np.uint32)
+    for j, factors in enumerate(_FACTORS):
+        total = np.zeros(len(keep), np.uint64)
+        for f in factors:
+            total = total * _ODD + T.mix(np.minimum.reduceat(h * f, edges)[::2])
+        out[:, j] = T.mix(total) >> np.uint64(32)
+    return out
+
+
+def _sign(min_words: int, keys: bool = False):
+    """doc_id, line_no, node, signature, length (and keys) of the judged lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in T.blocks(batch):
-                norm, w, _, _, row, number, first = _lines(data, offsets)
+                norm, w, begin, _, row, number, first = _lines(data, offsets)
                 keep = np.flatnonzero(np.diff(first) >= min_words)
                 if not len(keep):
                     continue
@@ -77,21 +108,14 @@ def _sign(min_words: int):
                 lead = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
                 chars = np.concatenate([[0], np.cumsum(lead[w.end] - lead[w.start] + 1)])
                 n = (chars[first[1:]] - chars[first[:-1]] - 1)[keep]
-                size = np.diff(first)[keep]
-                sim = np.empty(len(keep), np.uint64)
-                for i in range(0, len(keep), 512):  # a slice of lines: 64 bytes for each word
-                    part = keep[i : i + 512]
-                    lo, hi = first[part[0]], first[part[-1] + 1]
-                    bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-                    edges = np.stack([first[part], first[part + 1]], axis=1).reshape(-1) - lo
-                    if edges[-1] == hi - lo:
-                        edges = edges[:-1]
-                    total = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)[::2]
-                    sim[i : i + 512] = np.packbits(2 * total > size[i : i + 512, None], axis=1).view(np.uint64)[:, 0]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[keep] + a)), pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n, pa.int32())],
-                    ["doc_id", "line_no", "node", "sim", "n"],
-                )
+                sim = _counts(norm, begin)[keep]
+                columns = [batch.column(0).take(pa.array(row[keep] + a)), pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n, pa.int32())]
+                names = ["doc_id", "line_no", "node", "sim", "n"]
+                if keys:
+                    values = pa.array(_min_keys(h, first, keep).view(np.int32).reshape(-1))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BLOCKS, pa.int32()), values))
+                    names.append("mins")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -177,24 +201,23 @@ def _top_band(n: Column) -> Column:
 
 
 def _near(x: Side, y: Side) -> Column:
-    return (F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= DISTANCE) & (F.least(x("n"), y("n")) >= SIMILARITY * F.greatest(x("n"), y("n")))
+    """False only where lengths or counted letters rule the edit similarity out."""
+    longer = F.greatest(x("n"), y("n"))
+    most = F.floor((1 - SIMILARITY) * longer + 1e-9)
+    apart = F.lit(0)
+    for j in range(16):
+        d = F.shiftrightunsigned(x("sim"), 4 * j).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y("sim"), 4 * j).bitwiseAND(F.lit(15))
+        apart = apart + F.least(d.bitwiseAND(F.lit(15)), (-d).bitwiseAND(F.lit(15)))
+    return (longer - F.least(x("n"), y("n")) <= most) & (apart <= 2 * most)
 
 
-def _first_meeting(key: Column, x: Side, y: Side) -> Column:
-    """True for the first bucket that a pair shares: its first equal block, in the higher band."""
-    block, z = F.shiftright(key, 28), x("sim").bitwiseXOR(y("sim"))
-    differs = F.lit(True)
-    for j in range(BLOCKS - 1):
-        differs = differs & ((block <= j) | (F.shiftrightunsigned(z, 16 * j).bitwiseAND(F.lit(0xFFFF)) != 0))
-    return (key.bitwiseAND(F.lit(0xFFF)) == F.greatest(_band(x("n")), _band(y("n")))) & differs
+def _keys(mins: Column, n: Column) -> Column:
+    """(block, value, band) of a node: its own band, and the next where a similar line may lie there."""
 
+    def at(band: Column) -> Column:
+        return F.transform(mins, lambda v, j: F.shiftleft(j.cast("bigint"), 44).bitwiseOR(F.shiftleft(v.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 12)).bitwiseOR(band))
 
-def _keys(sim: Column, n: Column) -> Column:
-    """(block, value, band) of a node: its own band, and the next where a similar line may lie there."""
-    value = [F.lit(j << 28).cast("bigint").bitwiseOR(F.shiftleft(F.shiftrightunsigned(sim, 16 * j).bitwiseAND(F.lit(0xFFFF)), 12)) for j in range(BLOCKS)]
-    own = F.array(*[v.bitwiseOR(_band(n)) for v in value])
-    both = F.array(*[v.bitwiseOR(b) for v in value for b in (_band(n), _band(n) + 1)])
-    return F.when(_top_band(n) > _band(n), both).otherwise(own)
+    return F.when(_top_band(n) > _band(n), F.concat(at(_band(n)), at(_band(n) + 1))).otherwise(at(_band(n)))
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -206,20 +229,20 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
-    signed = signed.mapInArrow(_sign(min_words), f"doc_id struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, sim bigint, n int")
-    rows = cut(signed.select("doc_id.*", "line_no", "node", "sim", "n"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sim").alias("sim"), F.first("n").alias("n")))
+    signed = signed.mapInArrow(_sign(min_words, True), f"doc_id struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, sim bigint, n int, mins array<int>")
+    rows = cut(signed.select("doc_id.*", "line_no", "node", "sim", "n", "mins"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("mins").alias("mins")))
 
-    keys = _keys(F.col("sim"), F.col("n"))
+    keys = _keys(F.col("mins"), F.col("n"))
     met = nodes.select("node", "sim", "n", F.explode(keys).alias("key")).repartition("key")
     size = met.groupBy("key").agg(F.count("*").alias("c"))
     small = met.join(size.where((F.col("c") > 1) & (F.col("c") <= SMALL)).select("key"), "key", "left_semi")
     large = met.join(size.where(F.col("c") > SMALL).select("key"), "key", "left_semi")
     x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "sim", "n")]) for s in "ab")
     of = lambda s: lambda c: F.col(f"{c}_{s}")
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & _near(of("a"), of("b")) & _first_meeting(x["key"], of("a"), of("b")))
+    close = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & _near(of("a"), of("b")))
     # one job for both, so that they share one exchange
-    found = cut(close.select(F.lit(True).alias("pair"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(large.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b"))))
+    found = cut(close.select(F.lit(True).alias("pair"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(large.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b"))))
 
     large = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
     ends = cut(found.select(F.explode(F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct())
@@ -246,7 +269,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Texts without the lines that fuzzily repeat an earlier line of the corpus.
 
     Lines end at a newline. Those with fewer than ``min_words`` words always stay. Of each
-    group of lines linked by SimHash distance and edit similarity the occurrence with the
+    group of lines that meet in a key and are linked by edit similarity the occurrence with the
     least (doc_id, line number) stays; a null doc_id comes first. Rows that share a doc_id
     count as one document: a line kept in one is kept in the other, and what is cut from one
     is cut from the others only where they have the same text. Null texts stay null, empty

@@ -440,6 +440,30 @@ def test_line_links_match_brute_force(spark, rows):
     assert got == kept
 
 
+@pytest.mark.parametrize("size", [6, 10, 20, 30, 60])
+def test_lines_with_one_changed_word_meet(size):
+    """At least 95 of 100 lines share a key with their variant, and no variant is ruled out by counted letters."""
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(k))
+    lines = [[word(rng.randrange(3, 10)) for _ in range(size)] for _ in range(400)]
+    pairs = []
+    for x in lines:
+        i = rng.randrange(size)
+        k = int(0.1 * len(" ".join(x)) + 1e-9)
+        y = [*x[:i], word(min(k, len(x[i]))) + x[i][min(k, len(x[i])) :], *x[i + 1 :]]
+        assert line_dedup.edit_distance(" ".join(x), " ".join(y), k) <= k
+        pairs += [" ".join(x), " ".join(y)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(pairs)], ["doc_id", "text"])
+    b = pa.Table.from_batches(list(line_dedup._sign(line_dedup.MIN_WORDS, True)(iter([batch]))))
+    mins, sim = np.array(b["mins"].to_pylist()), b["sim"].to_pylist()
+    assert (mins[::2] == mins[1::2]).any(axis=1).mean() >= 0.95
+    for p in range(0, 800, 2):
+        d = [(sim[p] >> 4 * j & 15) - (sim[p + 1] >> 4 * j & 15) for j in range(16)]
+        assert sum(min(v & 15, -v & 15) for v in d) <= 2 * int(0.1 * max(len(pairs[p]), len(pairs[p + 1])) + 1e-9)
+
+
 def test_line_links_of_large_buckets_match_brute_force(spark, rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", 1)
     test_line_links_match_brute_force(spark, rows)
