@@ -26,7 +26,8 @@ from lexigate.llm._buckets import Side, bucket_components
 from lexigate.llm._graph import components
 from lexigate.llm._session import cut, prepare
 
-#: Lines with fewer words say too little to be called repeats; they always stay.
+#: Lines with fewer words say too little to be called repeats; they always stay. In scripts
+#: that are written without spaces each letter counts as a word.
 MIN_WORDS = 5
 #: Keys of a node, and MinHashes in each.
 BLOCKS, DEPTH = 16, 4
@@ -93,6 +94,47 @@ def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unspaced(norm: np.ndarray) -> np.ndarray:
+    """True at the first byte of each letter of a script that is written without spaces.
+
+    Thai, Lao, Tibetan, Myanmar and Khmer; kana, bopomofo and Han with its extensions;
+    half-width kana.
+    """
+    out = np.zeros(len(norm), bool)
+    at = np.flatnonzero(norm >= 0xE0)
+    at = at[at + 2 < len(norm)]
+    x, y = norm[at], norm[at + 1]
+    z = norm[at + 2]
+    asia = ((x == 0xE3) & (y >= 0x81)) | ((x >= 0xE4) & (x <= 0xE9)) | ((x == 0xF0) & (y >= 0xA0) & (y <= 0xB3))
+    south = ((x == 0xE0) & (y >= 0xB8)) | ((x == 0xE1) & ((y <= 0x82) | (y == 0x9E) | (y == 0x9F)))
+    forms = (x == 0xEF) & (((y >= 0xA4) & (y <= 0xAB)) | ((y == 0xBD) & (z >= 0xA6)) | ((y == 0xBE) & (z <= 0x9F)))
+    out[at[asia | south | forms]] = True
+    return out
+
+
+def _units(norm: np.ndarray, w: T.Words, begin: np.ndarray, first: np.ndarray):
+    """Start and end of each word, or of each letter of a script without spaces; and the first of each line."""
+    alone = _unspaced(norm)
+    if not alone.any():
+        return w.start, w.end, first
+    inside = np.zeros(len(norm) + 1, np.int8)
+    np.add.at(inside, w.start, 1)
+    np.add.at(inside, w.end, -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    lead = (norm & 0xC0) != 0x80
+    of = np.maximum.accumulate(np.where(lead, np.arange(len(norm)), 0))  # the first byte of each byte's letter
+    after = np.zeros(len(norm), bool)
+    after[1:] = lead[1:] & alone[of[:-1]]
+    opens = (alone | after) & inside
+    opens[w.start] = True
+    start = np.flatnonzero(opens)
+    word = np.searchsorted(w.start, start, "right") - 1
+    end = w.end[word]
+    same = word[1:] == word[:-1]
+    end[:-1][same] = start[1:][same]
+    return start, end, np.append(np.searchsorted(start, begin), len(start))
+
+
 def _sign(min_words: int, keys: bool = False):
     """doc_id, line_no, node, signature, length (and keys) of the judged lines."""
 
@@ -100,7 +142,8 @@ def _sign(min_words: int, keys: bool = False):
         for batch in batches:
             for a, _, data, offsets in T.blocks(batch):
                 norm, w, begin, _, row, number, first = _lines(data, offsets)
-                keep = np.flatnonzero(np.diff(first) >= min_words)
+                start, end, unit = _units(norm, w, begin, first)
+                keep = np.flatnonzero(np.diff(unit) >= min_words)
                 if not len(keep):
                     continue
                 h = T.span_hash(norm, w.start, w.end)
@@ -112,7 +155,7 @@ def _sign(min_words: int, keys: bool = False):
                 columns = [batch.column(0).take(pa.array(row[keep] + a)), pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n, pa.int32())]
                 names = ["doc_id", "line_no", "node", "sim", "n"]
                 if keys:
-                    values = pa.array(_min_keys(h, first, keep).view(np.int32).reshape(-1))
+                    values = pa.array(_min_keys(h if start is w.start else T.span_hash(norm, start, end), unit, keep).view(np.int32).reshape(-1))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BLOCKS, pa.int32()), values))
                     names.append("mins")
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -268,7 +311,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Texts without the lines that fuzzily repeat an earlier line of the corpus.
 
-    Lines end at a newline. Those with fewer than ``min_words`` words always stay. Of each
+    Lines end at a newline. Those with fewer than ``min_words`` words always stay; a letter of
+    a script that is written without spaces counts as a word there. Of each
     group of lines that meet in a key and are linked by edit similarity the occurrence with the
     least (doc_id, line number) stays; a null doc_id comes first. Rows that share a doc_id
     count as one document: a line kept in one is kept in the other, and what is cut from one

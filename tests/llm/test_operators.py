@@ -440,6 +440,19 @@ def test_line_links_match_brute_force(spark, rows):
     assert got == kept
 
 
+def test_lines_of_scripts_without_spaces(spark):
+    """Copies and near copies of Chinese, Japanese and Thai lines go; lines of under five letters stay."""
+    zh, ja, th = "今天天气很好我们一起去公园散步吧然后回家吃晚饭再看一会儿书", "昨日は友達と一緒に映画を見に行きました、とても楽しかったです", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกันเถอะ"
+    near, mixed = zh.replace("公园", "花园"), "使用 abc 方法 x"
+    items = [(1, f"{zh}\n{ja}\n{th}\n很好"), (2, f"{ja}\n{near}\n{th}\n很好"), (3, f"{mixed}\n{zh[::-1]}"), (4, f"{mixed}\nonly three words")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(items, "doc_id bigint, text string")).collect()}
+    assert got == {1: items[0][1], 2: "很好", 3: items[2][1], 4: "only three words"}
+    norm = np.frombuffer("ab你好c é 日x".encode(), np.uint8)
+    w = line_dedup.T.words(norm, np.array([0, len(norm)]), line_dedup.T.ALNUM_WORDS)
+    start, end, unit = line_dedup._units(norm, w, np.array([0]), np.array([0, len(w.start)]))
+    assert [norm[i:j].tobytes().decode() for i, j in zip(start, end, strict=True)] == ["ab", "你", "好", "c", "é", "日", "x"] and unit.tolist() == [0, 7]
+
+
 @pytest.mark.parametrize("size", [6, 10, 20, 30, 60])
 def test_lines_with_one_changed_word_meet(size):
     """At least 95 of 100 lines share a key with their variant, and no variant is ruled out by counted letters."""
