@@ -17,13 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
-from lexigate.llm._sample import bounded
 from lexigate.llm._session import prepare
 
 #: Hash buckets: the broadcast ratio table has this many floats at any corpus size.
 BUCKETS = 1 << 16
-#: Trusted documents that the target multinomial is fitted on, about, at most.
-TARGET = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 #: Mean log ratio under which a document is rejected.
@@ -49,32 +46,29 @@ def _hashed(batch: pa.RecordBatch):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of all rows, and of the trusted ones, of a partition."""
-    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Bucket counts of a partition's rows."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        trusted = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool)
-        for a, _, _, _, w, h in _hashed(batch):
-            bucket, row = _grams(h, w)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            good += np.bincount(bucket[trusted[row + a]], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
+        for _, _, _, _, w, h in _hashed(batch):
+            total += np.bincount(_grams(h, w)[0], minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+
+def _counts(docs: DataFrame) -> np.ndarray:
+    rows = docs.select("text").mapInArrow(_count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log P(bucket | trusted) - log P(bucket | raw) for each bucket (BUCKETS floats).
 
-    ``trusted`` holds the doc_ids of good documents, of which at most TARGET make up the
-    target; without any of them the ratios are 0. The raw side counts every document.
+    ``trusted`` holds the doc_ids of good documents; all of them make up the target, and
+    without any of them the ratios are 0. The raw side counts every document.
     """
-    ids = trusted.select(F.lit(1).alias("one"), "doc_id").distinct()
-    chosen = ids.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(bounded(ids, "one", TARGET, "doc_id")), ["one", "h"], "left_semi")
-    mark = F.broadcast(chosen.select("doc_id", F.lit(True).alias("trusted")))  # TARGET rows
-    counts = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("text", "trusted").mapInArrow(_count, "bucket bigint, raw bigint, good bigint")
-    rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # BUCKETS rows at most
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
+    raw, good = _counts(docs), _counts(docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi"))
     if not good.sum():
         return np.zeros(BUCKETS)
     # the target is smoothed towards the raw corpus, so buckets it never saw stay near 0

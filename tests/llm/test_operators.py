@@ -375,6 +375,41 @@ def test_quality_rules(spark, rows, edges, empty):
     assert quality_rules.quality_rules(empty, empty).count() == 0
 
 
+def test_quality_target_counts_every_trusted_document(spark):
+    """Score and verdict against counts by hand, with more trusted documents than any sample held."""
+    text = lambda i: " ".join(f"w{i % 7}x{j}" for j in range(60)) if i < 70 else f"V{i % 1000} end"
+    good = lambda i: i % 4 != 3 and i % 7 != 5
+    items = [(i, text(i)) for i in range(40_000)]
+    docs = spark.createDataFrame(items, "doc_id bigint, text string")
+    trusted = spark.createDataFrame([(i,) for i, _ in items if good(i)] + [(None,), (1,)], "doc_id bigint")
+
+    def grams(x):
+        w = x.lower().split()
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    def bucket(gram):
+        data = np.frombuffer(gram.encode(), np.uint8)
+        w = quality_rules.T.words(data, np.array([0, len(data)]), quality_rules.T.SPACE_WORDS)
+        return int(quality_rules._grams(quality_rules.T.span_hash(data, w.start, w.end), w)[0][-1])
+
+    of = {g: bucket(g) for g in {g for i in range(1070) for g in grams(text(i))}}
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for i, x in items:
+        for g in grams(x):
+            raw[of[g]] += 1
+            target[of[g]] += good(i)
+    p = (raw + 1) / (raw.sum() + quality_rules.BUCKETS)
+    ratio = np.log((target + quality_rules.BUCKETS * p) / (target.sum() + quality_rules.BUCKETS) / p)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, trusted, -0.001).where("doc_id < 2000").collect()}
+    kept = set()
+    for i, r in got.items():
+        score = np.mean([ratio[of[g]] for g in grams(text(i))])
+        assert math.isclose(r["score"], score, rel_tol=1e-9, abs_tol=1e-12)
+        assert r["kept"] == (i < 70 and score >= -0.001)
+        kept.add(r["kept"])
+    assert len(got) == 2000 and kept == {True, False}
+
+
 # 9: lines
 
 
