@@ -68,7 +68,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     ``trusted`` holds the doc_ids of good documents; all of them make up the target, and
     without any of them the ratios are 0. The raw side counts every document.
     """
-    raw, good = _counts(docs), _counts(docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi"))
+    raw, good = _counts(docs), _counts(docs.join(trusted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     if not good.sum():
         return np.zeros(BUCKETS)
     # the target is smoothed towards the raw corpus, so buckets it never saw stay near 0
