@@ -6,35 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigate.llm._graph import components
-from lexigate.llm._session import cut
+from lexigate.llm._session import cut, drop
 
 Side = Callable[[str], Column]
 
+#: One node in SAMPLE is looked at for hot keys, and at most so many keys are taken as hot.
+SAMPLE, HOT_KEYS = 64, 10_000
 
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """(key, node) rows of the keys that two nodes or more have.
-
-    Counting and joining back use one and the same exchange on the key.
-    """
-    met = keys.repartition("key")
-    return met.join(met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key", "left_semi")
 
+def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
+    """(key, node, meets) for the keys that two nodes or more have; meets: buckets' sizes summed over a node.
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    ``nodes`` has a column node and those that ``keys`` reads. A key that holds so large
+    a share of a sample of nodes that it would overload one task is known to be shared: its
+    rows go round the exchange on the key. HOT_KEYS bounds the table of such keys: each holds
+    more than its share of the sample, so there are no more of them.
+    """
+    exploded = nodes.select("node", F.explode(keys).alias("key"))
+    some = exploded.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("seen"))
+    least = some.agg(F.greatest(F.lit(16), F.sum("seen") / HOT_KEYS).alias("least")).first()["least"]
+    hot = cut(some.where(F.col("seen") > least))
+    marked = exploded.join(F.broadcast(hot), "key", "left")
+    cold = marked.where("seen is null").select("key", "node").repartition("key")
+    size = cold.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = cold.join(size.hint("merge"), "key").unionByName(marked.where("seen is not null").select("key", "node", (F.col("seen") * SAMPLE).alias("size")))
+    return met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets"))
+
+
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, keys: Callable[[Side], Column] = lambda x: x("keys")) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket.
 
-    ``buckets`` has (key, node), ``nodes`` has node and the columns that ``near`` reads from
-    either side, ``keys`` (all of a node's keys, in any order) among them; ``confirm`` takes
-    (a, b) pairs and returns the confirmed ones as (u, v). Each round compares the members of a bucket with
-    one centre and merges the confirmed. Then every two members of one bucket that lie in
-    different components are compared, so no component is left split; pairs inside a
-    component need no comparison. A pair is taken from the least key that it shares.
-
-    The first centre of a bucket is the member that meets most others over all buckets: the
-    document that a family was copied from meets nearly all of it. Later ones are random,
-    but the same in all buckets that they share, so few pairs come of them.
+    ``buckets`` has (key, node) and may have meets, ``nodes`` has node and the columns that ``near`` and
+    ``keys`` (all keys of a node, in any order) read; ``confirm`` takes (a, b) pairs and
+    returns the confirmed ones as (u, v).
+
+    First each node is compared with one node only: of the most connected member of each of
+    its buckets, the one that it meets in most of them. The document that a family was
+    copied from meets nearly all of it. In later rounds a bucket's main component is the one
+    with most members there, and the members outside it are compared with one member of it.
+    At last every two members of one bucket that still lie in different components are
+    compared, so no component is left split; pairs inside a component need no comparison. A pair is taken from
+    the least key that it shares.
     """
     columns = [c for c in nodes.columns if c != "node"]
 
@@ -44,40 +59,64 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     def of(x: str) -> Side:
         return lambda c: F.col(f"{c}_{x}")
 
-    links = None
-    size = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    meets = buckets.join(size, "key").groupBy("node").agg(F.sum("size").alias("meets"))
-    labelled = cut(buckets.join(meets, "node").withColumn("comp", F.col("node")))
-    for turn in range(rounds):
-        order = F.struct(-F.col("meets"), "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        centre = labelled.groupBy("key").agg(F.min_by(F.struct("node", "comp"), order).alias("centre"))
-        pairs = labelled.join(centre, "key").where("comp <> centre.comp").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
-        close = pairs.join(side("a"), "a").join(side("b"), "b").where(near(of("a"), of("b"))).select("a", "b")
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        close = cut(both.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near(of("a"), of("b"))).select("a", "b"))
         found = cut(confirm(close))
-        links = found if links is None else links.unionByName(found)
-        labelled = cut(_mixed(_label(buckets, components(links))))
+        drop(close)
+        return found
+
+    if "meets" not in buckets.columns:
+        buckets = buckets.withColumn("meets", F.lit(0))
+    centre = buckets.groupBy("key").agg(F.max_by("node", F.struct("meets", "node")).alias("centre"))
+    met = buckets.join(centre.hint("merge"), "key").where("node <> centre")
+    often = met.repartition("node").groupBy("node", "centre").agg(F.count("*").alias("times"))
+    links = [linked(often.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre")))]
+    labelled = _label(buckets, links)
+    for turn in range(1, rounds):
+        if labelled.isEmpty():
+            break
+        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("centre"))
+        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centre"), F.struct("c", "comp")).alias("main"))
+        outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", "main.centre")
+        links.append(linked(outside))
+        before, labelled = labelled, _label(labelled.select("key", "node"), links)
+        drop(before)
 
     groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = groups.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    member = labelled.join(main, "key").withColumnRenamed("node", "m")
-    x = member.where("comp <> main").select("key", F.col("m").alias("a"), F.col("comp").alias("comp_a")).join(side("a"), "a")
-    y = member.select("key", F.col("m").alias("b"), F.col("comp").alias("comp_b"), "main").join(side("b"), "b")
+    member = labelled.join(main.hint("merge"), "key").withColumnRenamed("node", "m")
+    x = member.where("comp <> main").select("key", F.col("m").alias("a"), F.col("comp").alias("comp_a")).join(side("a").hint("merge"), "a")
+    y = member.select("key", F.col("m").alias("b"), F.col("comp").alias("comp_b"), "main").join(side("b").hint("merge"), "b")
     rest = x.join(
-        y,
+        y.hint("merge"),
         (x["key"] == y["key"])
         & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & near(of("a"), of("b"))
-        & (x["key"] == F.array_min(F.array_intersect("keys_a", "keys_b"))),
+        & (x["key"] == F.array_min(F.array_intersect(keys(of("a")), keys(of("b"))))),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return components(links.unionByName(cut(confirm(rest.distinct()))))
-
-
-def _label(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    return buckets.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Buckets whose members still lie in different components."""
+    if not labelled.isEmpty():
+        last = cut(rest.distinct())
+        links.append(cut(confirm(last)))
+        drop(last)
+    out = components(_all(links))
+    drop(labelled, *links)
+    return out
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _label(buckets: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """(key, node, comp) of the buckets whose members still lie in different components."""
+    comp = components(_all(links))
+    labelled = buckets.join(comp.withColumnRenamed("component", "comp").hint("merge"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(spread, "key", "left_semi")
+    out = cut(labelled.join(spread.hint("merge"), "key", "left_semi"))
+    drop(comp)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigate.llm._session import cut
+from lexigate.llm._session import cut, drop
 
 
 def _mark(edges: DataFrame):
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        before, e = e, cut(small.select("x.u", "x.v").where("u <> v").distinct())
+        drop(before)
         new = _mark(e)
         if new == mark:
             break

@@ -1,16 +1,14 @@
 """MinHash near-duplicate detection by a multi-index Hamming join.
 
-Each distinct shingle set gets a signature of ``SYMBOLS`` b-bit MinHash symbols. The
-first ``CHUNKS * WIDTH`` of them, kept with more bits, are split into chunks. By the pigeonhole principle two
-signatures with at most ``CHUNKS * (ERRORS + 1) - 1`` differing symbols there differ in
-at most ``ERRORS`` symbols of some chunk, so each chunk is indexed once for every choice
-of ``ERRORS`` symbols to leave out: the pair is then sure to meet under an equal key.
-Pairs that meet are compared on the whole signature and confirmed on the full sets.
+Each distinct shingle set gets a signature of ``CHUNKS * WIDTH`` MinHash symbols of
+``BITS`` bits. By the pigeonhole principle two signatures with at most ``RADIUS`` differing
+symbols differ in at most ``ERRORS`` symbols of some chunk, so each chunk is indexed once
+for every choice of ``ERRORS`` symbols to leave out: such a pair is sure to meet under an
+equal key. Pairs that meet further apart are compared too, up to the distance that sets as
+similar as the threshold do not pass, and all are confirmed on the full sets.
 
 Copies (equal sets) are one class from the start. Buckets are never expanded into all
-their pairs: some rounds compare each member with one centre of its bucket and merge
-what is confirmed; only members of a bucket that still lie in different components are
-then compared with one another. Links inside a component need no comparison.
+their pairs: see ``_buckets``.
 """
 
 from __future__ import annotations
@@ -25,14 +23,16 @@ from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
 from lexigate.llm._buckets import Side, bucket_components, shared_buckets
-from lexigate.llm._session import cut, prepare
+from lexigate.llm._filter import bit_filter, passes
+from lexigate.llm._session import cut, drop, prepare
 
 SHINGLE = 5
-#: The indexed part: chunks of 8-bit symbols.
-INDEX_BITS, CHUNKS, WIDTH, ERRORS = 8, 8, 5, 1
-#: The compared part: all symbols, of 4 bits each.
-BITS, SYMBOLS = 4, 512
-ROUNDS = 2
+#: Chunks of a signature, symbols in a chunk (one 64-bit word holds a chunk), bits of a symbol, and errors that a chunk may have.
+CHUNKS, WIDTH, BITS, ERRORS = 8, 5, 12, 1
+SYMBOLS = CHUNKS * WIDTH
+#: Differing symbols up to which two signatures are sure to share a key.
+RADIUS = CHUNKS * (ERRORS + 1) - 1
+ROUNDS = 3
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1 << 16, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -41,13 +41,13 @@ _KEPT = [[c * WIDTH + i for i in range(WIDTH) if i not in out] for c in range(CH
 
 
 def max_distance(threshold: int) -> int:
-    """Differing symbols (of SYMBOLS) up to which a pair is a candidate.
+    """Differing symbols up to which a pair that meets is compared: RADIUS at least.
 
-    At the similarity threshold a symbol differs with probability (1 - t)(1 - 2**-b);
-    4.75 standard deviations above that mean miss about one such pair in a million.
+    At the similarity threshold a symbol differs with probability 1 - t; six standard
+    deviations above that mean rule out about one such pair in a hundred million.
     """
-    p = (1 - threshold / 100) * (1 - 2.0**-BITS)
-    return int(np.ceil(SYMBOLS * p + 4.75 * np.sqrt(SYMBOLS * p * (1 - p))))
+    p = 1 - threshold / 100
+    return max(RADIUS, int(np.ceil(SYMBOLS * p + 6 * np.sqrt(SYMBOLS * p * (1 - p)))))
 
 
 def _sets(batch: pa.RecordBatch, shingle: int):
@@ -80,63 +80,84 @@ def _sign(shingle: int):
             for a, b, flat, offsets in _sets(batch, shingle):
                 size = np.diff(offsets)
                 some = np.flatnonzero(size)
-                lead = np.zeros((b - a, CHUNKS * WIDTH), np.uint8)
-                sym = np.zeros((b - a, SYMBOLS), np.uint8)
+                sig = np.zeros((b - a, CHUNKS), np.int64)
                 if len(some):
                     x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
                     at = offsets[:-1][some]
                     for k in range(SYMBOLS):
                         low = np.minimum.reduceat(x * _A[k] + _B[k], at)
                         low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                        sym[some, k] = low >> np.uint32(28)
-                        if k < CHUNKS * WIDTH:
-                            lead[some, k] = (low >> np.uint32(20)) & np.uint32(255)
-                packed = sym[:, 0::2] | (sym[:, 1::2] << 4)
+                        sig[some, k // WIDTH] |= (low >> np.uint32(32 - BITS)).astype(np.int64) << (BITS * (k % WIDTH))
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, n),
-                        pa.array(size, pa.int64()),
-                        _set_ids(flat, offsets),
-                        T.int_lists(packed.view(np.int64).reshape(-1), np.arange(n + 1) * (SYMBOLS * BITS // 64)),
-                        T.int_lists(lead.view(np.int64).reshape(-1), np.arange(n + 1) * (CHUNKS * WIDTH // 8)),
-                    ],
-                    ["doc_id", "n_shingles", "cid", "sig", "lead"],
+                    [batch.column(0).slice(a, n), pa.array(size, pa.int64()), _set_ids(flat, offsets), T.int_lists(sig.reshape(-1), np.arange(n + 1) * CHUNKS)],
+                    ["doc_id", "n_shingles", "cid", "sig"],
                 )
 
     return run
 
 
-def _hashes(shingle: int):
+def _texts(bits: np.ndarray, shingle: int):
+    """(cid, text) of the rows whose hash (column 0) is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = batch.take(pa.array(passes(bits, batch.column(0).to_numpy())))
+            for a, b, flat, offsets in _sets(picked, shingle):
+                yield pa.RecordBatch.from_arrays([_set_ids(flat, offsets), picked.column(1).slice(a, b - a)], ["cid", "text"])
+
+    return run
+
+
+def _confirm(threshold: int, shingle: int):
+    """Pairs (a, b, ta, tb) of texts whose full sets are as similar as the threshold; returns (u, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, flat, offsets in _sets(batch, shingle):
-                yield pa.RecordBatch.from_arrays([_set_ids(flat, offsets), T.int_lists(flat, offsets)], ["cid", "items"])
+            sides, sets = [], []
+            for side in (0, 1):
+                ids = batch.column(side).dictionary_encode()
+                _, first = np.unique(ids.indices.to_numpy(), return_index=True)
+                own = []
+                for a, b, flat, offsets in _sets(pa.RecordBatch.from_arrays([batch.column(side + 2).take(pa.array(first))], ["text"]), shingle):
+                    own += [flat[offsets[i] : offsets[i + 1]] for i in range(b - a)]
+                sides.append(ids.indices.to_numpy())
+                sets.append(own)
+            good = []
+            for i, j in zip(*sides, strict=True):
+                x, y = sets[0][i], sets[1][j]
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                good.append(100 * common >= threshold * (len(both) - common))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     return run
 
 
 def _differing(x: Column, y: Column) -> Column:
-    """Symbols that differ: fold each 4 bits of the XOR into the lowest and count bits."""
-    total = None
-    for i in range(SYMBOLS * BITS // 64):
-        z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
-        for k in (2, 1):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
-        n = F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-        total = n if total is None else total + n
+    """Symbols that differ: fold the bits of each symbol of the XOR into its lowest and count."""
+    low = F.lit(sum(1 << (BITS * i) for i in range(WIDTH)))
+    total = F.lit(0)
+    for c in range(CHUNKS):
+        z = F.get(x, F.lit(c)).bitwiseXOR(F.get(y, F.lit(c)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 6))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 3))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2))
+        total = total + F.bit_count(z.bitwiseAND(low))
     return total
 
 
-def _keys(lead: Column) -> Column:
-    """One key for each chunk and choice of symbols to leave out: its number and the kept symbols."""
-    symbol = [F.shiftrightunsigned(F.get(lead, F.lit(i // 8)), 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(CHUNKS * WIDTH)]
+def _keys(sig: Column) -> Column:
+    """One key for each chunk and choice of a symbol to leave out: in its place stands the chunk's number."""
     out = []
-    for number, kept in enumerate(_KEPT):
-        key = F.lit(number << (INDEX_BITS * len(kept))).cast("bigint")
-        for place, i in enumerate(kept):
-            key = key.bitwiseOR(F.shiftleft(symbol[i], INDEX_BITS * place))
-        out.append(key)
+    for kept in _KEPT:
+        c = kept[0] // WIDTH
+        (left,) = set(range(c * WIDTH, (c + 1) * WIDTH)) - set(kept)
+        i = left % WIDTH
+        mask = sum(((1 << BITS) - 1) << (BITS * (k % WIDTH)) for k in kept)
+        out.append(F.get(sig, F.lit(c)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << 60 | c << (BITS * i)).cast("bigint")))
     return F.array(*out)
 
 
@@ -154,15 +175,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
     prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, sig array<bigint>, lead array<bigint>"))
+    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, sig array<bigint>"))
 
-    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("lead").alias("lead")))
-    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), F.explode(_keys(F.col("lead"))).alias("key"))))
-    needed = cut(classes.join(buckets.select(F.col("node").alias("cid")).distinct(), "cid", "left_semi"))
+    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), "sig"), _keys(F.col("sig"))))
+    members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
+    needed = cut(classes.join(members.withColumnRenamed("node", "cid").hint("merge"), "cid", "left_semi"))
 
-    owners = needed.select("rep").distinct()
-    texts = source.join(owners, source["doc_id"].eqNullSafe(owners["rep"]), "left_semi")
-    items = cut(texts.mapInArrow(_hashes(shingle), "cid binary, items array<bigint>").join(needed.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    bits = bit_filter(needed.select(F.xxhash64("rep").alias("h")))
+    picked = source.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_texts(bits, shingle), "cid binary, text string")
+    texts = cut(picked.join(needed.select("cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]))
 
     far = max_distance(threshold)
 
@@ -170,16 +192,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
         return (100 * F.least(x("n"), y("n")) >= threshold * F.greatest(x("n"), y("n"))) & (_differing(x("sig"), y("sig")) <= far)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(items.select(F.col("cid").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("cid").alias("b"), F.col("items").alias("ib")), "b")
-        common = F.size(F.array_intersect("ia", "ib"))
-        return both.where(100 * common >= threshold * (F.size("ia") + F.size("ib") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, shingle), "u binary, v binary")
 
-    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", "sig", _keys(F.col("lead")).alias("keys")), near, confirm, ROUNDS)
+    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", "sig"), near, confirm, ROUNDS, lambda x: _keys(x("sig")))
+    drop(buckets, needed, texts)
 
-    nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    member_of = nodes.join(ids, "component").select("cid", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(member_of, "cid", "left")
+    member_of = nodes.join(ids.hint("merge"), "component").select("cid", "component_id")
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(member_of.hint("merge"), "cid", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
