@@ -7,6 +7,10 @@ so it is parallel throughout.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ SEED = "GENESIS"
 TAG = "6c657869676174652d61756469742d7632000000"[:36]
 LEAF, NODE = "01", "02"
 ZERO = "00" * 32
+#: Levels of a Merkle tree that one round folds: a row holds 2**LEVELS hashes at most.
+LEVELS = 10
 
 
 def _chain_events(spark: SparkSession, d: str) -> DataFrame:
@@ -36,24 +42,53 @@ def _event_hash(seq: Column, previous: Column, payload: Column) -> Column:
     return F.sha2(F.unhex(F.concat(F.lit(TAG), little, previous, F.sha2(payload.cast("binary"), 256))), 256)
 
 
+def _along(events: DataFrame, run, schema: str) -> DataFrame:
+    """Rows of each chain in order through ``run``, which carries only the last hash from row to row.
+
+    A chain is sequential by nature, so its rows go through one task; nothing is gathered there.
+    """
+    return events.repartition("chain").sortWithinPartitions("chain", "seq", "event_id").mapInPandas(run, schema)
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(chain, n, head) of each chain of a sorted partition."""
+    chain, n, head = None, 0, ""
+    for batch in batches:
+        out = []
+        for c, payload in zip(batch["chain"], batch["payload"], strict=True):
+            if n and c != chain:
+                out.append((chain, n, head))
+            if not n or c != chain:
+                chain, n, head = c, 0, SEED
+            n, head = n + 1, hashlib.sha256((head + (payload or "")).encode()).hexdigest()
+        yield pd.DataFrame(out, columns=["chain", "n", "head"])
+    if n:
+        yield pd.DataFrame([(chain, n, head)], columns=["chain", "n", "head"])
+
+
 def chain_v1_build(spark: SparkSession, d: str) -> DataFrame:
-    """Head of each chain: every hash is SHA-256 of the previous hash's text and the payload."""
-    g = _chain_events(spark, d).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("e"))
-    head = F.aggregate("e", F.lit(SEED), lambda h, x: F.sha2(F.concat(h, x["payload"]).cast("binary"), 256))
-    return g.select("chain", F.size("e").cast("bigint").alias("n"), head.alias("head"))
+    """Head of each chain: every hash is SHA-256 of the previous hash's text and the payload (null: empty)."""
+    return _along(_chain_events(spark, d), _heads, "chain bigint, n bigint, head string")
 
 
-def _linked(events: DataFrame) -> DataFrame:
-    """Events with previous_hash and event_hash, chain by chain."""
-    g = events.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "payload"))).alias("e"))
-    entry = "array<struct<seq: bigint, event_id: bigint, payload: string, previous_hash: string, event_hash: string>>"
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a sorted partition with previous_hash and event_hash."""
+    chain, last, tag = None, ZERO, bytes.fromhex(TAG)
+    for batch in batches:
+        before, own = [], []
+        for c, seq, payload in zip(batch["chain"], batch["seq"], batch["payload"], strict=True):
+            if c != chain:
+                chain, last = c, ZERO
+            before.append(last)
+            last = hashlib.sha256(tag + int(seq).to_bytes(8, "little") + bytes.fromhex(last) + hashlib.sha256((payload or "").encode()).digest()).hexdigest()
+            own.append(last)
+        yield batch.assign(previous_hash=before, event_hash=own)
 
-    def add(acc: Column, x: Column) -> Column:
-        one = F.struct(x["seq"].alias("seq"), x["event_id"].alias("event_id"), x["payload"].alias("payload"), acc["h"].alias("previous_hash"), _event_hash(x["seq"], acc["h"], x["payload"]).alias("event_hash"))
-        return F.struct(one["event_hash"].alias("h"), F.array_append(acc["out"], one).alias("out"))
 
-    start = F.struct(F.lit(ZERO).alias("h"), F.array().cast(entry).alias("out"))
-    return g.select("chain", F.explode(F.aggregate("e", start, add)["out"]).alias("x")).select("chain", "x.*")
+def _linked(events: DataFrame) -> DataFrame:
+    """Events with previous_hash and event_hash, chain by chain."""
+    kept = events.select("chain", "seq", "event_id", "payload")
+    return _along(kept, _links, "chain bigint, seq bigint, event_id bigint, payload string, previous_hash string, event_hash string")
 
 
 def chain_v2_event_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -102,26 +137,40 @@ def chain_summary(spark: SparkSession, d: str) -> DataFrame:
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """Root of each day's hashes (day, at, leaf: hex), at any size of a day.
 
-    Every round halves each day's nodes by place; an odd last one is paired with itself.
-    A day of one leaf is that leaf's node.
+    An odd last node of a level is paired with itself. A day of one leaf is that leaf's
+    node. Each round folds aligned runs of 2**LEVELS nodes by LEVELS levels, or by as many
+    as the day still has, so a round is one shuffle and no row holds more than a run.
     """
-    level = leaves.select("day", F.col("at").alias("i"), F.sha2(F.unhex(F.concat(F.lit(LEAF), "leaf")), 256).alias("h"))
-    rounds = leaves.groupBy("day").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while rounds > 1:
-        g = level.groupBy("day", F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", F.col("i")).alias("l"), F.max_by("h", F.col("i")).alias("r"), F.min("i").alias("first"))
-        # a day that is down to one node keeps it
-        alone = (F.col("i") == 0) & (F.count("*").over(Window.partitionBy("day")) == 1) & (F.col("l") == F.col("r")) & F.col("single")
-        g = g.join(level.groupBy("day").agg((F.count("*") == 1).alias("single")), "day")
-        level = g.select("day", "i", F.when(alone, F.col("l")).otherwise(F.sha2(F.unhex(F.concat(F.lit(NODE), "l", "r")), 256)).alias("h"))
-        rounds = (rounds + 1) // 2
+    sizes = leaves.groupBy("day").agg(F.count("*").alias("n"))
+    depth = F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0)
+    node = F.sha2(F.unhex(F.concat(F.lit(LEAF), "leaf")), 256)
+    level = leaves.join(sizes.select("day", depth.alias("left")), "day").select("day", F.col("at").alias("i"), node.alias("h"), "left")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+
+    def halved(nodes: Column, _: Column) -> Column:
+        pairs = F.transform(nodes, lambda h, i: F.concat(F.lit(NODE), h, F.coalesce(F.get(nodes, i + 1), h)))
+        return F.transform(F.filter(pairs, lambda _, i: i % 2 == 0), lambda p: F.sha2(F.unhex(p), 256))
+
+    for _ in range(-(-max(most - 1, 0).bit_length() // LEVELS)):
+        runs = level.groupBy("day", F.shiftright("i", LEVELS).alias("i"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("run"))
+        steps = F.when(F.col("left") > 0, F.sequence(F.lit(1), F.least("left", F.lit(LEVELS)))).otherwise(F.array().cast("array<int>"))
+        level = runs.select("day", "i", F.element_at(F.aggregate(steps, F.col("run"), halved), 1).alias("h"), F.greatest(F.col("left") - LEVELS, F.lit(0)).alias("left"))
     return level.select("day", F.col("h").alias("root"))
 
 
+def _places(events: DataFrame) -> DataFrame:
+    """Events with their place in the day by (ts, event_id), from 0: places in a minute after the minutes before it."""
+    minute = events.withColumn("minute", F.date_trunc("minute", "ts"))
+    counts = minute.groupBy("day", "minute").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("day", "minute").orderBy("ts", "event_id")) - 1
+    return minute.withColumn("inside", inside).join(counts.select("day", "minute", before.alias("before")), ["day", "minute"]).withColumn("at", (F.col("before") + F.col("inside")).cast("bigint"))
+
+
 def daily_anchor(spark: SparkSession, d: str) -> DataFrame:
     """UTC day, number of events, first and last event, and the Merkle root over their hashes."""
     e = chain_v2_event_hash(spark, d).join(table(spark, d, "events").select("event_id", "ts"), "event_id").withColumn("day", F.to_date("ts"))
-    place = (F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1).cast("bigint")
-    roots = merkle_roots(e.select("day", place.alias("at"), F.col("event_hash").alias("leaf")))
+    roots = merkle_roots(_places(e).select("day", "at", F.col("event_hash").alias("leaf")))
     days = e.groupBy("day").agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
     return days.join(roots, "day")
 
@@ -137,8 +186,35 @@ def coverage_diff(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chain_v1_build, chain_v2_event_hash, chain_tamper_findings, chain_summary, daily_anchor, coverage_diff)}
 _EV = "e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, ts, props AS payload FROM events)"
+_LITTLE = "substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)"
+_hash = lambda seq, before, payload: f"sha256(unhex('{TAG}' || {_LITTLE.replace('x,', f"printf('%016x', {seq}),")} || {before} || sha256({payload})))"
+_CHAIN = f"""{_EV}, l AS (
+        SELECT chain, seq, event_id, payload, '{ZERO}' AS previous_hash, {_hash("seq", f"'{ZERO}'", "payload")} AS event_hash FROM e WHERE seq = 0
+        UNION ALL SELECT e.chain, e.seq, e.event_id, e.payload, l.event_hash, {_hash("e.seq", "l.event_hash", "e.payload")} FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1
+    )"""
+#: The findings of a table t of entries.
+_FOUND = f"""
+    w AS (SELECT *, lag(event_hash) OVER v AS before_hash, lag(seq) OVER v AS before_seq FROM t WINDOW v AS (PARTITION BY chain ORDER BY seq, event_hash)),
+    f AS (
+        SELECT chain, seq, 'LENGTH' AS finding FROM w WHERE coalesce(length(event_hash), 0) <> 64 OR coalesce(length(previous_hash), 0) <> 64
+        UNION ALL SELECT chain, seq, 'GENESIS' FROM w WHERE before_seq IS NULL AND previous_hash <> '{ZERO}'
+        UNION ALL SELECT chain, seq, 'EVENT_HASH' FROM w WHERE length(event_hash) = 64 AND length(previous_hash) = 64 AND {_hash("seq", "previous_hash", "payload")} <> event_hash
+        UNION ALL SELECT chain, seq, 'LINK' FROM w WHERE before_seq IS NOT NULL AND previous_hash <> before_hash
+        UNION ALL SELECT chain, seq, 'GAP' FROM w WHERE seq > before_seq + 1
+        UNION ALL SELECT chain, seq, 'DUPLICATE' FROM w WHERE seq = before_seq
+    )"""
+_TAMPERED = "SELECT chain, seq, CASE WHEN event_id % 97 = 0 THEN payload || ' ' ELSE payload END AS payload, CASE WHEN event_id % 101 = 0 THEN repeat('f', 64) ELSE previous_hash END AS previous_hash, event_hash FROM l WHERE event_id % 89 <> 0"
 ORACLE_SQL = {
     "chain_v1_build": f"WITH RECURSIVE {_EV}, h AS (SELECT chain, seq, sha256('{SEED}' || payload) AS h FROM e WHERE seq = 0 UNION ALL SELECT e.chain, e.seq, sha256(h.h || e.payload) FROM h JOIN e ON e.chain = h.chain AND e.seq = h.seq + 1) SELECT chain, seq + 1 AS n, h AS head FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS r FROM h) t WHERE r = 1",
+    "chain_v2_event_hash": f"WITH {_EV} SELECT event_id, seq, {_hash("seq", f"'{ZERO}'", "payload")} AS event_hash FROM e",
+    "chain_tamper_findings": f"WITH RECURSIVE {_CHAIN}, t AS ({_TAMPERED}), {_FOUND} SELECT chain, seq, finding FROM f",
+    "chain_summary": f"WITH RECURSIVE {_CHAIN}, t AS (SELECT * FROM l), {_FOUND}, c AS (SELECT DISTINCT chain FROM t), b AS (SELECT DISTINCT chain FROM f) SELECT count(*) AS total, count(*) FILTER (WHERE b.chain IS NULL) AS ok, bool_and(b.chain IS NULL) AS all_ok FROM c LEFT JOIN b ON b.chain = c.chain",
+    "daily_anchor": f"""
+        WITH RECURSIVE {_EV},
+        o AS (SELECT CAST(ts AS DATE) AS day, ts, event_id, sha256(unhex('{LEAF}' || {_hash("seq", f"'{ZERO}'", "payload")})) AS h FROM e),
+        d AS (SELECT day, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event, list(h ORDER BY ts, event_id) AS hs FROM o GROUP BY day),
+        m AS (SELECT day, hs FROM d UNION ALL SELECT day, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(unhex('{NODE}' || hs[2 * i + 1] || coalesce(hs[2 * i + 2], hs[2 * i + 1])))) FROM m WHERE len(hs) > 1)
+        SELECT d.day, n, first_event, last_event, m.hs[1] AS root FROM d JOIN m ON m.day = d.day AND len(m.hs) = 1
+    """,
     "coverage_diff": "SELECT user_id, event_type, greatest(a - b, 0) AS missing, greatest(b - a, 0) AS extra FROM (SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 7 <> 0) AS a, count(*) FILTER (WHERE event_id % 11 <> 0) AS b FROM events GROUP BY user_id, event_type) t WHERE a <> b",
-    "chain_summary": "SELECT count(DISTINCT user_id) AS total, count(DISTINCT user_id) AS ok, true AS all_ok FROM events",
 }

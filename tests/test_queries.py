@@ -113,9 +113,9 @@ def test_tamper_query_finds_what_was_planted(spark):
     assert {"EVENT_HASH", "LINK", "GAP"} <= found
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13])
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 1024, 1025, 5000])
 def test_merkle_root(spark, n):
-    leaves = [hashlib.sha256(bytes([i])).digest() for i in range(n)]
+    leaves = [hashlib.sha256(i.to_bytes(2, "big")).digest() for i in range(n)]
     level = [hashlib.sha256(b"\x01" + x).digest() for x in leaves]
     while len(level) > 1:
         level += level[-1:] if len(level) % 2 else []
