@@ -36,20 +36,24 @@ def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
     return met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets"))
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, keys: Callable[[Side], Column] = lambda x: x("keys")) -> DataFrame:
+def least_shared(key: Column, x: Side, y: Side) -> Column:
+    """Whether a key is the least of those that two nodes share."""
+    return key == F.array_min(F.array_intersect(x("keys"), y("keys")))
+
+
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket.
 
     ``buckets`` has (key, node) and may have meets, ``nodes`` has node and the columns that ``near`` and
-    ``keys`` (all keys of a node, in any order) read; ``confirm`` takes (a, b) pairs and
-    returns the confirmed ones as (u, v).
+    ``first`` read; ``confirm`` takes (a, b) pairs and returns the confirmed ones as (u, v).
+    ``first`` is true for one of the keys that a pair shares; without it nodes have their ``keys``.
 
     First each node is compared with one node only: of the most connected member of each of
     its buckets, the one that it meets in most of them. The document that a family was
     copied from meets nearly all of it. In later rounds a bucket's main component is the one
     with most members there, and the members outside it are compared with one member of it.
     At last every two members of one bucket that still lie in different components are
-    compared, so no component is left split; pairs inside a component need no comparison. A pair is taken from
-    the least key that it shares.
+    compared, so no component is left split; pairs inside a component need no comparison.
     """
     columns = [c for c in nodes.columns if c != "node"]
 
@@ -94,7 +98,7 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
         & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & near(of("a"), of("b"))
-        & (x["key"] == F.array_min(F.array_intersect(keys(of("a")), keys(of("b"))))),
+        & first(x["key"], of("a"), of("b")),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not labelled.isEmpty():
         last = cut(rest.distinct())

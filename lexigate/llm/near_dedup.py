@@ -37,17 +37,18 @@ ROUNDS = 3
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1 << 16, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
+_SIG = [f"s{c}" for c in range(CHUNKS)]
 _KEPT = [[c * WIDTH + i for i in range(WIDTH) if i not in out] for c in range(CHUNKS) for out in itertools.combinations(range(WIDTH), ERRORS)]
 
 
 def max_distance(threshold: int) -> int:
     """Differing symbols up to which a pair that meets is compared: RADIUS at least.
 
-    At the similarity threshold a symbol differs with probability 1 - t; six standard
-    deviations above that mean rule out about one such pair in a hundred million.
+    At the similarity threshold a symbol differs with probability 1 - t; 4.5 standard
+    deviations above that mean rule out about five such pairs in a million.
     """
     p = 1 - threshold / 100
-    return max(RADIUS, int(np.ceil(SYMBOLS * p + 6 * np.sqrt(SYMBOLS * p * (1 - p)))))
+    return max(RADIUS, int(np.ceil(SYMBOLS * p + 4.5 * np.sqrt(SYMBOLS * p * (1 - p)))))
 
 
 def _sets(batch: pa.RecordBatch, shingle: int):
@@ -89,10 +90,7 @@ def _sign(shingle: int):
                         low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                         sig[some, k // WIDTH] |= (low >> np.uint32(32 - BITS)).astype(np.int64) << (BITS * (k % WIDTH))
                 n = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(size, pa.int64()), _set_ids(flat, offsets), T.int_lists(sig.reshape(-1), np.arange(n + 1) * CHUNKS)],
-                    ["doc_id", "n_shingles", "cid", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size, pa.int64()), _set_ids(flat, offsets), *[pa.array(sig[:, c]) for c in range(CHUNKS)]], ["doc_id", "n_shingles", "cid", *_SIG])
 
     return run
 
@@ -136,28 +134,37 @@ def _confirm(threshold: int, shingle: int):
     return run
 
 
-def _differing(x: Column, y: Column) -> Column:
-    """Symbols that differ: fold the bits of each symbol of the XOR into its lowest and count."""
+def _errors(x: Side, y: Side) -> list[Column]:
+    """Symbols that differ in each chunk: fold the bits of each symbol of the XOR into its lowest and count."""
     low = F.lit(sum(1 << (BITS * i) for i in range(WIDTH)))
-    total = F.lit(0)
+    out = []
     for c in range(CHUNKS):
-        z = F.get(x, F.lit(c)).bitwiseXOR(F.get(y, F.lit(c)))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 6))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 3))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2))
-        total = total + F.bit_count(z.bitwiseAND(low))
-    return total
+        z = x(f"s{c}").bitwiseXOR(y(f"s{c}"))
+        for k in (6, 3):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        out.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(low)))
+    return out
+
+
+def _first(key: Column, x: Side, y: Side) -> Column:
+    """Whether a key is the first that two signatures share: of their first chunk with few errors, the symbol that errs left out."""
+    left = F.shiftrightunsigned(key, 60).cast("int")
+    chunk = F.call_function("shiftrightunsigned", key, left * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+    ok = F.lit(False)
+    for c, e in reversed(list(enumerate(_errors(x, y)))):
+        ok = F.when(e <= ERRORS, (chunk == c) & ((e == ERRORS) | (left == 0))).otherwise(ok)
+    return ok
 
 
-def _keys(sig: Column) -> Column:
-    """One key for each chunk and choice of a symbol to leave out: in its place stands the chunk's number."""
+def _keys() -> Column:
+    """One key for each chunk and symbol to leave out: in that symbol's place stands the chunk's number."""
     out = []
     for kept in _KEPT:
         c = kept[0] // WIDTH
         (left,) = set(range(c * WIDTH, (c + 1) * WIDTH)) - set(kept)
         i = left % WIDTH
         mask = sum(((1 << BITS) - 1) << (BITS * (k % WIDTH)) for k in kept)
-        out.append(F.get(sig, F.lit(c)).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << 60 | c << (BITS * i)).cast("bigint")))
+        out.append(F.col(f"s{c}").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(i << 60 | c << (BITS * i)).cast("bigint")))
     return F.array(*out)
 
 
@@ -175,10 +182,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
     prepare(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, sig array<bigint>"))
+    rows = cut(source.mapInArrow(_sign(shingle), f"doc_id {id_type}, n_shingles bigint, cid binary, " + ", ".join(f"{x} bigint" for x in _SIG)))
 
-    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), "sig"), _keys(F.col("sig"))))
+    classes = cut(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(x).alias(x) for x in _SIG]))
+    buckets = cut(shared_buckets(classes.select(F.col("cid").alias("node"), *_SIG), _keys()))
     members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
     needed = cut(classes.join(members.withColumnRenamed("node", "cid").hint("merge"), "cid", "left_semi"))
 
@@ -189,13 +196,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
     far = max_distance(threshold)
 
     def near(x: Side, y: Side) -> Column:
-        return (100 * F.least(x("n"), y("n")) >= threshold * F.greatest(x("n"), y("n"))) & (_differing(x("sig"), y("sig")) <= far)
+        return (100 * F.least(x("n"), y("n")) >= threshold * F.greatest(x("n"), y("n"))) & (sum(_errors(x, y), F.lit(0)) <= far)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, shingle), "u binary, v binary")
 
-    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", "sig"), near, confirm, ROUNDS, lambda x: _keys(x("sig")))
+    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", *_SIG), near, confirm, ROUNDS, _first)
     drop(buckets, needed, texts)
 
     nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
