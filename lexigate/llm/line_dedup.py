@@ -1,19 +1,18 @@
 """Fuzzy line deduplication over the whole corpus.
 
 Lines are normalised (words of letters and digits, A-Z lower-cased, digits to 0), and equal
-ones are one node. A node has BLOCKS keys, each of DEPTH MinHashes of its set of words (in
-scripts without spaces, of its letters); nodes meet under (block, value, length band), a
-node near the end of its band also in the next, so that lengths a tenth apart still meet.
-Pairs that meet are confirmed by edit similarity alone, and each connected group keeps its
-first occurrence. A signature of counted letters spares comparisons that cannot succeed.
-
-Small buckets are joined pair by pair. Large ones (many variants of one line) go through
-centres and components, so they are never expanded into all their pairs.
+ones are one node. A node has BLOCKS keys, each of several MinHashes of its set of words (in
+scripts without spaces, of its letters): LONG_DEPTH of them in lines of many words, where
+unrelated lines share some words too, SHORT_DEPTH in short ones. Lines of a number of words
+between have both sorts, so that a word more or less keeps no pair apart. Nodes that meet in a key
+are confirmed by edit similarity alone, and each connected group keeps its first occurrence.
+Lengths and counted letters spare comparisons that cannot succeed.
+
+Buckets are never expanded into all their pairs: see ``_buckets``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,30 +21,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
-from lexigate.llm._buckets import Side, bucket_components
-from lexigate.llm._graph import components
-from lexigate.llm._session import cut, prepare
+from lexigate.llm._buckets import Side, bucket_components, shared_buckets
+from lexigate.llm._filter import bit_filter, bit_words, marked, passes
+from lexigate.llm._session import cut, drop, prepare
 
 #: Lines with fewer words say too little to be called repeats; they always stay. In scripts
 #: that are written without spaces each letter counts as a word.
 MIN_WORDS = 5
-#: Keys of a node, and MinHashes in each.
-BLOCKS, DEPTH = 16, 4
+#: Keys of a node of each sort, and MinHashes in a key.
+BLOCKS, SHORT_DEPTH, LONG_DEPTH = 8, 3, 6
+#: Words from which a line has keys of LONG_DEPTH, and up to which of SHORT_DEPTH.
+LONG_FROM, SHORT_TO = 10, 11
 #: Bits that two signatures may differ in: all, for edit similarity alone decides.
 DISTANCE = 64
 #: Edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.9
-#: Ratio of lengths within a band.
-BAND = 1.5
-#: Bits of the filter that picks candidate lines where they are read.
-FILTER_BITS = 1 << 24
-#: Nodes of a bucket up to which it is joined pair by pair.
-SMALL = 200
+#: Rounds of comparing the members of a bucket with one of them.
+ROUNDS = 3
 
 _ZERO_DIGITS = T.LOWER.copy()
 _ZERO_DIGITS[0x30:0x3A] = 0x30
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
-_FACTORS = np.random.default_rng(20240611).integers(1, 1 << 63, (BLOCKS, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(20240611).integers(1, 1 << 63, (BLOCKS, LONG_DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -80,18 +77,22 @@ def _counts(norm: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return ((counts & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """BLOCKS 32-bit keys of each kept line, from the hashes of its words."""
+def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the kept lines from the hashes of their words: flat, and where each line's begin and end."""
     edges = np.stack([first[keep], first[keep + 1]], axis=1).reshape(-1)
     if edges[-1] == len(h):
         edges = edges[:-1]
-    out = np.empty((len(keep), BLOCKS), np.uint32)
+    keys = np.empty((len(keep), 2, BLOCKS), np.uint64)
     for j, factors in enumerate(_FACTORS):
-        total = np.zeros(len(keep), np.uint64)
-        for f in factors:
+        total = np.full(len(keep), j, np.uint64)
+        for depth, f in enumerate(factors, 1):
             total = total * _ODD + T.mix(np.minimum.reduceat(h * f, edges)[::2])
-        out[:, j] = T.mix(total) >> np.uint64(32)
-    return out
+            if depth == SHORT_DEPTH:
+                keys[:, 0, j] = T.mix(total)
+        keys[:, 1, j] = T.mix(total)
+    size = first[keep + 1] - first[keep]
+    has = np.stack([size <= SHORT_TO, size >= LONG_FROM], axis=1)
+    return keys[has].reshape(-1), np.concatenate([[0], np.cumsum(has.sum(axis=1) * BLOCKS)])
 
 
 def _unspaced(norm: np.ndarray) -> np.ndarray:
@@ -135,30 +136,68 @@ def _units(norm: np.ndarray, w: T.Words, begin: np.ndarray, first: np.ndarray):
     return start, end, np.append(np.searchsorted(start, begin), len(start))
 
 
+def _features(data: np.ndarray, offsets: np.ndarray, min_words: int):
+    """Of the judged lines of a block: row, number, node, counted letters, length; and keys and text of lines chosen in order."""
+    norm, w, begin, _, row, number, first = _lines(data, offsets)
+    start, end, unit = _units(norm, w, begin, first)
+    keep = np.flatnonzero(np.diff(unit) >= min_words)
+    h = T.span_hash(norm, w.start, w.end)
+    lead = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
+    chars = np.concatenate([[0], np.cumsum(lead[w.end] - lead[w.start] + 1)])
+    n = (chars[first[1:]] - chars[first[:-1]] - 1)[keep]
+
+    def keys(chosen: np.ndarray) -> pa.Array:
+        flat, at = _min_keys(h if start is w.start else T.span_hash(norm, start, end), unit, keep[chosen]) if len(chosen) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        return T.int_lists(flat, at)
+
+    def text(chosen: np.ndarray) -> list[str]:
+        return [b" ".join(norm[w.start[j] : w.end[j]].tobytes() for j in range(first[i], first[i + 1])).decode() for i in keep[chosen].tolist()]
+
+    return row[keep], number[keep], _ids(h, first)[keep].view(np.int64), _counts(norm, begin)[keep].view(np.int64), n, keys, text
+
+
 def _sign(min_words: int, keys: bool = False):
     """doc_id, line_no, node, signature, length (and keys) of the judged lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in T.blocks(batch):
-                norm, w, begin, _, row, number, first = _lines(data, offsets)
-                start, end, unit = _units(norm, w, begin, first)
-                keep = np.flatnonzero(np.diff(unit) >= min_words)
-                if not len(keep):
-                    continue
-                h = T.span_hash(norm, w.start, w.end)
-                line = _ids(h, first)[keep]
-                lead = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
-                chars = np.concatenate([[0], np.cumsum(lead[w.end] - lead[w.start] + 1)])
-                n = (chars[first[1:]] - chars[first[:-1]] - 1)[keep]
-                sim = _counts(norm, begin)[keep]
-                columns = [batch.column(0).take(pa.array(row[keep] + a)), pa.array(number[keep]), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(n, pa.int32())]
-                names = ["doc_id", "line_no", "node", "sim", "n"]
-                if keys:
-                    values = pa.array(_min_keys(h if start is w.start else T.span_hash(norm, start, end), unit, keep).view(np.int32).reshape(-1))
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * BLOCKS, pa.int32()), values))
-                    names.append("mins")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                row, number, node, sim, n, keys_of, _ = _features(data, offsets, min_words)
+                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(node), pa.array(sim), pa.array(n, pa.int32())]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([*columns, *([keys_of(np.arange(len(row)))] if keys else [])], ["doc_id", "line_no", "node", "sim", "n", *(["mins"] if keys else [])])
+
+    return run
+
+
+def _index(min_words: int):
+    """node and keys of the judged lines, each node once a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in T.blocks(batch):
+                _, _, node, _, _, keys_of, _ = _features(data, offsets, min_words)
+                once = np.sort(np.unique(node, return_index=True)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(node[once]), keys_of(once)], ["node", "mins"])
+
+    return run
+
+
+def _rows(min_words: int, bits: np.ndarray):
+    """Judged lines; once a block those whose node is in the filter have text, signature, length and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in T.blocks(batch):
+                row, number, node, sim, n, keys_of, text_of = _features(data, offsets, min_words)
+                once = np.unique(node, return_index=True)[1]
+                wanted = np.sort(once[passes(bits, node[once])])
+                at = np.full(len(node), -1)
+                at[wanted] = np.arange(len(wanted))
+                only = lambda values: pa.array(values).take(pa.array(at, mask=at < 0))
+                texts = pa.array(text_of(wanted), pa.string()).take(pa.array(at, mask=at < 0))
+                mins = keys_of(wanted).take(pa.array(at, mask=at < 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(node), texts, only(sim[wanted]), only(n[wanted].astype(np.int32)), mins], ["row", "line_no", "node", "line", "sim", "n", "mins"])
 
     return run
 
@@ -207,42 +246,6 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
 
-def _texts(words: np.ndarray):
-    """Normalised texts of the lines whose node is in a filter of FILTER_BITS bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in T.blocks(batch):
-                norm, w, _, _, _, _, first = _lines(data, offsets)
-                line = _ids(T.span_hash(norm, w.start, w.end), first)
-                bit = (line & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                wanted = np.flatnonzero(((words[bit >> 6] >> (bit & 63)) & 1).astype(bool) & (np.diff(first) > 0))
-                wanted = wanted[np.unique(line[wanted], return_index=True)[1]]
-                texts = [b" ".join(norm[w.start[j] : w.end[j]].tobytes() for j in range(first[i], first[i + 1])).decode() for i in wanted.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(line[wanted].view(np.int64)), pa.array(texts, pa.string())], ["node", "line"])
-
-    return run
-
-
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each node, as FILTER_BITS / 64 words: combined by Spark."""
-    place = F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bit = F.expr(f"shiftleft(1L, cast((node & {FILTER_BITS - 1}) & 63 as int))")
-    rows = nodes.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows.column("i").to_numpy()] = rows.column("w").to_numpy()
-    return out
-
-
-def _band(n: Column) -> Column:
-    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(BAND)).cast("bigint")
-
-
-def _top_band(n: Column) -> Column:
-    """The band of the longest line that may still be similar."""
-    return _band(n / SIMILARITY)
-
-
 def _near(x: Side, y: Side) -> Column:
     """False only where lengths or counted letters rule the edit similarity out."""
     longer = F.greatest(x("n"), y("n"))
@@ -254,15 +257,6 @@ def _near(x: Side, y: Side) -> Column:
     return (longer - F.least(x("n"), y("n")) <= most) & (apart <= 2 * most)
 
 
-def _keys(mins: Column, n: Column) -> Column:
-    """(block, value, band) of a node: its own band, and the next where a similar line may lie there."""
-
-    def at(band: Column) -> Column:
-        return F.transform(mins, lambda v, j: F.shiftleft(j.cast("bigint"), 44).bitwiseOR(F.shiftleft(v.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 12)).bitwiseOR(band))
-
-    return F.when(_top_band(n) > _band(n), F.concat(at(_band(n)), at(_band(n) + 1))).otherwise(at(_band(n)))
-
-
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, line_no, first): every judged line, and whether it is the one its group keeps.
 
@@ -271,44 +265,34 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    nodes = source.select("text").mapInArrow(_index(min_words), "node bigint, mins array<bigint>").groupBy("node").agg(F.first("mins").alias("mins"))
+    nodes = cut(nodes)
+    buckets = cut(shared_buckets(nodes, F.col("mins")))
+    drop(nodes)
+
+    bits = bit_filter(buckets.select("node"))
     signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
-    signed = signed.mapInArrow(_sign(min_words, True), f"doc_id struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, sim bigint, n int, mins array<int>")
-    rows = cut(signed.select("doc_id.*", "line_no", "node", "sim", "n", "mins"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("mins").alias("mins")))
-
-    keys = _keys(F.col("mins"), F.col("n"))
-    met = nodes.select("node", "sim", "n", F.explode(keys).alias("key")).repartition("key")
-    size = met.groupBy("key").agg(F.count("*").alias("c"))
-    small = met.join(size.where((F.col("c") > 1) & (F.col("c") <= SMALL)).select("key"), "key", "left_semi")
-    large = met.join(size.where(F.col("c") > SMALL).select("key"), "key", "left_semi")
-    x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "sim", "n")]) for s in "ab")
-    of = lambda s: lambda c: F.col(f"{c}_{s}")
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & _near(of("a"), of("b")))
-    # one job for both, so that they share one exchange
-    found = cut(close.select(F.lit(True).alias("pair"), F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().unionByName(large.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b"))))
-
-    large = found.where("not pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    ends = cut(found.select(F.explode(F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct())
-    lines = source.select("text").mapInArrow(_texts(_filter(ends)), "node bigint, line string").join(ends, "node", "left_semi")
-    lines = cut(lines.groupBy("node").agg(F.first("line").alias("line")))
+    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, sim bigint, n int, mins array<bigint>"))
+    members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
+    found = rows.where("line is not null").join(members.hint("merge"), "node", "left_semi")
+    found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "sim", "n", "mins")]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+        both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
         return both.select("a", "b", "la", "lb").mapInArrow(_confirm, "u bigint, v bigint")
 
-    links = cut(confirm(found.where("pair").select("a", "b")))
-    if not large.isEmpty():
-        inner = large.select("node").distinct().join(nodes.select("node", "sim", "n", keys.alias("keys")), "node")
-        more = bucket_components(large, cut(inner), _near, confirm, 1)
-        links = links.unionByName(more.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    comp = components(links)
-    grouped = nodes.join(comp, "node", "left").select("node", "at", F.coalesce("component", "node").alias("component"))
+    comp = bucket_components(buckets, found.drop("line").withColumnRenamed("mins", "keys"), _near, confirm, ROUNDS)
+    drop(buckets, found)
+    own = rows.groupBy("node").agg(F.min(F.struct("row.doc_id", "line_no")).alias("at"))
+    grouped = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
+    grouped = own.join(grouped.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("at").alias("kept"))
-    kept = grouped.join(least, "component").select("node", "kept")
-    return rows.join(kept, "node").select("doc_id", "version", "line_no", (F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).alias("first"))
+    kept = grouped.join(least.hint("merge"), "component").select("node", "kept")
+    judged = rows.select("row.doc_id", "row.version", "line_no", "node").join(kept.hint("merge"), "node")
+    return judged.select("doc_id", "version", "line_no", (F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).alias("first"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed") -> DataFrame:
     """Texts without the lines that fuzzily repeat an earlier line of the corpus.
 
     Lines end at a newline. Those with fewer than ``min_words`` words always stay; a letter of
@@ -319,12 +303,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     is cut from the others only where they have the same text. Null texts stay null, empty
     ones empty. An empty table gives an empty result. Nodes are 64-bit hashes.
 
-    Returns all columns of docs with the new text, and n_removed (lines taken out).
+    Returns all columns of docs with the new text, and ``removed`` (lines taken out; a column of
+    that name in docs is replaced).
     """
-    gone = line_groups(docs, min_words).where("not first").groupBy(F.col("doc_id").alias("owner_"), F.col("version").alias("version_")).agg(F.collect_set("line_no").alias("gone_"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
-    same = F.col("row_.doc_id").eqNullSafe(F.col("owner_")) & (F.xxhash64(F.col("row_.text").cast("string")) == F.col("version_"))
-    out = packed.join(gone, same, "left")
+    owner = F.struct(F.col("row_.doc_id").alias("doc_id"), F.xxhash64(F.col("row_.text").cast("string")).alias("version"))
+    gone = line_groups(docs, min_words).where("not first").groupBy(F.struct("doc_id", "version").alias("owner_")).agg(F.collect_set("line_no").alias("gone_"))
+    gone = cut(gone)
+    words = bit_words(gone.select(F.xxhash64("owner_").alias("h")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")).withColumn("owner_", owner).withColumn("h_", F.xxhash64("owner_"))
+    packed = marked(packed, cut(words), "h_")
+    same = packed.where("hit_").join(gone, "owner_", "left").select("row_", "gone_")
+    out = same.unionByName(packed.where("not hit_").select("row_", F.lit(None).cast("array<bigint>").alias("gone_")))
     lines = F.filter(F.split(F.col("row_.text"), "\n", -1), lambda _, i: ~F.array_contains("gone_", i.cast("bigint")))
     text = F.when(F.col("gone_").isNull(), F.col("row_.text")).otherwise(F.array_join(lines, "\n"))
-    return out.select(*[(text if c == "text" else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns], F.coalesce(F.array_size("gone_"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return out.select(*[(text if c == "text" else F.col(f"row_.`{c}`")).alias(c) for c in docs.columns if c != removed], F.coalesce(F.array_size("gone_"), F.lit(0)).cast("bigint").alias(removed))

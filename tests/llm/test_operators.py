@@ -512,8 +512,8 @@ def test_lines_with_one_changed_word_meet(size):
         assert sum(min(v & 15, -v & 15) for v in d) <= 2 * int(0.1 * max(len(pairs[p]), len(pairs[p + 1])) + 1e-9)
 
 
-def test_line_links_of_large_buckets_match_brute_force(spark, rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SMALL", 1)
+def test_line_links_of_one_round_match_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
     test_line_links_match_brute_force(spark, rows)
 
 
