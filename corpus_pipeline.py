@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
 returns the columns of documents, but for the last, which adds the tokens. Stages are
-written as Parquet and read again; ``run`` keeps to that with checkpoints.
+written as Parquet and read again. An empty table stays empty at every stage; null texts
+and ids, repeated rows and extra columns of any name pass as each stage states.
 """
 
 from __future__ import annotations
@@ -37,8 +38,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; those left without a word go."""
-    left = line_dedup.dedup_lines(docs)
-    return left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("n_removed")
+    removed = "n_removed"
+    while removed in {c.lower() for c in docs.columns}:
+        removed += "_"
+    left = line_dedup.dedup_lines(docs, removed=removed)
+    return left.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(removed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
