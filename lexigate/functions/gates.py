@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexigate.functions.text import plain
+
 # They must equal the wire behaviour of the checks that users run today.
 SYMBOLS = ["°", "%", "‰", "§", "<", ">", "≤", "≥", "±"]
 UNITS = ["mg", "g", "kg", "mcg", "µg", "ml", "L", "mol", "mmol"]
@@ -35,14 +37,15 @@ NEGATION_MARKERS = {
     "ar": ["لا", "لم", "لن", "ليس", "غير", "عدم", "إياك", "تحذير", "ممنوع"],
     "ja": ["ない", "ません", "ぬ", "ず", "禁忌", "禁止", "使用しない"],
 }
-#: Source words that negate, more for the languages with a wider list.
+# Source words that negate, more for the languages with a wider list.
 WIDE_NEGATION = r"(?i)\b(no|not|never|none|neither|nor|cannot|don't|won't|avoid|prohibited|contraindicated)\b"
 WIDE = ["pt", "zh", "ko", "ar", "ja"]
-#: Traditional characters and their simplified forms; European terms and their Brazilian forms.
+# Traditional characters and their simplified forms; European terms and their Brazilian forms.
 TRADITIONAL = {"藥": "药", "醫": "医", "療": "疗", "處": "处", "與": "与", "對": "对", "進": "进", "開": "开"}
 EUROPEAN = {"doente": "paciente"}
-#: Digits of other scripts, 0 to 9.
+# Digits of other scripts, 0 to 9.
 DIGITS = {"ar": "٠١٢٣٤٥٦٧٨٩", "ja": "０１２３４５６７８９"}
+# Words that count as negative, and shapes of personal data.
 NEGATIVE_MARKERS = {
     "en": ["not", "never", "bad", "worst", "terrible", "fail"],
     "fr": ["pas", "jamais", "mauvais", "pire", "terrible", "échec"],
@@ -56,26 +59,27 @@ PII_SHAPES = {
     "IPV4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
     "CREDIT_CARD": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
 }
+# Labelled patterns, in the order in which findings are given.
 INJECTION = {
     "ignore_previous": r"(?i)ignore\s+(?:all\s+|any\s+|the\s+)?(?:previous|prior|above)\s+(?:instructions?|prompts?|text|messages?)",
     "disregard_above": r"(?i)disregard\s+(?:all\s+|the\s+|any\s+)?(?:previous\s+|above\s+|prior\s+)?(?:instructions?|prompts?|text|context)",
     "forget_instructions": r"(?i)forget\s+(?:all\s+|the\s+)?(?:everything|previous|above|prior|earlier)\b",
     "you_are_now": r"(?i)you\s+are\s+now\s+(?:a\s+|an\s+|the\s+)",
     "system_prompt_ref": r"(?i)system\s+prompt",
-    "jailbreak": r"(?i)\bjailbreak\b",
-    "prompt_injection_literal": r"(?i)prompt\s+injection",
     "reveal_prompt": r"(?i)(?:reveal|repeat|print|show|output|expose)\s+(?:me\s+)?(?:your\s+|the\s+)?(?:system\s+|initial\s+|original\s+)?(?:prompt|instructions?)",
     "new_instructions_marker": r"(?i)\bnew\s+instructions?\s*:",
-    "role_tag": r"(?i)</?\s*(?:system|assistant|user)\s*>",
-    "inst_tag": r"(?i)\[/?\s*(?:INST|SYS|SYSTEM)\s*\]",
     "instead_directive": r"(?i)\binstead[,\s]+(?:output|say|write|respond|print|translate|return|reply)\b",
     "act_as_model": r"(?i)act\s+as\s+(?:an?\s+)?(?:ai|assistant|language\s+model|llm|dan|chatbot|developer\s+mode)",
+    "role_tag": r"(?i)</?\s*(?:system|assistant|user)\s*>",
+    "inst_tag": r"(?i)\[/?\s*(?:INST|SYS|SYSTEM)\s*\]",
     "override_directive": r"(?i)override\s+(?:your\s+|the\s+|all\s+)?(?:previous\s+)?(?:instructions?|settings?|rules?|safety|guardrails?)",
+    "jailbreak": r"(?i)\bjailbreak\b",
+    "prompt_injection_literal": r"(?i)prompt\s+injection",
     "begin_response_with": r"(?i)begin\s+your\s+(?:response|answer|reply|output)\s+with",
     "you_must_output": r"(?i)you\s+must\s+(?:output|respond|reply|say|write|return)\b",
     "translate_as_literal": r"(?i)translate\s+(?:this|it|the\s+\w+)\s+as\s+[\"']",
 }
-#: Severity by the first word that a message holds, in this order.
+# Severity by the first word that a message holds, in this order.
 SEVERITY_WORDS = [
     (("unit", "numeric", "number", "negation", "injection", "omission", "untranslated", "contraindication", "anchor", "placeholder", "frequency"), "CRITICAL"),
     (("glossary", "terminology", "sentiment"), "MAJOR"),
@@ -220,8 +224,9 @@ def sentiment(source: Column, target: Column, lang: str) -> Column:
 
 
 def injection(source: Column) -> Column:
-    """Labels of the injection patterns that the text holds."""
-    return F.array_compact(F.array(*[F.when(source.rlike(p), F.lit(label)) for label, p in INJECTION.items()]))
+    """Labels of the injection patterns that the text holds once disguises are taken off."""
+    bare = plain(source)
+    return F.array_compact(F.array(*[F.when(bare.rlike(p), F.lit(label)) for label, p in INJECTION.items()]))
 
 
 def severity(message: Column) -> Column:

@@ -17,16 +17,32 @@ _MARK = "\u0001"
 
 
 def _folded() -> tuple[str, str]:
-    """Letters of the Latin blocks and what is left of each without its accents, by rule."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x250)]
+    """Letters and what is left of each without its accents, by rule; Hangul syllables stay whole."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x10000) if not 0xAC00 <= c <= 0xDFFF]
     pairs = [(c, "".join(x for x in d if not unicodedata.combining(x))) for c, d in pairs]
     kept = [(c, d) for c, d in pairs if len(d) == 1 and d != c]
     return "".join(c for c, _ in kept), "".join(d for _, d in kept)
 
 
 def fold(x: Column) -> Column:
-    """Latin letters without their accents, loose accents dropped."""
-    return F.regexp_replace(F.translate(x, *_folded()), r"[̀-ͯ]", "")
+    """Letters without their accents, loose combining marks dropped."""
+    return F.regexp_replace(F.translate(x, *_folded()), r"[\u0300-\u036f\u0591-\u05bd\u064b-\u065f\u0670\u3099\u309a]", "")
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatibility form is one other character, and those forms, by rule."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    kept = [(c, d) for c, d in pairs if len(d) == 1 and d != c]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+def plain(x: Column) -> Column:
+    """Compatibility characters in their plain form, zero-width characters dropped, runs of space as one space.
+
+    Characters whose plain form is more than one (ligatures) stay as they are.
+    """
+    bare = F.regexp_replace(F.translate(x, *_compatible()), r"[\u200b\u200c\u200d\u2060\ufeff]", "")
+    return F.regexp_replace(bare, r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " ")
 
 
 def words(x: Column) -> Column:

@@ -10,14 +10,27 @@ from lexigate.functions.gates import PII_SHAPES
 from lexigate.operators.gate_queries import pairs
 from lexigate.sources.tables import table
 
-# Doses a day of the phrases, without accents, and of the abbreviations.
+# Doses a day of the abbreviations, and of the phrases (without accents) of each language.
+ABBREVIATIONS = {
+    "qd": 1.0, "once daily": 1.0, "once a day": 1.0,
+    "bid": 2.0, "twice daily": 2.0, "twice a day": 2.0,
+    "tid": 3.0, "three times daily": 3.0, "three times a day": 3.0,
+    "qid": 4.0, "four times daily": 4.0, "four times a day": 4.0,
+    "qhs": 1.0,
+}
 FREQUENCIES = {
-    1: ["once daily", "une fois par jour", "una vez al dia", "einmal taglich", "una volta al giorno", "uma vez ao dia", "uma vez por dia"],
-    2: ["twice daily", "deux fois par jour", "dos veces al dia", "zweimal taglich", "due volte al giorno", "duas vezes ao dia", "duas vezes por dia"],
-    3: ["three times daily", "trois fois par jour", "tres veces al dia", "dreimal taglich", "tre volte al giorno", "tres vezes ao dia", "tres vezes por dia"],
-    4: ["four times daily", "quatre fois par jour", "cuatro veces al dia", "viermal taglich", "quattro volte al giorno", "quatro vezes ao dia", "quatro vezes por dia"],
-}
-ABBREVIATIONS = {"qd": 1, "once a day": 1, "bid": 2, "twice a day": 2, "tid": 3, "three times a day": 3, "qid": 4, "four times a day": 4, "qhs": 1}
+    "once daily": 1.0, "twice daily": 2.0, "three times daily": 3.0, "four times daily": 4.0,
+    "une fois par jour": 1.0, "deux fois par jour": 2.0, "trois fois par jour": 3.0, "quatre fois par jour": 4.0,
+    "una vez al dia": 1.0, "dos veces al dia": 2.0, "tres veces al dia": 3.0, "cuatro veces al dia": 4.0,
+    "einmal taglich": 1.0, "zweimal taglich": 2.0, "dreimal taglich": 3.0, "viermal taglich": 4.0,
+    "una volta al giorno": 1.0, "due volte al giorno": 2.0, "tre volte al giorno": 3.0, "quattro volte al giorno": 4.0,
+    "uma vez ao dia": 1.0, "uma vez por dia": 1.0, "duas vezes ao dia": 2.0, "duas vezes por dia": 2.0,
+    "tres vezes ao dia": 3.0, "tres vezes por dia": 3.0, "quatro vezes ao dia": 4.0, "quatro vezes por dia": 4.0,
+    "1일 1회": 1.0, "하루 한 번": 1.0, "1일 2회": 2.0, "하루 두 번": 2.0, "1일 3회": 3.0, "하루 세 번": 3.0, "1일 4회": 4.0, "하루 네 번": 4.0,
+    "每日一次": 1.0, "一天一次": 1.0, "每日两次": 2.0, "每日二次": 2.0, "一天两次": 2.0, "每日三次": 3.0, "一天三次": 3.0, "每日四次": 4.0,
+    "1日1回": 1.0, "一日一回": 1.0, "1日2回": 2.0, "一日二回": 2.0, "1日3回": 3.0, "一日三回": 3.0, "1日4回": 4.0, "一日四回": 4.0,
+    "مرة في اليوم": 1.0, "مرة يوميا": 1.0, "مرتين في اليوم": 2.0, "مرتين يوميا": 2.0, "ثلاث مرات في اليوم": 3.0, "اربع مرات في اليوم": 4.0,
+}
 # Accepted renderings of the scale anchors.
 ANCHORS = {
     "strongly agree": {"fr": ["tout à fait d'accord", "fortement d'accord"], "es": ["totalmente de acuerdo", "muy de acuerdo"]},
@@ -35,9 +48,9 @@ DIRECT_PAIRS = [
 
 def frequencies(x: Column) -> Column:
     """(name, doses a day): phrases first, the longest first, each taking its text away; then abbreviations."""
-    phrases = sorted(((p, n) for n, ps in FREQUENCIES.items() for p in ps), key=lambda p: -len(p[0]))
+    phrases = sorted(FREQUENCIES.items(), key=lambda p: -len(p[0]))
     table_ = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(n).alias("daily")) for p, n in phrases])
-    found = "array<struct<name: string, daily: int>>"
+    found = "array<struct<name: string, daily: double>>"
 
     def take(acc: Column, p: Column) -> Column:
         at = F.instr(acc["rest"], p["name"])
@@ -113,7 +126,7 @@ def gate_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Dosing frequencies of pairs whose daily doses differ."""
     daily = lambda c: F.array_sort(F.transform(frequencies(F.col(c)), lambda f: f["daily"]))
     x = pairs(spark, d).select("conv_id", "turn", daily("source").alias("s"), daily("target").alias("t"))
-    return x.where("s <> t").select("conv_id", "turn", F.array_join("s", ",").alias("s"), F.array_join("t", ",").alias("t"))
+    return x.where("s <> t").select("conv_id", "turn", F.array_join(F.transform("s", lambda v: v.cast("string")), ",").alias("s"), F.array_join(F.transform("t", lambda v: v.cast("string")), ",").alias("t"))
 
 
 def gate_tables(spark: SparkSession, d: str) -> DataFrame:
