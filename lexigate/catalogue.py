@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigate.operators import changes, documents, gate_queries, planted_gates, quality, relational, review, text_queries
+from lexigate.operators import changes, documents, gate_queries, planted_gates, quality, records, relational, review, text_queries
 from lexigate.plans import audit
 from lexigate.streaming import events
 
-_MODULES = (relational, quality, review, planted_gates, gate_queries, documents, text_queries, changes, audit, events)
+_MODULES = (relational, quality, review, planted_gates, records, gate_queries, documents, text_queries, changes, audit, events)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
