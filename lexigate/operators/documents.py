@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +133,84 @@ def vec_top1_cosine(spark: SparkSession, d: str) -> DataFrame:
     return best.select("q", "b.vec_id", "b.cosine", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.col("b.cosine"))), 4).alias("similarity"))
 
 
+#: Query vectors of one block: what is sent to every task.
+BLOCK = 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
+    """(q, vec_id, distance): the k vectors nearest to each query, itself left out; least id on ties.
+
+    Both sides have vec_id and embedding. Queries go to the tasks in blocks of BLOCK; each
+    Arrow batch keeps its k best for every query, each task the k best of its batches, so
+    what is shuffled is k rows for a query and task. Null vectors are near to nothing.
+    Distances are squared L2, or 1 less the cosine, rounded to 6 places.
+    """
+    spark = vectors.sparkSession
+    blocks = -(-queries.count() // BLOCK)
+    out = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).where("embedding is not null").select("vec_id", "embedding").toArrow()
+        if not own.num_rows:
+            continue
+        ids, matrix = own.column("vec_id").to_numpy(), np.array(own.column("embedding").to_pylist(), np.float64)
+
+        def best(batches, ids=ids, matrix=matrix):
+            kept = None
+            for batch in batches:
+                batch = batch.filter(pc.is_valid(batch.column(1)))
+                if batch.num_rows:
+                    found = _block_distances(matrix, np.array(batch.column(1).to_pylist(), np.float64), cosine)
+                    rows = batch.column(0).to_numpy()
+                    q, v = np.nonzero(ids[:, None] != rows[None, :])
+                    new = pd.DataFrame({"q": ids[q], "vec_id": rows[v], "distance": np.round(found[q, v], 6)})
+                    kept = _least(new if kept is None else pd.concat([kept, new]), k)
+            if kept is not None:
+                yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
+
+        part = vectors.select("vec_id", "embedding").mapInArrow(best, "q bigint, vec_id bigint, distance double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q bigint, vec_id bigint, distance double, place bigint")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id")).cast("bigint")
+    return out.withColumn("place", place).where(F.col("place") <= k)
+
+
+def _block_distances(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    if cosine:
+        return 1 - (a @ b.T) / np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def _least(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    return rows.sort_values(["q", "distance", "vec_id"]).groupby("q").head(k)
+
+
+def vec_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """Three nearest of all vectors for every vector whose id is divisible by 20, by squared L2 distance."""
+    e = table(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 20 = 0"), 3)
+
+
+def memory_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """Best stored vector for every vector whose id is divisible by 20: an equal one (score 1), else the nearest
+    within a cosine distance of 0.1 (score 0.9), else none."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    form = F.sha2(F.array_join(F.transform("embedding", lambda v: v.cast("string")), ","), 256)
+    stored = e.select(form.alias("form"), "vec_id")
+    exact = asked.select(F.col("vec_id").alias("q"), form.alias("form")).join(stored, "form").where("q <> vec_id").groupBy("q").agg(F.min("vec_id").alias("exact"))
+    near = nearest(e, asked, 1, cosine=True).where("distance < 0.1").select("q", F.col("vec_id").alias("near"))
+    both = asked.select(F.col("vec_id").alias("q")).join(exact, "q", "left").join(near, "q", "left")
+    return both.select("q", F.coalesce("exact", "near").alias("match"), F.when(F.col("exact").isNotNull(), 1.0).when(F.col("near").isNotNull(), 0.9).alias("score"))
+
+
 def rebuilt_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of each conversation joined in order, as a digest."""
     g = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return g.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), ". "), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (segments_lines, segments_sentences, segment_caps, page_text, structure_fingerprint, fidelity_compare, repeated_lines, doc_exact_dups, tm_exact_lookup, tm_exact_rate, tm_jaccard, vec_top3_l2, vec_top1_cosine, rebuilt_text)}
+QUERIES = {f.__name__: f for f in (segments_lines, segments_sentences, segment_caps, page_text, structure_fingerprint, fidelity_compare, repeated_lines, doc_exact_dups, tm_exact_lookup, tm_exact_rate, tm_jaccard, vec_top3_l2, vec_top1_cosine, vec_nearest_all, memory_best_match, rebuilt_text)}
 
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents)"
 _TAGS = {"paragraphs": "<p[ >]", "tables": "<table[ >]", "headings": "<h[1-6][ >]", "links": "<a[ >]", "images": "<img[ >]"}
@@ -157,3 +232,5 @@ ORACLE_SQL = {
 }
 ORACLE_SQL["vec_top3_l2"] = "WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum((q.v - e.v) * (q.v - e.v)), 6) AS distance FROM u q JOIN u e ON q.label = e.label AND q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS place FROM p) t WHERE place <= 3"
 ORACLE_SQL["vec_top1_cosine"] = "WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum(q.v * e.v) / sqrt(sum(q.v * q.v) * sum(e.v * e.v)), 6) AS cosine FROM u q JOIN u e ON q.label = e.label AND q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, cosine, round(greatest(0.0, least(100.0, 100 * cosine)), 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS r FROM p) t WHERE r = 1"
+ORACLE_SQL["vec_nearest_all"] = "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum((q.v - e.v) * (q.v - e.v)), 6) AS distance FROM u q JOIN u e ON q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS place FROM p) t WHERE place <= 3"
+ORACLE_SQL["memory_best_match"] = "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(1 - sum(q.v * e.v) / sqrt(sum(q.v * q.v) * sum(e.v * e.v)), 6) AS distance FROM u q JOIN u e ON q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id), n AS (SELECT q, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS k FROM p) t WHERE k = 1 AND distance < 0.1), x AS (SELECT a.vec_id AS q, min(b.vec_id) AS vec_id FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id) SELECT e.vec_id AS q, coalesce(x.vec_id, n.vec_id) AS match, CASE WHEN x.q IS NOT NULL THEN 1.0 WHEN n.q IS NOT NULL THEN 0.9 END::DOUBLE AS score FROM embeddings e LEFT JOIN x ON x.q = e.vec_id LEFT JOIN n ON n.q = e.vec_id WHERE e.vec_id % 20 = 0"

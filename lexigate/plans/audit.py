@@ -134,6 +134,60 @@ def chain_summary(spark: SparkSession, d: str) -> DataFrame:
     return x.select("chain").distinct().join(bad, "chain", "left").agg(F.count("*").alias("total"), F.count_if(F.col("bad").isNull()).alias("ok"), F.every(F.col("bad").isNull()).alias("all_ok"))
 
 
+def _v1_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a sorted partition with the first format's previous_hash and entry_hash."""
+    chain, last = None, SEED
+    for batch in batches:
+        before, own = [], []
+        for c, payload in zip(batch["chain"], batch["payload"], strict=True):
+            if c != chain:
+                chain, last = c, SEED
+            before.append(last)
+            last = hashlib.sha256((last + (payload or "")).encode()).hexdigest()
+            own.append(last)
+        yield batch.assign(previous_hash=before, entry_hash=own)
+
+
+def verify_v1(entries: DataFrame) -> DataFrame:
+    """(chain, entries, valid, broken_at, reason): the first entry whose link or content is wrong, the link looked at first.
+
+    An entry's link is the hash stored before it, so all entries are verified side by side.
+    """
+    before = F.coalesce(F.lag("entry_hash").over(Window.partitionBy("chain").orderBy("seq")), F.lit(SEED))
+    x = entries.withColumn("expected", before)
+    link = ~F.col("previous_hash").eqNullSafe(F.col("expected"))
+    content = ~F.sha2(F.concat("previous_hash", "payload").cast("binary"), 256).eqNullSafe(F.col("entry_hash"))
+    x = x.withColumn("reason", F.when(link, "LINK").when(content, "CONTENT"))
+    wrong = F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))
+    return x.groupBy("chain").agg(F.count("*").alias("entries"), F.min(wrong).alias("w")).select("chain", "entries", F.col("w").isNull().alias("valid"), F.col("w.seq").alias("broken_at"), F.col("w.reason").alias("reason"))
+
+
+def chain_v1_verify(spark: SparkSession, d: str) -> DataFrame:
+    """First fault of each chain of the first format after planted changes of payloads and links."""
+    kept = _chain_events(spark, d).select("chain", "seq", "event_id", "payload")
+    x = _along(kept, _v1_links, "chain bigint, seq bigint, event_id bigint, payload string, previous_hash string, entry_hash string")
+    changed = F.when(F.col("event_id") % 397 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))
+    broken = F.when(F.col("event_id") % 401 == 0, F.lit("f" * 64)).otherwise(F.col("previous_hash"))
+    return verify_v1(x.withColumn("payload", changed).withColumn("previous_hash", broken))
+
+
+def chain_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Report of each tampered chain: entries, head, number of findings by kind, and its status."""
+    x = _linked(_chain_events(spark, d))
+    kept = x.where("event_id % 89 <> 0").withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    found = verify(kept).groupBy("chain").agg(*[F.count_if(F.col("finding") == k).alias(k.lower()) for k in ("EVENT_HASH", "LINK", "GAP", "GENESIS")])
+    heads = kept.groupBy("chain").agg(F.count("*").alias("entries"), F.max_by("event_hash", "seq").alias("head"))
+    out = heads.join(found, "chain", "left").fillna(0, ["event_hash", "link", "gap", "genesis"])
+    return out.withColumn("status", F.when(F.col("event_hash") + F.col("link") + F.col("gap") + F.col("genesis") > 0, "TAMPERED").otherwise("VERIFIED"))
+
+
+def chain_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Export of every chain as lines of canonical JSON, one an entry, in order of (chain, seq)."""
+    x = _linked(_chain_events(spark, d))
+    line = F.to_json(F.struct("event_hash", "event_id", F.col("previous_hash").alias("previous"), "seq"))
+    return x.select("chain", "seq", line.alias("line")).repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq")
+
+
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """Root of each day's hashes (day, at, leaf: hex), at any size of a day.
 
@@ -175,6 +229,13 @@ def daily_anchor(spark: SparkSession, d: str) -> DataFrame:
     return days.join(roots, "day")
 
 
+def anchor_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest of each day as canonical JSON: keys in order, no spaces. The leaves are rows of their own, not a list in it."""
+    a = daily_anchor(spark, d)
+    body = F.struct(F.lit("sha256-merkle-v1").alias("algorithm"), F.date_format("day", "yyyy-MM-dd").alias("anchor_date"), F.col("n").alias("event_count"), F.col("first_event").alias("first_event_id"), F.col("last_event").alias("last_event_id"), F.col("root").alias("merkle_root"))
+    return a.select("day", F.to_json(body).alias("manifest"))
+
+
 def coverage_diff(spark: SparkSession, d: str) -> DataFrame:
     """Events that one log has beyond the other, per user and type: a multiset difference both ways."""
     e = table(spark, d, "events")
@@ -184,7 +245,7 @@ def coverage_diff(spark: SparkSession, d: str) -> DataFrame:
     return both.where("a <> b").select("user_id", "event_type", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("missing"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("extra"))
 
 
-QUERIES = {f.__name__: f for f in (chain_v1_build, chain_v2_event_hash, chain_tamper_findings, chain_summary, daily_anchor, coverage_diff)}
+QUERIES = {f.__name__: f for f in (chain_v1_build, chain_v2_event_hash, chain_tamper_findings, chain_summary, daily_anchor, anchor_manifest, chain_v1_verify, chain_reports, chain_bundle, coverage_diff)}
 _EV = "e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, ts, props AS payload FROM events)"
 _LITTLE = "substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)"
 _hash = lambda seq, before, payload: f"sha256(unhex('{TAG}' || {_LITTLE.replace('x,', f"printf('%016x', {seq}),")} || {before} || sha256({payload})))"
@@ -204,6 +265,7 @@ _FOUND = f"""
         UNION ALL SELECT chain, seq, 'DUPLICATE' FROM w WHERE seq = before_seq
     )"""
 _TAMPERED = "SELECT chain, seq, CASE WHEN event_id % 97 = 0 THEN payload || ' ' ELSE payload END AS payload, CASE WHEN event_id % 101 = 0 THEN repeat('f', 64) ELSE previous_hash END AS previous_hash, event_hash FROM l WHERE event_id % 89 <> 0"
+_V1 = f"{_EV}, l AS (SELECT chain, seq, event_id, payload, '{SEED}' AS previous_hash, sha256('{SEED}' || payload) AS entry_hash FROM e WHERE seq = 0 UNION ALL SELECT e.chain, e.seq, e.event_id, e.payload, l.entry_hash, sha256(l.entry_hash || e.payload) FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1)"
 ORACLE_SQL = {
     "chain_v1_build": f"WITH RECURSIVE {_EV}, h AS (SELECT chain, seq, sha256('{SEED}' || payload) AS h FROM e WHERE seq = 0 UNION ALL SELECT e.chain, e.seq, sha256(h.h || e.payload) FROM h JOIN e ON e.chain = h.chain AND e.seq = h.seq + 1) SELECT chain, seq + 1 AS n, h AS head FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS r FROM h) t WHERE r = 1",
     "chain_v2_event_hash": f"WITH {_EV} SELECT event_id, seq, {_hash("seq", f"'{ZERO}'", "payload")} AS event_hash FROM e",
@@ -216,5 +278,20 @@ ORACLE_SQL = {
         m AS (SELECT day, hs FROM d UNION ALL SELECT day, list_transform(range(0, (len(hs) + 1) // 2), lambda i: sha256(unhex('{NODE}' || hs[2 * i + 1] || coalesce(hs[2 * i + 2], hs[2 * i + 1])))) FROM m WHERE len(hs) > 1)
         SELECT d.day, n, first_event, last_event, m.hs[1] AS root FROM d JOIN m ON m.day = d.day AND len(m.hs) = 1
     """,
+    "chain_v1_verify": f"""
+        WITH RECURSIVE {_V1},
+        t AS (SELECT chain, seq, CASE WHEN event_id % 397 = 0 THEN payload || ' ' ELSE payload END AS payload, CASE WHEN event_id % 401 = 0 THEN repeat('f', 64) ELSE previous_hash END AS previous_hash, entry_hash FROM l),
+        w AS (SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY chain ORDER BY seq), '{SEED}') AS expected FROM t),
+        r AS (SELECT *, CASE WHEN previous_hash <> expected THEN 'LINK' WHEN sha256(previous_hash || payload) <> entry_hash THEN 'CONTENT' END AS reason FROM w)
+        SELECT chain, count(*) AS entries, count(reason) = 0 AS valid, min(seq) FILTER (WHERE reason IS NOT NULL) AS broken_at, arg_min(reason, seq) FILTER (WHERE reason IS NOT NULL) AS reason FROM r GROUP BY chain
+    """,
+    "chain_reports": f"""
+        WITH RECURSIVE {_CHAIN}, t AS (SELECT chain, seq, CASE WHEN event_id % 97 = 0 THEN payload || ' ' ELSE payload END AS payload, previous_hash, event_hash FROM l WHERE event_id % 89 <> 0), {_FOUND},
+        h AS (SELECT chain, count(*) AS entries, arg_max(event_hash, seq) AS head FROM t GROUP BY chain),
+        k AS (SELECT chain, count(*) FILTER (WHERE finding = 'EVENT_HASH') AS event_hash, count(*) FILTER (WHERE finding = 'LINK') AS link, count(*) FILTER (WHERE finding = 'GAP') AS gap, count(*) FILTER (WHERE finding = 'GENESIS') AS genesis FROM f GROUP BY chain)
+        SELECT h.chain, entries, head, coalesce(event_hash, 0) AS event_hash, coalesce(link, 0) AS link, coalesce(gap, 0) AS gap, coalesce(genesis, 0) AS genesis, CASE WHEN k.chain IS NULL THEN 'VERIFIED' ELSE 'TAMPERED' END AS status FROM h LEFT JOIN k ON k.chain = h.chain
+    """,
+    "chain_bundle": f"""WITH RECURSIVE {_CHAIN} SELECT chain, seq, '{{"event_hash":"' || event_hash || '","event_id":' || event_id || ',"previous":"' || previous_hash || '","seq":' || seq || '}}' AS line FROM l""",
     "coverage_diff": "SELECT user_id, event_type, greatest(a - b, 0) AS missing, greatest(b - a, 0) AS extra FROM (SELECT user_id, event_type, count(*) FILTER (WHERE event_id % 7 <> 0) AS a, count(*) FILTER (WHERE event_id % 11 <> 0) AS b FROM events GROUP BY user_id, event_type) t WHERE a <> b",
 }
+ORACLE_SQL["anchor_manifest"] = f"""SELECT day, '{{"algorithm":"sha256-merkle-v1","anchor_date":"' || strftime(day, '%Y-%m-%d') || '","event_count":' || n || ',"first_event_id":' || first_event || ',"last_event_id":' || last_event || ',"merkle_root":"' || root || '"}}' AS manifest FROM ({ORACLE_SQL["daily_anchor"]}) q"""
