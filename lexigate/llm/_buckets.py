@@ -41,17 +41,20 @@ def least_shared(key: Column, x: Side, y: Side) -> Column:
     return key == F.array_min(F.array_intersect(x("keys"), y("keys")))
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared) -> DataFrame:
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared, close: Callable[[Side, Side], Column] = lambda x, y: F.lit(True)) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket.
 
     ``buckets`` has (key, node) and may have meets, ``nodes`` has node and the columns that ``near`` and
     ``first`` read; ``confirm`` takes (a, b) pairs and returns the confirmed ones as (u, v).
     ``first`` is true for one of the keys that a pair shares; without it nodes have their ``keys``.
+    ``close`` is a costlier test than ``near``, put to the pairs that are near.
 
     First each node is compared with one node only: of the most connected member of each of
     its buckets, the one that it meets in most of them. The document that a family was
-    copied from meets nearly all of it. In later rounds a bucket's main component is the one
-    with most members there, and the members outside it are compared with one member of it.
+    copied from meets nearly all of it. Nodes that this leaves alone are then compared with
+    one member of each of their buckets, another one in every bucket. After that a bucket's
+    main component is the one with most members there, and the members outside it are
+    compared with one member of it, again another one in every bucket.
     At last every two members of one bucket that still lie in different components are
     compared, so no component is left split; pairs inside a component need no comparison.
     """
@@ -65,9 +68,9 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        close = cut(both.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near(of("a"), of("b"))).select("a", "b"))
-        found = cut(confirm(close))
-        drop(close)
+        candidates = cut(both.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near(of("a"), of("b")) & close(of("a"), of("b"))).select("a", "b"))
+        found = cut(confirm(candidates))
+        drop(candidates)
         return found
 
     if "meets" not in buckets.columns:
@@ -76,11 +79,17 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     met = buckets.join(centre.hint("merge"), "key").where("node <> centre")
     often = met.repartition("node").groupBy("node", "centre").agg(F.count("*").alias("times"))
     links = [linked(often.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre")))]
+    mix = lambda *more: F.struct(F.xxhash64("node", "key", *more), "node")
+    if rounds > 1:
+        have = links[0].select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        alone = buckets.select("key", "node").join(have.hint("merge"), "node", "left_anti")
+        other = buckets.groupBy("key").agg(F.min_by("node", mix()).alias("centre"))
+        links.append(linked(alone.join(other.hint("merge"), "key").where("node <> centre").select("node", "centre")))
     labelled = _label(buckets, links)
-    for turn in range(1, rounds):
+    for turn in range(2, rounds):
         if labelled.isEmpty():
             break
-        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("centre"))
+        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", mix(F.lit(turn))).alias("centre"))
         main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centre"), F.struct("c", "comp")).alias("main"))
         outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", "main.centre")
         links.append(linked(outside))
@@ -98,7 +107,8 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
         & (F.col("comp_a") != F.col("comp_b"))
         & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b")))
         & near(of("a"), of("b"))
-        & first(x["key"], of("a"), of("b")),
+        & first(x["key"], of("a"), of("b"))
+        & close(of("a"), of("b")),
     ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if not labelled.isEmpty():
         last = cut(rest.distinct())

@@ -5,7 +5,9 @@ Each distinct shingle set gets a signature of ``CHUNKS * WIDTH`` MinHash symbols
 symbols differ in at most ``ERRORS`` symbols of some chunk, so each chunk is indexed once
 for every choice of ``ERRORS`` symbols to leave out: such a pair is sure to meet under an
 equal key. Pairs that meet further apart are compared too, up to the distance that sets as
-similar as the threshold do not pass, and all are confirmed on the full sets.
+similar as the threshold do not pass. A longer sketch of the members of shared buckets
+spares the confirmation of pairs that are clearly less similar; the others are confirmed on
+the full sets.
 
 Copies (equal sets) are one class from the start. Buckets are never expanded into all
 their pairs: see ``_buckets``.
@@ -30,13 +32,15 @@ SHINGLE = 5
 #: Chunks of a signature, symbols in a chunk (one 64-bit word holds a chunk), bits of a symbol, and errors that a chunk may have.
 CHUNKS, WIDTH, BITS, ERRORS = 8, 5, 12, 1
 SYMBOLS = CHUNKS * WIDTH
+#: Symbols of 4 bits in a sketch.
+SKETCH = 512
 #: Differing symbols up to which two signatures are sure to share a key.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 ROUNDS = 3
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1 << 16, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
+_A = _rng.integers(1 << 16, 1 << 31, SYMBOLS + SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, SYMBOLS + SKETCH, dtype=np.uint64).astype(np.uint32)
 _SIG = [f"s{c}" for c in range(CHUNKS)]
 _KEPT = [[c * WIDTH + i for i in range(WIDTH) if i not in out] for c in range(CHUNKS) for out in itertools.combinations(range(WIDTH), ERRORS)]
 
@@ -51,6 +55,23 @@ def max_distance(threshold: int) -> int:
     return max(RADIUS, int(np.ceil(SYMBOLS * p + 4.5 * np.sqrt(SYMBOLS * p * (1 - p)))))
 
 
+def max_sketch_distance(threshold: int) -> int:
+    """Differing sketch symbols up to which a pair is confirmed: 4.75 deviations above the mean at the threshold, one in a million."""
+    p = (1 - threshold / 100) * (1 - 1 / 16)
+    return int(np.ceil(SKETCH * p + 4.75 * np.sqrt(SKETCH * p * (1 - p))))
+
+
+def _symbols(flat: np.ndarray, offsets: np.ndarray, which: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """MinHashes of the sets that have members: (their rows, mixed minima) for each hash function."""
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
+        at = offsets[:-1][some]
+        for k in which:
+            low = np.minimum.reduceat(x * _A[k] + _B[k], at)
+            yield some, (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+
+
 def _sets(batch: pa.RecordBatch, shingle: int):
     """(first row, end row, flat distinct shingle hashes, offsets) block by block."""
     for a, b, data, offsets in T.blocks(batch):
@@ -80,15 +101,9 @@ def _sign(shingle: int):
         for batch in batches:
             for a, b, flat, offsets in _sets(batch, shingle):
                 size = np.diff(offsets)
-                some = np.flatnonzero(size)
                 sig = np.zeros((b - a, CHUNKS), np.int64)
-                if len(some):
-                    x = (flat >> np.uint64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
-                    at = offsets[:-1][some]
-                    for k in range(SYMBOLS):
-                        low = np.minimum.reduceat(x * _A[k] + _B[k], at)
-                        low = (low ^ (low >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                        sig[some, k // WIDTH] |= (low >> np.uint32(32 - BITS)).astype(np.int64) << (BITS * (k % WIDTH))
+                for k, (some, low) in enumerate(_symbols(flat, offsets, range(SYMBOLS))):
+                    sig[some, k // WIDTH] |= (low >> np.uint32(32 - BITS)).astype(np.int64) << (BITS * (k % WIDTH))
                 n = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(size, pa.int64()), _set_ids(flat, offsets), *[pa.array(sig[:, c]) for c in range(CHUNKS)]], ["doc_id", "n_shingles", "cid", *_SIG])
 
@@ -96,13 +111,17 @@ def _sign(shingle: int):
 
 
 def _texts(bits: np.ndarray, shingle: int):
-    """(cid, text) of the rows whose hash (column 0) is in the filter."""
+    """(cid, text, sketch) of the rows whose hash (column 0) is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picked = batch.take(pa.array(passes(bits, batch.column(0).to_numpy())))
             for a, b, flat, offsets in _sets(picked, shingle):
-                yield pa.RecordBatch.from_arrays([_set_ids(flat, offsets), picked.column(1).slice(a, b - a)], ["cid", "text"])
+                sym = np.zeros((b - a, SKETCH), np.uint8)
+                for k, (some, low) in enumerate(_symbols(flat, offsets, range(SYMBOLS, SYMBOLS + SKETCH))):
+                    sym[some, k] = low >> np.uint32(28)
+                sketch = (sym[:, 0::2] | (sym[:, 1::2] << 4)).view(np.int64).reshape(-1)
+                yield pa.RecordBatch.from_arrays([_set_ids(flat, offsets), picked.column(1).slice(a, b - a), T.int_lists(sketch, np.arange(b - a + 1) * (SKETCH // 16))], ["cid", "text", "sketch"])
 
     return run
 
@@ -146,6 +165,18 @@ def _errors(x: Side, y: Side) -> list[Column]:
     return out
 
 
+def _sketch_distance(x: Column, y: Column) -> Column:
+    """Sketch symbols that differ: fold each 4 bits of the XOR into the lowest and count."""
+
+    def word(p: Column, q: Column) -> Column:
+        z = p.bitwiseXOR(q)
+        for k in (2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, k))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.aggregate(F.zip_with(x, y, word), F.lit(0), lambda n, m: n + m)
+
+
 def _first(key: Column, x: Side, y: Side) -> Column:
     """Whether a key is the first that two signatures share: of their first chunk with few errors, the symbol that errs left out."""
     left = F.shiftrightunsigned(key, 60).cast("int")
@@ -190,20 +221,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
     needed = cut(classes.join(members.withColumnRenamed("node", "cid").hint("merge"), "cid", "left_semi"))
 
     bits = bit_filter(needed.select(F.xxhash64("rep").alias("h")))
-    picked = source.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_texts(bits, shingle), "cid binary, text string")
+    picked = source.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_texts(bits, shingle), "cid binary, text string, sketch array<bigint>")
     texts = cut(picked.join(needed.select("cid").hint("merge"), "cid", "left_semi").dropDuplicates(["cid"]))
 
-    far = max_distance(threshold)
+    far, apart = max_distance(threshold), max_sketch_distance(threshold)
 
     def near(x: Side, y: Side) -> Column:
         return (100 * F.least(x("n"), y("n")) >= threshold * F.greatest(x("n"), y("n"))) & (sum(_errors(x, y), F.lit(0)) <= far)
 
+    def close(x: Side, y: Side) -> Column:
+        return _sketch_distance(x("sketch"), y("sketch")) <= apart
+
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, shingle), "u binary, v binary")
 
-    comp = bucket_components(buckets, needed.select(F.col("cid").alias("node"), "n", *_SIG), near, confirm, ROUNDS, _first)
-    drop(buckets, needed, texts)
+    nodes = cut(needed.join(texts.select("cid", "sketch").hint("merge"), "cid").select(F.col("cid").alias("node"), "n", *_SIG, "sketch"))
+    comp = bucket_components(buckets, nodes, near, confirm, ROUNDS, _first, close)
+    drop(buckets, needed, texts, nodes)
 
     nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
