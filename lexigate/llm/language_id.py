@@ -175,8 +175,21 @@ class Network:
         return out / np.maximum(size, 1)[:, None]
 
 
-def train(texts: list[str], labels: list[str], seed: int = 11) -> Network:
-    """Fit the network on labelled texts with Adam; the labels weigh equally."""
+def windows_of(raw: bytes, seed: int) -> list[bytes]:
+    """Up to WINDOWS_EACH of a text's windows, chosen by the seed."""
+    n = max(1, -(-len(raw) // WINDOW))
+    chosen = np.random.default_rng(seed).choice(n, min(n, WINDOWS_EACH), replace=False)
+    return [raw[i * WINDOW : (i + 1) * WINDOW] for i in chosen.tolist()]
+
+
+def train(texts: list[str], labels: list[str]) -> Network:
+    """Fit the network on labelled texts."""
+    cut = [(w, label) for i, (text, label) in enumerate(zip(texts, labels, strict=True)) for w in windows_of(text.encode(), i)]
+    return train_windows([w for w, _ in cut], [label for _, label in cut])
+
+
+def train_windows(windows: list[bytes], labels: list[str], seed: int = 11) -> Network:
+    """Fit the network on labelled windows with Adam; the labels weigh equally."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     h3, k = 3 * HIDDEN, len(languages)
@@ -186,11 +199,8 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Network:
         w[f"in_{d}"][:, :HIDDEN] -= 1.0  # remember at first
     net = Network(languages, {name: v.astype(np.float32) for name, v in w.items()})
     pool: list[list[bytes]] = [[] for _ in languages]
-    for text, label in zip(texts, labels, strict=True):
-        raw = text.encode()
-        windows = max(1, -(-len(raw) // WINDOW))
-        for i in rng.permutation(windows)[:WINDOWS_EACH].tolist():
-            pool[languages.index(label)].append(raw[i * WINDOW : (i + 1) * WINDOW])
+    for window, label in zip(windows, labels, strict=True):
+        pool[languages.index(label)].append(window)
     if k < 2:
         return net
     mean = {n: np.zeros_like(v) for n, v in net.weights.items()}
@@ -215,13 +225,27 @@ def fit(docs: DataFrame, train_rows: Column, lang: str = "lang") -> Network:
     """Train on at most SAMPLE documents of each language among ``train_rows``.
 
     The choice follows a hash of the text, so it is the same at each run. Documents
-    without a letter or a language teach nothing.
+    without a letter or a language teach nothing. Windows are cut in the tasks, so that the
+    driver gets WINDOWS_EACH of WINDOW bytes for a document, however long its text.
     """
+    prepare(docs.sparkSession)
     pick = docs.where(train_rows & F.col(lang).isNotNull() & F.col("text").rlike(r"\p{L}"))
     pick = pick.select(F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     chosen = F.broadcast(bounded(pick, "lang", SAMPLE))  # SAMPLE rows for each language
-    rows = pick.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).orderBy("h", "lang").collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    texts = pick.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    rows = texts.select("lang", "h", "text").mapInArrow(_cut_windows, "lang string, h bigint, window binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("window", "ascending")])
+    return train_windows(rows.column("window").to_pylist(), rows.column("lang").to_pylist())
+
+
+def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lang, h, cut = [], [], []
+        for name, value, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for w in windows_of(text.encode(), value & 0xFFFFFFFF):
+                lang.append(name)
+                h.append(value)
+                cut.append(w)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(cut, pa.binary())], ["lang", "h", "window"])
 
 
 def _letter(text: str) -> bool:
