@@ -15,6 +15,8 @@ Side = Callable[[str], Column]
 
 #: One node in SAMPLE is looked at for hot keys, and at most so many keys are taken as hot.
 SAMPLE, HOT_KEYS = 64, 10_000
+#: Members of a bucket up to which the last comparison of all is no more work than the rounds before it.
+FEW = 8
 
 
 def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
@@ -31,7 +33,7 @@ def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
     hot = cut(some.where(F.col("seen") > least))
     marked = exploded.join(F.broadcast(hot), "key", "left")
     cold = marked.where("seen is null").select("key", "node").repartition("key")
-    size = cold.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    size = cold.groupBy("key").agg(F.count("node").alias("size")).where("size > 1")  # of the node, so that both sides share one exchange
     met = cold.join(size.hint("merge"), "key").unionByName(marked.where("seen is not null").select("key", "node", (F.col("seen") * SAMPLE).alias("size")))
     return met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets"))
 
@@ -54,7 +56,8 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     copied from meets nearly all of it. Nodes that this leaves alone are then compared with
     one member of each of their buckets, another one in every bucket. After that a bucket's
     main component is the one with most members there, and the members outside it are
-    compared with one member of it, again another one in every bucket.
+    compared with one member of it, again another one in every bucket. These rounds leave
+    out buckets of FEW members, which the last step settles as cheaply.
     At last every two members of one bucket that still lie in different components are
     compared, so no component is left split; pairs inside a component need no comparison.
     """
@@ -83,14 +86,14 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     if rounds > 1:
         have = links[0].select(F.explode(F.array("u", "v")).alias("node")).distinct()
         alone = buckets.select("key", "node").join(have.hint("merge"), "node", "left_anti")
-        other = buckets.groupBy("key").agg(F.min_by("node", mix()).alias("centre"))
+        other = buckets.groupBy("key").agg(F.min_by("node", mix()).alias("centre"), F.count("*").alias("c")).where(F.col("c") > FEW)
         links.append(linked(alone.join(other.hint("merge"), "key").where("node <> centre").select("node", "centre")))
     labelled = _label(buckets, links)
     for turn in range(2, rounds):
         if labelled.isEmpty():
             break
         groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", mix(F.lit(turn))).alias("centre"))
-        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centre"), F.struct("c", "comp")).alias("main"))
+        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centre"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where(F.col("c") > FEW)
         outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", "main.centre")
         links.append(linked(outside))
         before, labelled = labelled, _label(labelled.select("key", "node"), links)

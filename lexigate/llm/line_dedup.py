@@ -66,15 +66,15 @@ def _ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return T.mix((total[first[1:]] - total[first[:-1]]) * q[first[:-1]] + np.diff(first).astype(np.uint64) * _ODD)
 
 
-def _counts(norm: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """16 counts of letters for each line, modulo 16, in 4 bits each: an edit moves two of them by one at most.
+def _counts(norm: np.ndarray, begin: np.ndarray, bins: int = 16) -> np.ndarray:
+    """Counts of letters for each line, modulo 16, in words of 16 counts: an edit moves two of them by one at most.
 
     A letter counts by the last byte of its code point; spaces do not count.
     """
     last = np.append((norm[1:] & 0xC0) != 0x80, True) & T.ALNUM_WORDS[norm]
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(norm))))
-    counts = np.bincount(line[last] * 16 + (norm[last] & 15), minlength=16 * len(begin)).reshape(-1, 16).astype(np.uint64)
-    return ((counts & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    counts = np.bincount(line[last] * bins + (norm[last] & (bins - 1)), minlength=bins * len(begin)).reshape(-1, bins // 16, 16).astype(np.uint64)
+    return ((counts & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,24 +136,31 @@ def _units(norm: np.ndarray, w: T.Words, begin: np.ndarray, first: np.ndarray):
     return start, end, np.append(np.searchsorted(start, begin), len(start))
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, min_words: int):
-    """Of the judged lines of a block: row, number, node, counted letters, length; and keys and text of lines chosen in order."""
-    norm, w, begin, _, row, number, first = _lines(data, offsets)
-    start, end, unit = _units(norm, w, begin, first)
-    keep = np.flatnonzero(np.diff(unit) >= min_words)
-    h = T.span_hash(norm, w.start, w.end)
-    lead = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
-    chars = np.concatenate([[0], np.cumsum(lead[w.end] - lead[w.start] + 1)])
-    n = (chars[first[1:]] - chars[first[:-1]] - 1)[keep]
+class _Judged:
+    """The judged lines of a block: row, number and node of each; text, counted letters and keys of those asked for, in order."""
 
-    def keys(chosen: np.ndarray) -> pa.Array:
-        flat, at = _min_keys(h if start is w.start else T.span_hash(norm, start, end), unit, keep[chosen]) if len(chosen) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        return T.int_lists(flat, at)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int):
+        self.norm, self.words, self.begin, self.stop, row, number, first = _lines(data, offsets)
+        self.start, self.end, self.unit = _units(self.norm, self.words, self.begin, first)
+        self.keep = np.flatnonzero(np.diff(self.unit) >= min_words)
+        self.hashes = T.span_hash(self.norm, self.words.start, self.words.end)
+        self.row, self.number, self.node = row[self.keep], number[self.keep], _ids(self.hashes, first)[self.keep].view(np.int64)
 
-    def text(chosen: np.ndarray) -> list[str]:
-        return [b" ".join(norm[w.start[j] : w.end[j]].tobytes() for j in range(first[i], first[i + 1])).decode() for i in keep[chosen].tolist()]
+    def texts(self, chosen: np.ndarray) -> list[bytes]:
+        spaced = np.where(T.ALNUM_WORDS[self.norm], self.norm, np.uint8(0x20)).tobytes() if len(chosen) else b""
+        return [b" ".join(spaced[self.begin[i] : self.stop[i]].split()) for i in self.keep[chosen].tolist()]
 
-    return row[keep], number[keep], _ids(h, first)[keep].view(np.int64), _counts(norm, begin)[keep].view(np.int64), n, keys, text
+    def keys(self, chosen: np.ndarray) -> pa.Array:
+        if not len(chosen):
+            return T.int_lists(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        h = self.hashes if self.start is self.words.start else T.span_hash(self.norm, self.start, self.end)
+        return T.int_lists(*_min_keys(h, self.unit, self.keep[chosen]))
+
+
+def _letters(texts: list[bytes], bins: int = 16) -> np.ndarray:
+    """Counted letters of normalised lines, one column for each word of counts."""
+    begin = np.cumsum([0, *[len(t) for t in texts]])[:-1]
+    return _counts(np.frombuffer(b"".join(texts), np.uint8), begin, bins).T if texts else np.zeros((bins // 16, 0), np.int64)
 
 
 def _sign(min_words: int, keys: bool = False):
@@ -162,10 +169,12 @@ def _sign(min_words: int, keys: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in T.blocks(batch):
-                row, number, node, sim, n, keys_of, _ = _features(data, offsets, min_words)
-                columns = [batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(node), pa.array(sim), pa.array(n, pa.int32())]
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([*columns, *([keys_of(np.arange(len(row)))] if keys else [])], ["doc_id", "line_no", "node", "sim", "n", *(["mins"] if keys else [])])
+                x = _Judged(data, offsets, min_words)
+                every = np.arange(len(x.node))
+                texts = x.texts(every)
+                columns = [batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), pa.array(_letters(texts)[0]), pa.array([len(t.decode()) for t in texts], pa.int32())]
+                if len(every):
+                    yield pa.RecordBatch.from_arrays([*columns, *([x.keys(every)] if keys else [])], ["doc_id", "line_no", "node", "sim", "n", *(["mins"] if keys else [])])
 
     return run
 
@@ -176,9 +185,9 @@ def _index(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in T.blocks(batch):
-                _, _, node, _, _, keys_of, _ = _features(data, offsets, min_words)
-                once = np.sort(np.unique(node, return_index=True)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(node[once]), keys_of(once)], ["node", "mins"])
+                x = _Judged(data, offsets, min_words)
+                once = np.sort(np.unique(x.node, return_index=True)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x.node[once]), x.keys(once)], ["node", "mins"])
 
     return run
 
@@ -189,15 +198,16 @@ def _rows(min_words: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in T.blocks(batch):
-                row, number, node, sim, n, keys_of, text_of = _features(data, offsets, min_words)
-                once = np.unique(node, return_index=True)[1]
-                wanted = np.sort(once[passes(bits, node[once])])
-                at = np.full(len(node), -1)
+                x = _Judged(data, offsets, min_words)
+                once = np.unique(x.node, return_index=True)[1]
+                wanted = np.sort(once[passes(bits, x.node[once])])
+                at = np.full(len(x.node), -1)
                 at[wanted] = np.arange(len(wanted))
-                only = lambda values: pa.array(values).take(pa.array(at, mask=at < 0))
-                texts = pa.array(text_of(wanted), pa.string()).take(pa.array(at, mask=at < 0))
-                mins = keys_of(wanted).take(pa.array(at, mask=at < 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(number), pa.array(node), texts, only(sim[wanted]), only(n[wanted].astype(np.int32)), mins], ["row", "line_no", "node", "line", "sim", "n", "mins"])
+                place = pa.array(at, mask=at < 0)
+                raw = x.texts(wanted)
+                texts = [t.decode() for t in raw]
+                found = [pa.array(texts, pa.string()), *map(pa.array, _letters(raw, 32)), pa.array([len(t) for t in texts], pa.int32()), x.keys(wanted)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), *[c.take(place) for c in found]], ["row", "line_no", "node", "line", "low", "high", "n", "mins"])
 
     return run
 
@@ -246,15 +256,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """Sum of the differences of 16 counts modulo 16, in eight byte lanes at a time."""
+    lanes = lambda v: F.lit(int(f"{v:02x}" * 8, 16))
+    total = F.lit(0)
+    for half in (0, 4):
+        a, b = (F.shiftrightunsigned(v, half).bitwiseAND(lanes(0x0F)) for v in (x, y))
+        m = (a.bitwiseOR(lanes(0x10)) - b).bitwiseAND(lanes(0x0F))
+        over = F.shiftrightunsigned(m, 3).bitwiseAND(lanes(0x01))  # differences of 8 and more count from the other end
+        d = m.bitwiseXOR(F.shiftleft(over, 4) - over) + over
+        d = d.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + F.shiftrightunsigned(d, 8).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
+        d = d + F.shiftrightunsigned(d, 16)
+        total = total + (d + F.shiftrightunsigned(d, 32)).bitwiseAND(F.lit(0xFFFF))
+    return total
+
+
 def _near(x: Side, y: Side) -> Column:
     """False only where lengths or counted letters rule the edit similarity out."""
     longer = F.greatest(x("n"), y("n"))
     most = F.floor((1 - SIMILARITY) * longer + 1e-9)
-    apart = F.lit(0)
-    for j in range(16):
-        d = F.shiftrightunsigned(x("sim"), 4 * j).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(y("sim"), 4 * j).bitwiseAND(F.lit(15))
-        apart = apart + F.least(d.bitwiseAND(F.lit(15)), (-d).bitwiseAND(F.lit(15)))
-    return (longer - F.least(x("n"), y("n")) <= most) & (apart <= 2 * most)
+    return (longer - F.least(x("n"), y("n")) <= most) & (_apart(x("low"), y("low")) + _apart(x("high"), y("high")) <= 2 * most)
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -272,10 +293,10 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     bits = bit_filter(buckets.select("node"))
     signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
-    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, sim bigint, n int, mins array<bigint>"))
+    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, low bigint, high bigint, n int, mins array<bigint>"))
     members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
     found = rows.where("line is not null").join(members.hint("merge"), "node", "left_semi")
-    found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "sim", "n", "mins")]))
+    found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "low", "high", "n", "mins")]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")

@@ -47,7 +47,7 @@ def rows(docs):
 @pytest.fixture(scope="module")
 def edges(spark):
     """The edge rows with extra columns whose names the operators use themselves."""
-    return spark.createDataFrame(EDGES, "doc_id bigint, text string").select("doc_id", "text", *[F.lit(c).alias(c) for c in ("carry", "n", "keys", "key", "node", "spans", "row", "cid")])
+    return spark.createDataFrame(EDGES, "doc_id bigint, text string").select("doc_id", "text", *[F.lit(c).alias(c) for c in ("carry", "n", "keys", "key", "node", "spans", "row", "cid", "n_removed", "row_", "gone_", "owner_", "h", "h_", "hit_", "label", "one", "learn", "meets", "window", "sketch", "line", "kept")])
 
 
 @pytest.fixture(scope="module")
@@ -526,6 +526,16 @@ def test_large_bucket_links_nodes_of_more_and_fewer_keys(spark):
     assert {r["node"]: r["component"] for r in comp.collect()} == {2: 1, 4: 3}
 
 
+def test_counted_letters_apart(spark):
+    """The lanes' sum is the sum of the differences modulo 16."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 16, (2, 300, 16))
+    pack = lambda v: int(np.int64((v.astype(np.uint64) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64)))
+    rows = [(pack(x), pack(y), int(np.minimum((x - y) % 16, (y - x) % 16).sum())) for x, y in zip(a, b, strict=True)]
+    got = spark.createDataFrame(rows, "x bigint, y bigint, want int").select(line_dedup._apart(F.col("x"), F.col("y")).alias("d"), "want").collect()
+    assert all(r["d"] == r["want"] for r in got)
+
+
 def test_edit_distance():
     def plain(a, b):
         p = list(range(len(b) + 1))
@@ -593,3 +603,31 @@ def test_fm_index():
             for p, a, b in zip(phrases, lo, hi, strict=True):
                 want = [i for i in range(len(text) - k + 1) if (text[i : i + k] == p).all()]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+# Long texts
+
+
+def test_texts_of_megabytes(spark):
+    """One text of two megabytes and one of one long word among short ones, through every operator."""
+    rng = random.Random(6)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(rng.choice(words_) for _ in range(40)) for _ in range(8000))
+    items = [(1, long, "en"), (2, "z" * 1_000_000, "en"), (3, f"{long} end", "de"), (4, "a short text of some words here", "de"), (5, None, None)]
+    docs = spark.createDataFrame(items, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    left = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert left[1]["n_removed"] == 0 and left[3]["n_removed"] == 8000 and left[2]["text"] == items[1][1]
+    assert {r["doc_id"]: r["n_bytes"] for r in token_counts.token_counts(docs, vocabulary("word_bpe_49k.json")).collect()}[1] == len(long)
+    coded = byte_bpe.encode_texts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, digest=True).where("doc_id <= 2")
+    assert {r["doc_id"]: r["decoded"] for r in coded.collect()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x, _ in items[:2]}
+    net = language_id.fit(docs, F.lit(True))
+    assert language_id.identify(docs, net, F.col("doc_id")).count() == 5
+    assert all(r["score"] < 0 for r in context_tree.code_lengths(docs, F.lit(True)).collect())
+    assert pii.personal_data(docs).count() == 5
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id bigint, label int")
+    assert pairwise_quality.score(docs, pairwise_quality.fit(docs, labels)).count() == 5
+    assert quality_rules.quality_rules(docs, docs.where("doc_id = 1")).count() == 5
+    bench = spark.createDataFrame([(1, " ".join(long.split()[5000:5020]))], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontaminate.contamination(docs, bench).where("n_hit > 0").collect()} == {1, 3}
