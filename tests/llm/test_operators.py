@@ -631,3 +631,14 @@ def test_texts_of_megabytes(spark):
     assert quality_rules.quality_rules(docs, docs.where("doc_id = 1")).count() == 5
     bench = spark.createDataFrame([(1, " ".join(long.split()[5000:5020]))], "item_id bigint, text string")
     assert {r["doc_id"] for r in decontaminate.contamination(docs, bench).where("n_hit > 0").collect()} == {1, 3}
+
+
+def test_context_tree_chunks_keep_subtrees_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(context_tree, "CHUNK", 10)
+    root = np.repeat(np.arange(9), [3, 1, 14, 2, 2, 2, 2, 2, 5])
+    rows = pa.table({"root": root, "gram": np.arange(len(root)), "n": np.ones(len(root), np.int64)})
+    parts = list(context_tree._chunks(iter(rows.to_batches(max_chunksize=4))))
+    assert np.concatenate([g for g, _ in parts]).tolist() == list(range(len(root)))
+    assert all(set(root[p]) & set(root[q]) == set() for i, (p, _) in enumerate(parts) for q, _ in parts[:i])
