@@ -17,6 +17,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     spark.conf.set(size, str(BATCH_BYTES))
+    # The JVM compiles no method over 8000 bytes: a stage whose conditions need more is not fused into one.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -36,6 +36,8 @@ LONG_FROM, SHORT_TO = 10, 11
 DISTANCE = 64
 #: Edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.9
+#: Words of the ring codes of a line's letters.
+RINGS = ["r0", "r1", "r2", "r3"]
 #: Rounds of comparing the members of a bucket with one of them.
 ROUNDS = 3
 
@@ -66,15 +68,18 @@ def _ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return T.mix((total[first[1:]] - total[first[:-1]]) * q[first[:-1]] + np.diff(first).astype(np.uint64) * _ODD)
 
 
-def _counts(norm: np.ndarray, begin: np.ndarray, bins: int = 16) -> np.ndarray:
-    """Counts of letters for each line, modulo 16, in words of 16 counts: an edit moves two of them by one at most.
+def _tally(norm: np.ndarray, begin: np.ndarray, bins: int) -> np.ndarray:
+    """Counts of letters for each line, modulo 16: an edit moves two of them by one at most.
 
     A letter counts by the last byte of its code point; spaces do not count.
     """
     last = np.append((norm[1:] & 0xC0) != 0x80, True) & T.ALNUM_WORDS[norm]
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(norm))))
-    counts = np.bincount(line[last] * bins + (norm[last] & (bins - 1)), minlength=bins * len(begin)).reshape(-1, bins // 16, 16).astype(np.uint64)
-    return ((counts & np.uint64(15)) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
+    return np.bincount(line[last] * bins + (norm[last] & (bins - 1)), minlength=bins * len(begin)).reshape(-1, bins) & 15
+
+
+#: A code of 8 bits for each count: two codes differ in as many bits as the counts differ modulo 16.
+_RING = np.array([(1 << i) - 1 if i <= 8 else 0xFF ^ ((1 << (i - 8)) - 1) for i in range(16)], np.uint8)
 
 
 def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,10 +162,19 @@ class _Judged:
         return T.int_lists(*_min_keys(h, self.unit, self.keep[chosen]))
 
 
-def _letters(texts: list[bytes], bins: int = 16) -> np.ndarray:
-    """Counted letters of normalised lines, one column for each word of counts."""
-    begin = np.cumsum([0, *[len(t) for t in texts]])[:-1]
-    return _counts(np.frombuffer(b"".join(texts), np.uint8), begin, bins).T if texts else np.zeros((bins // 16, 0), np.int64)
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *[len(t) for t in texts]])[:-1]
+
+
+def _letters(texts: list[bytes]) -> np.ndarray:
+    """16 counts of letters of each normalised line, of 4 bits."""
+    counts = _tally(*_joined(texts), 16).astype(np.uint64) if texts else np.zeros((0, 16), np.uint64)
+    return (counts << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _rings(texts: list[bytes]) -> np.ndarray:
+    """32 counts of letters of each normalised line as ring codes: RINGS words."""
+    return _RING[_tally(*_joined(texts), 32)].view(np.int64).T if texts else np.zeros((len(RINGS), 0), np.int64)
 
 
 def _sign(min_words: int, keys: bool = False):
@@ -172,7 +186,7 @@ def _sign(min_words: int, keys: bool = False):
                 x = _Judged(data, offsets, min_words)
                 every = np.arange(len(x.node))
                 texts = x.texts(every)
-                columns = [batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), pa.array(_letters(texts)[0]), pa.array([len(t.decode()) for t in texts], pa.int32())]
+                columns = [batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), pa.array(_letters(texts)), pa.array([len(t.decode()) for t in texts], pa.int32())]
                 if len(every):
                     yield pa.RecordBatch.from_arrays([*columns, *([x.keys(every)] if keys else [])], ["doc_id", "line_no", "node", "sim", "n", *(["mins"] if keys else [])])
 
@@ -206,8 +220,8 @@ def _rows(min_words: int, bits: np.ndarray):
                 place = pa.array(at, mask=at < 0)
                 raw = x.texts(wanted)
                 texts = [t.decode() for t in raw]
-                found = [pa.array(texts, pa.string()), *map(pa.array, _letters(raw, 32)), pa.array([len(t) for t in texts], pa.int32()), x.keys(wanted)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), *[c.take(place) for c in found]], ["row", "line_no", "node", "line", "low", "high", "n", "mins"])
+                found = [pa.array(texts, pa.string()), *map(pa.array, _rings(raw)), pa.array([len(t) for t in texts], pa.int32()), x.keys(wanted)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), *[c.take(place) for c in found]], ["row", "line_no", "node", "line", *RINGS, "n", "mins"])
 
     return run
 
@@ -256,26 +270,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
 
-def _apart(x: Column, y: Column) -> Column:
-    """Sum of the differences of 16 counts modulo 16, in eight byte lanes at a time."""
-    lanes = lambda v: F.lit(int(f"{v:02x}" * 8, 16))
-    total = F.lit(0)
-    for half in (0, 4):
-        a, b = (F.shiftrightunsigned(v, half).bitwiseAND(lanes(0x0F)) for v in (x, y))
-        m = (a.bitwiseOR(lanes(0x10)) - b).bitwiseAND(lanes(0x0F))
-        over = F.shiftrightunsigned(m, 3).bitwiseAND(lanes(0x01))  # differences of 8 and more count from the other end
-        d = m.bitwiseXOR(F.shiftleft(over, 4) - over) + over
-        d = d.bitwiseAND(F.lit(0x00FF00FF00FF00FF)) + F.shiftrightunsigned(d, 8).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
-        d = d + F.shiftrightunsigned(d, 16)
-        total = total + (d + F.shiftrightunsigned(d, 32)).bitwiseAND(F.lit(0xFFFF))
-    return total
-
-
 def _near(x: Side, y: Side) -> Column:
     """False only where lengths or counted letters rule the edit similarity out."""
     longer = F.greatest(x("n"), y("n"))
     most = F.floor((1 - SIMILARITY) * longer + 1e-9)
-    return (longer - F.least(x("n"), y("n")) <= most) & (_apart(x("low"), y("low")) + _apart(x("high"), y("high")) <= 2 * most)
+    apart = sum((F.bit_count(x(r).bitwiseXOR(y(r))) for r in RINGS), F.lit(0))
+    return (longer - F.least(x("n"), y("n")) <= most) & (apart <= 2 * most)
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -293,10 +293,10 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     bits = bit_filter(buckets.select("node"))
     signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
-    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, low bigint, high bigint, n int, mins array<bigint>"))
+    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, " + ", ".join(f"{r} bigint" for r in RINGS) + ", n int, mins array<bigint>"))
     members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
     found = rows.where("line is not null").join(members.hint("merge"), "node", "left_semi")
-    found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", "low", "high", "n", "mins")]))
+    found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", *RINGS, "n", "mins")]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")

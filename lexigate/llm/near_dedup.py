@@ -181,10 +181,15 @@ def _first(key: Column, x: Side, y: Side) -> Column:
     """Whether a key is the first that two signatures share: of their first chunk with few errors, the symbol that errs left out."""
     left = F.shiftrightunsigned(key, 60).cast("int")
     chunk = F.call_function("shiftrightunsigned", key, left * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
-    ok = F.lit(False)
-    for c, e in reversed(list(enumerate(_errors(x, y)))):
-        ok = F.when(e <= ERRORS, (chunk == c) & ((e == ERRORS) | (left == 0))).otherwise(ok)
-    return ok
+    out = F.when(F.lit(False), F.lit(True))
+    for c in range(CHUNKS):
+        differ = x(f"s{c}").bitwiseXOR(y(f"s{c}"))
+        out = out.when(chunk == c, (differ != 0) | (left == 0))
+        shared = F.lit(False)
+        for i in range(WIDTH):
+            shared = shared | (differ.bitwiseAND(F.lit(((1 << (BITS * WIDTH)) - 1) ^ (((1 << BITS) - 1) << (BITS * i)))) == 0)
+        out = out.when(shared, F.lit(False))
+    return F.coalesce(out, F.lit(False))
 
 
 def _keys() -> Column:
