@@ -19,14 +19,17 @@ def _held_out(parts: int, part: int) -> Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document; null texts count as empty."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose five-word shingle sets are 0.85 alike; texts without words stand alone."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document by a network that learned from rows not held out; `und` without a letter."""
     docs = _table(spark, sf_dir, "documents")
     held_out = _held_out(4, 2)
     net = language_id.fit(docs.select("doc_id", "text", "lang"), ~held_out)
@@ -35,21 +38,25 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of every whole document by counts and a context tree of rows not held out; null texts have the end mark only."""
     held_out = _held_out(7, 2)
     scored = context_tree.code_lengths(_table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole document, as digests; null texts have none."""
     return pii.span_digest(pii.personal_data(_table(spark, sf_dir, "documents")))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and the bytes they decode to, as digests; null texts have none."""
     coded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN, digest=True)
     return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learned from labels of rows not held out; 0.5 where nothing can be learned."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = _held_out(3, 1)
     model = pairwise_quality.fit(docs.where(~held_out), labels.where(~held_out).withColumnRenamed("quality", "label"))
@@ -58,17 +65,20 @@ def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole document; null texts have no words and fail."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), trusted)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines taken out of every document, and the size and digest of what is left; null texts stay null."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     left = line_dedup.dedup_lines(docs)
     return left.select("doc_id", "n_removed", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document that lie in windows of benchmark items, and those items; null texts have no words."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
