@@ -226,8 +226,50 @@ def _rows(min_words: int, bits: np.ndarray):
     return run
 
 
+#: Edits up to which two lines are compared along diagonals.
+FEW_EDITS = 6
+
+
+def _alike(a: str, b: str, i: int, j: int) -> int:
+    """Length of the longest common prefix of a[i:] and b[j:]: blocks that grow, then the halves of the one that differs."""
+    at, step, left = 0, 16, min(len(a) - i, len(b) - j)
+    while at < left and a[i + at : i + at + step] == b[j + at : j + at + step]:
+        at, step = at + step, 2 * step
+    if at >= left:
+        return left
+    differs = min(step, left - at)
+    while differs > 1:
+        half = differs // 2
+        if a[i + at : i + at + half] == b[j + at : j + at + half]:
+            at, differs = at + half, differs - half
+        else:
+            differs = half
+    return at + (differs == 1 and a[i + at] == b[j + at])
+
+
+def _few_edits(a: str, b: str, most: int) -> int:
+    """Levenshtein distance along diagonals (Landau and Vishkin 1989); over ``most``, most + 1."""
+    aim, far = len(b) - len(a), {0: _alike(a, b, 0, 0)}
+    if not aim and far[0] == len(a):
+        return 0
+    for e in range(1, most + 1):
+        reached = {}
+        for k in range(max(-e, -len(a)), min(e, len(b)) + 1):
+            i = max(far.get(k - 1, -1), far.get(k, -2) + 1, far.get(k + 1, -2) + 1)
+            i = min(i, len(a), len(b) - k)
+            if i >= 0 and i + k >= 0:
+                reached[k] = i + _alike(a, b, i, i + k)
+        if reached.get(aim, -1) == len(a):
+            return e
+        far = reached
+    return most + 1
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by bit-parallel columns (Myers 1999, Hyyro 2003); over ``most``, most + 1."""
+    """Levenshtein distance, over ``most``: most + 1.
+
+    Few edits are found along diagonals, more by bit-parallel columns (Myers 1999, Hyyro 2003).
+    """
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
         i += 1
@@ -240,6 +282,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
         return min(len(a) + len(b), most + 1)
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if (few := _few_edits(a, b, min(most, FEW_EDITS))) <= FEW_EDITS or most <= FEW_EDITS:
+        return few
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
