@@ -43,13 +43,14 @@ def least_shared(key: Column, x: Side, y: Side) -> Column:
     return key == F.array_min(F.array_intersect(x("keys"), y("keys")))
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared, close: Callable[[Side, Side], Column] = lambda x, y: F.lit(True)) -> DataFrame:
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared, close: Callable[[Side, Side], Column] = lambda x, y: F.lit(True), picks: int = 1) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket.
 
     ``buckets`` has (key, node) and may have meets, ``nodes`` has node and the columns that ``near`` and
     ``first`` read; ``confirm`` takes (a, b) pairs and returns the confirmed ones as (u, v).
     ``first`` is true for one of the keys that a pair shares; without it nodes have their ``keys``.
-    ``close`` is a costlier test than ``near``, put to the pairs that are near.
+    ``close`` is a costlier test than ``near``, put to the pairs that are near. ``picks`` members
+    of a bucket stand for it in the rounds after the first.
 
     First each node is compared with one node only: of the most connected member of each of
     its buckets, the one that it meets in most of them. The document that a family was
@@ -82,19 +83,23 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     met = buckets.join(centre.hint("merge"), "key").where("node <> centre")
     often = met.repartition("node").groupBy("node", "centre").agg(F.count("*").alias("times"))
     links = [linked(often.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre")))]
-    mix = lambda *more: F.struct(F.xxhash64("node", "key", *more), "node")
+
+    def some(turn: int) -> Column:
+        picked = [F.min_by("node", F.struct(F.xxhash64("node", "key", F.lit(turn), F.lit(p)), "node")) for p in range(picks)]
+        return F.array_distinct(F.array(*picked)).alias("centres")
+
     if rounds > 1:
         have = links[0].select(F.explode(F.array("u", "v")).alias("node")).distinct()
         alone = buckets.select("key", "node").join(have.hint("merge"), "node", "left_anti")
-        other = buckets.groupBy("key").agg(F.min_by("node", mix()).alias("centre"), F.count("*").alias("c")).where(F.col("c") > FEW)
-        links.append(linked(alone.join(other.hint("merge"), "key").where("node <> centre").select("node", "centre")))
+        other = buckets.groupBy("key").agg(some(1), F.count("*").alias("c")).where(F.col("c") > FEW)
+        links.append(linked(alone.join(other.hint("merge"), "key").select("node", F.explode("centres").alias("centre")).where("node <> centre")))
     labelled = _label(buckets, links)
     for turn in range(2, rounds):
         if labelled.isEmpty():
             break
-        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", mix(F.lit(turn))).alias("centre"))
-        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centre"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where(F.col("c") > FEW)
-        outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", "main.centre")
+        groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), some(turn))
+        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centres"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where(F.col("c") > FEW)
+        outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", F.explode("main.centres").alias("centre"))
         links.append(linked(outside))
         before, labelled = labelled, _label(labelled.select("key", "node"), links)
         drop(before)

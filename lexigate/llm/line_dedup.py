@@ -38,8 +38,8 @@ DISTANCE = 64
 SIMILARITY = 0.9
 #: Words of the ring codes of a line's letters.
 RINGS = ["r0", "r1", "r2", "r3"]
-#: Rounds of comparing the members of a bucket with one of them.
-ROUNDS = 3
+#: Rounds of comparing the members of a bucket with some of them, and with how many.
+ROUNDS, PICKS = 3, 4
 
 _ZERO_DIGITS = T.LOWER.copy()
 _ZERO_DIGITS[0x30:0x3A] = 0x30
@@ -346,7 +346,7 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
         return both.select("a", "b", "la", "lb").mapInArrow(_confirm, "u bigint, v bigint")
 
-    comp = bucket_components(buckets, found.drop("line").withColumnRenamed("mins", "keys"), _near, confirm, ROUNDS)
+    comp = bucket_components(buckets, found.drop("line").withColumnRenamed("mins", "keys"), _near, confirm, ROUNDS, picks=PICKS)
     drop(buckets, found)
     own = rows.groupBy("node").agg(F.min(F.struct("row.doc_id", "line_no")).alias("at"))
     grouped = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
