@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, token_counts
+from lexigate.llm import byte_bpe, context_tree, conversation_repair, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, piece_bpe, pii, prefix_trie, quality_rules, token_counts
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 
 
@@ -84,7 +84,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op4_context_tree, op5_personal_data, op6_byte_bpe, op7_pairwise_quality, op8_quality_rules, op9_line_dedup, op10_decontamination)}
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole document and the text they decode to, as digests; null texts have none."""
+    coded = piece_bpe.encode_pieces(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return coded.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after faults were planted in it; nulls are one space."""
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.audit_repairs(damaged, F.col("present"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with members, children, leaves and shared bytes; nulls are empty, a null conv_id is no conversation."""
+    rows = prefix_trie.turns(_table(spark, sf_dir, "conversations"))
+    trie = prefix_trie.prefix_trie(prefix_trie.rebuild(rows))
+    nodes = trie.nodes.join(prefix_trie.end_digests(trie.ends), "node_id", "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_language_id, op4_context_tree, op5_personal_data, op6_byte_bpe, op7_pairwise_quality, op8_quality_rules, op9_line_dedup, op10_decontamination, op11_piece_bpe, op12_conversation_repair, op13_prefix_trie)}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
