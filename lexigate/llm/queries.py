@@ -109,6 +109,15 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op3_la
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOW}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+#: The table of crc32's bytes, and the crc32 of an ASCII string by it.
+_CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS tab FROM range(256) AS r(i)"
+
+
+def _crc32(ascii: str) -> str:
+    codes = f"list_transform(range(1, length({ascii}) + 1), lambda i: unicode(({ascii})[i])::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -137,4 +146,69 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id
     """,
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE t AS ({_CRC_TABLE}),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, t),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM k
+        ),
+        f AS (
+            SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+            FROM d
+        ),
+        x AS (SELECT *, role[1] AS r, CASE WHEN solid = '' THEN 1 WHEN again THEN 2 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM f),
+        g AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+            FROM x GROUP BY conv_id
+        ),
+        m AS (SELECT unnest([0, 1, 2]) AS m), e AS (SELECT unnest(['D', 'K', 'R']) AS e),
+        s AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '' AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS body FROM conversations
+            UNION ALL
+            SELECT conv_id, n, s, cost, audit, body FROM (
+                SELECT s.conv_id, x.n, CASE e WHEN 'D' THEN q WHEN 'K' THEN r ELSE p END AS s,
+                    cost + 3 * m + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 3 THEN 3 ELSE 0 END AS cost, audit || repeat('I', m) || e AS audit,
+                    body || i || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE p WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END AS body
+                FROM (
+                    SELECT *, CASE m WHEN 0 THEN s WHEN 1 THEN CASE s WHEN 'u' THEN 'a' ELSE 'u' END ELSE CASE s WHEN 'u' THEN 'u' ELSE 'a' END END AS q, CASE WHEN q = 'u' THEN 'a' ELSE 'u' END AS p,
+                        CASE m WHEN 0 THEN '' WHEN 1 THEN chr(10) || CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END ELSE chr(10) || CASE s WHEN 'u' THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END END AS i
+                    FROM s, m, e
+                ) s JOIN x ON x.conv_id = s.conv_id AND x.n = s.n + 1
+                WHERE e = 'D' OR (fault NOT IN (1, 2) AND (e = 'R' OR r = p OR (r = 's' AND q = '')))
+            ) c QUALIFY row_number() OVER (PARTITION BY conv_id, n, s ORDER BY cost, audit) = 1
+        ),
+        z AS (
+            SELECT s.conv_id, cost + 3 * m AS cost, audit || repeat('I', m) AS audit,
+                body || CASE m WHEN 0 THEN '' WHEN 1 THEN chr(10) || CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END ELSE chr(10) || CASE s WHEN 'u' THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END END AS body
+            FROM s LEFT JOIN g ON g.conv_id = s.conv_id CROSS JOIN m
+            WHERE s.n = coalesce(g.n, 0) AND CASE m WHEN 0 THEN s IN ('', 'a') WHEN 1 THEN s = 'u' ELSE s <> 'u' END
+            QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY cost + 3 * m, audit || repeat('I', m)) = 1
+        )
+        SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(body[2:]) AS repaired_sha256
+        FROM z LEFT JOIN g ON g.conv_id = z.conv_id
+    """,
+    "op13_prefix_trie": rf"""
+        WITH t AS ({_CRC_TABLE}),
+        c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM c) q, t),
+        r AS (
+            SELECT k.conv_id, pos, role, text FROM k JOIN c ON c.conv_id = k.conv_id - k.conv_id % 5 WHERE pos < h
+            UNION ALL SELECT k.conv_id, pos, role, text FROM k JOIN c ON c.conv_id = k.conv_id WHERE pos >= h
+        ),
+        n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, md5(length(role) || ':' || role || text) AS g, strlen(text) AS bytes FROM r),
+        p AS (SELECT conv_id, d, bytes, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM n UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+        l AS (SELECT conv_id, max(d) AS len FROM p GROUP BY conv_id),
+        v AS (
+            SELECT key, d, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CASE WHEN d = len THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '') AS ends
+            FROM p JOIN l ON l.conv_id = p.conv_id GROUP BY key, d
+        ),
+        u AS (SELECT key[1:32 * (d - 1)] AS key, count(*) AS n FROM v WHERE d > 0 GROUP BY 1),
+        a AS (SELECT v.key, v.n_convs, v.bytes, u.key IS NULL AS leaf, unnest(range(v.d + 1)) AS i FROM v LEFT JOIN u ON u.key = v.key),
+        w AS (SELECT key[1:32 * i] AS key, count(*) FILTER (leaf) AS leaves, CAST(sum((n_convs - 1) * bytes) AS BIGINT) AS saved FROM a GROUP BY 1)
+        SELECT v.conv_id, v.d AS depth, parent.conv_id AS parent_conv_id, v.n_convs, coalesce(u.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM v JOIN w ON w.key = v.key LEFT JOIN u ON u.key = v.key LEFT JOIN v parent ON v.d > 0 AND parent.key = v.key[1:32 * (v.d - 1)]
+    """,
 }
