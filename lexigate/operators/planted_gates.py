@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigate.functions import gates, plugin_gates
+from lexigate.operators.term_search import find_terms
 from lexigate.operators.text_queries import ABBREVIATIONS, FREQUENCIES, frequencies
 from lexigate.sources.tables import table
 
@@ -96,23 +97,12 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forbidden_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term): terms of ``terms`` that stand in a text as whole words, case put aside.
+    """(doc_id, term): terms that stand in a text, case put aside.
 
-    Words are joined with the words of the texts, so no text is scanned for every term. A
-    term of several words is found by its first word and confirmed as a phrase; one whose
-    edges are no letters or digits is looked for as a substring among the texts that hold
-    its first word.
+    A term with a letter or digit at both edges counts as a whole word or phrase, any other one, such
+    as ``+abc`` or ``%``, anywhere. Texts are read once for all terms of a slice.
     """
-    low = terms.select("term", F.lower("term").alias("low")).where("low <> ''")
-    parts = F.filter(F.split("low", r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-    keyed = low.withColumn("key", F.get(parts, F.lit(0))).withColumn("single", F.col("low").rlike(r"^[\p{L}\p{N}_]+$"))
-    hits = texts.select("doc_id", F.explode(_tokens(F.col("text"))).alias("key")).join(keyed.where("key is not null"), "key")
-    sure = hits.where("single").select("doc_id", "term")
-    edge = lambda at: F.col("low").rlike(at)
-    bounded = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), gates.quote(F.col("low")), F.lit(r"(?![\p{L}\p{N}_])"))
-    some = hits.where("not single").join(texts.select("doc_id", F.lower("text").alias("t")), "doc_id")
-    found = some.where(F.when(edge(r"^[\p{L}\p{N}]") & edge(r"[\p{L}\p{N}]$"), F.rlike("t", bounded)).otherwise(F.contains("t", "low")))
-    return sure.unionByName(found.select("doc_id", "term")).distinct()
+    return find_terms(texts, terms).select("doc_id", "term").distinct()
 
 
 def planted_forbidden(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Tamper-evident logs: chained hashes, their verification, daily Merkle anchors, coverage.
 
 A chain is one user's events in order of time. Building a chain is sequential inside the
-chain and parallel across chains; verifying it compares each entry with the one before,
-so it is parallel throughout.
+chain and parallel across chains. Verifying compares each entry with the one before it; a chain
+is cut into ranges of its sequence for that, so that one long chain is verified by many tasks,
+and only the last entry of each range is passed on to the next.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LEAF, NODE = "01", "02"
 ZERO = "00" * 32
 #: Levels of a Merkle tree that one round folds: a row holds 2**LEVELS hashes at most.
 LEVELS = 10
+#: Sequence numbers of a range: what one task verifies of a chain at a time.
+RANGE = 4096
 
 
 def _chain_events(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +91,8 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _linked(events: DataFrame) -> DataFrame:
     """Events with previous_hash and event_hash, chain by chain."""
     kept = events.select("chain", "seq", "event_id", "payload")
-    return _along(kept, _links, "chain bigint, seq bigint, event_id bigint, payload string, previous_hash string, event_hash string")
+    kind = kept.schema["chain"].dataType.simpleString()
+    return _along(kept, _links, f"chain {kind}, seq bigint, event_id bigint, payload string, previous_hash string, event_hash string")
 
 
 def chain_v2_event_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -97,21 +101,39 @@ def chain_v2_event_hash(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "seq", _event_hash(F.col("seq"), F.lit(ZERO), F.col("payload")).alias("event_hash"))
 
 
+def _preceded(entries: DataFrame, carried: list[str], order: list[str]) -> DataFrame:
+    """Entries with before_<column> of the entry before, in order of ``order`` (seq first) inside the chain.
+
+    Neighbours are found inside ranges of RANGE sequence numbers. A range's first entry gets the last one
+    of the nearest range before it that has any: one row a range is ordered by chain for that.
+    """
+    x = entries.withColumn("range_", F.coalesce(F.floor(F.col("seq") / RANGE), F.lit(-(1 << 62))))
+    w = Window.partitionBy("chain", "range_").orderBy(*order)
+    inside = x.select("*", *[F.lag(c).over(w).alias(f"in_{c}") for c in carried], F.row_number().over(w).alias("place_"))
+    ends = x.groupBy(F.col("chain").alias("chain_"), F.col("range_").alias("to_")).agg(F.max_by(F.struct(*carried), F.struct(*order)).alias("end_"))
+    passed = ends.select("chain_", "to_", F.lag("end_").over(Window.partitionBy("chain_").orderBy("to_")).alias("end_"))
+    both = inside.join(passed, F.col("chain").eqNullSafe(F.col("chain_")) & (F.col("range_") == F.col("to_")), "left")
+    before = [F.when(F.col("place_") == 1, F.col(f"end_.{c}")).otherwise(F.col(f"in_{c}")).alias(f"before_{c}") for c in carried]
+    return both.select(*entries.columns, *before)
+
+
 def verify(entries: DataFrame) -> DataFrame:
     """(chain, seq, finding): every finding of every entry. Entries: chain, seq, payload, previous_hash, event_hash.
 
-    Null hashes count as of wrong length; an empty table has no findings.
+    A null payload counts as empty, as it does when a chain is built: one that was stored is no
+    finding, one put in place of another payload is. Null hashes count as of wrong length; an empty
+    table has no findings.
     """
-    w = Window.partitionBy("chain").orderBy("seq", "event_hash")
-    x = entries.withColumn("before_hash", F.lag("event_hash").over(w)).withColumn("before_seq", F.lag("seq").over(w))
+    x = _preceded(entries, ["event_hash", "seq"], ["seq", "event_hash"])
     first = F.col("before_seq").isNull()
     bad_length = F.coalesce(F.length("event_hash") != 64, F.lit(True)) | F.coalesce(F.length("previous_hash") != 64, F.lit(True))
+    own = _event_hash(F.col("seq"), F.col("previous_hash"), F.coalesce("payload", F.lit("")))
     wrong = F.array_compact(
         F.array(
             F.when(bad_length, "LENGTH"),
             F.when(first & (F.col("previous_hash") != ZERO), "GENESIS"),
-            F.when(~bad_length & (_event_hash(F.col("seq"), F.col("previous_hash"), F.col("payload")) != F.col("event_hash")), "EVENT_HASH"),
-            F.when(~first & (F.col("previous_hash") != F.col("before_hash")), "LINK"),
+            F.when(~bad_length & ~own.eqNullSafe(F.col("event_hash")), "EVENT_HASH"),
+            F.when(~first & (F.col("previous_hash") != F.col("before_event_hash")), "LINK"),
             F.when(~first & (F.col("seq") > F.col("before_seq") + 1), "GAP"),
             F.when(~first & (F.col("seq") == F.col("before_seq")), "DUPLICATE"),
         )
@@ -119,6 +141,16 @@ def verify(entries: DataFrame) -> DataFrame:
     return x.select("chain", "seq", F.explode(wrong).alias("finding"))
 
 
+def chain_long_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Findings in a few long chains, one of each event type, some payloads stored as null and some set to null later."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    stored = F.when(F.col("event_id") % 83 != 0, F.col("props"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("chain"), (F.row_number().over(w) - 1).cast("bigint").alias("seq"), "event_id", stored.alias("payload"))
+    x = _linked(e).where("event_id % 89 <> 0")
+    broken = F.when(F.col("event_id") % 101 == 0, F.lit("f" * 64)).otherwise(F.col("previous_hash"))
+    return verify(x.withColumn("payload", F.when(F.col("event_id") % 97 != 0, F.col("payload"))).withColumn("previous_hash", broken))
+
+
 def chain_tamper_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings after planted tampering: payloads changed, entries lost, links broken."""
     x = _linked(_chain_events(spark, d))
@@ -151,12 +183,12 @@ def _v1_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def verify_v1(entries: DataFrame) -> DataFrame:
     """(chain, entries, valid, broken_at, reason): the first entry whose link or content is wrong, the link looked at first.
 
-    An entry's link is the hash stored before it, so all entries are verified side by side.
+    An entry's link is the hash stored before it; a null payload counts as empty, as it does
+    when a chain is built.
     """
-    before = F.coalesce(F.lag("entry_hash").over(Window.partitionBy("chain").orderBy("seq")), F.lit(SEED))
-    x = entries.withColumn("expected", before)
-    link = ~F.col("previous_hash").eqNullSafe(F.col("expected"))
-    content = ~F.sha2(F.concat("previous_hash", "payload").cast("binary"), 256).eqNullSafe(F.col("entry_hash"))
+    x = _preceded(entries, ["entry_hash"], ["seq", "entry_hash"])
+    link = ~F.col("previous_hash").eqNullSafe(F.coalesce("before_entry_hash", F.lit(SEED)))
+    content = ~F.sha2(F.concat("previous_hash", F.coalesce("payload", F.lit(""))).cast("binary"), 256).eqNullSafe(F.col("entry_hash"))
     x = x.withColumn("reason", F.when(link, "LINK").when(content, "CONTENT"))
     wrong = F.when(F.col("reason").isNotNull(), F.struct("seq", "reason"))
     return x.groupBy("chain").agg(F.count("*").alias("entries"), F.min(wrong).alias("w")).select("chain", "entries", F.col("w").isNull().alias("valid"), F.col("w.seq").alias("broken_at"), F.col("w.reason").alias("reason"))
@@ -245,7 +277,7 @@ def coverage_diff(spark: SparkSession, d: str) -> DataFrame:
     return both.where("a <> b").select("user_id", "event_type", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("missing"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("extra"))
 
 
-QUERIES = {f.__name__: f for f in (chain_v1_build, chain_v2_event_hash, chain_tamper_findings, chain_summary, daily_anchor, anchor_manifest, chain_v1_verify, chain_reports, chain_bundle, coverage_diff)}
+QUERIES = {f.__name__: f for f in (chain_v1_build, chain_v2_event_hash, chain_tamper_findings, chain_long_verify, chain_summary, daily_anchor, anchor_manifest, chain_v1_verify, chain_reports, chain_bundle, coverage_diff)}
 _EV = "e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, ts, props AS payload FROM events)"
 _LITTLE = "substr(x, 15, 2) || substr(x, 13, 2) || substr(x, 11, 2) || substr(x, 9, 2) || substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)"
 _hash = lambda seq, before, payload: f"sha256(unhex('{TAG}' || {_LITTLE.replace('x,', f"printf('%016x', {seq}),")} || {before} || sha256({payload})))"
@@ -259,17 +291,19 @@ _FOUND = f"""
     f AS (
         SELECT chain, seq, 'LENGTH' AS finding FROM w WHERE coalesce(length(event_hash), 0) <> 64 OR coalesce(length(previous_hash), 0) <> 64
         UNION ALL SELECT chain, seq, 'GENESIS' FROM w WHERE before_seq IS NULL AND previous_hash <> '{ZERO}'
-        UNION ALL SELECT chain, seq, 'EVENT_HASH' FROM w WHERE length(event_hash) = 64 AND length(previous_hash) = 64 AND {_hash("seq", "previous_hash", "payload")} <> event_hash
+        UNION ALL SELECT chain, seq, 'EVENT_HASH' FROM w WHERE length(event_hash) = 64 AND length(previous_hash) = 64 AND {_hash("seq", "previous_hash", "coalesce(payload, '')")} <> event_hash
         UNION ALL SELECT chain, seq, 'LINK' FROM w WHERE before_seq IS NOT NULL AND previous_hash <> before_hash
         UNION ALL SELECT chain, seq, 'GAP' FROM w WHERE seq > before_seq + 1
         UNION ALL SELECT chain, seq, 'DUPLICATE' FROM w WHERE seq = before_seq
     )"""
+_LONG = _CHAIN.replace(_EV, "e AS (SELECT event_type AS chain, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS seq, event_id, CASE WHEN event_id % 83 <> 0 THEN props END AS payload FROM events)").replace("sha256(payload)", "sha256(coalesce(payload, ''))").replace("sha256(e.payload)", "sha256(coalesce(e.payload, ''))")
 _TAMPERED = "SELECT chain, seq, CASE WHEN event_id % 97 = 0 THEN payload || ' ' ELSE payload END AS payload, CASE WHEN event_id % 101 = 0 THEN repeat('f', 64) ELSE previous_hash END AS previous_hash, event_hash FROM l WHERE event_id % 89 <> 0"
 _V1 = f"{_EV}, l AS (SELECT chain, seq, event_id, payload, '{SEED}' AS previous_hash, sha256('{SEED}' || payload) AS entry_hash FROM e WHERE seq = 0 UNION ALL SELECT e.chain, e.seq, e.event_id, e.payload, l.entry_hash, sha256(l.entry_hash || e.payload) FROM l JOIN e ON e.chain = l.chain AND e.seq = l.seq + 1)"
 ORACLE_SQL = {
     "chain_v1_build": f"WITH RECURSIVE {_EV}, h AS (SELECT chain, seq, sha256('{SEED}' || payload) AS h FROM e WHERE seq = 0 UNION ALL SELECT e.chain, e.seq, sha256(h.h || e.payload) FROM h JOIN e ON e.chain = h.chain AND e.seq = h.seq + 1) SELECT chain, seq + 1 AS n, h AS head FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS r FROM h) t WHERE r = 1",
     "chain_v2_event_hash": f"WITH {_EV} SELECT event_id, seq, {_hash("seq", f"'{ZERO}'", "payload")} AS event_hash FROM e",
     "chain_tamper_findings": f"WITH RECURSIVE {_CHAIN}, t AS ({_TAMPERED}), {_FOUND} SELECT chain, seq, finding FROM f",
+    "chain_long_verify": f"WITH RECURSIVE {_LONG}, t AS (SELECT chain, seq, CASE WHEN event_id % 97 <> 0 THEN payload END AS payload, CASE WHEN event_id % 101 = 0 THEN repeat('f', 64) ELSE previous_hash END AS previous_hash, event_hash FROM l WHERE event_id % 89 <> 0), {_FOUND} SELECT chain, seq, finding FROM f",
     "chain_summary": f"WITH RECURSIVE {_CHAIN}, t AS (SELECT * FROM l), {_FOUND}, c AS (SELECT DISTINCT chain FROM t), b AS (SELECT DISTINCT chain FROM f) SELECT count(*) AS total, count(*) FILTER (WHERE b.chain IS NULL) AS ok, bool_and(b.chain IS NULL) AS all_ok FROM c LEFT JOIN b ON b.chain = c.chain",
     "daily_anchor": f"""
         WITH RECURSIVE {_EV},
