@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigate.operators import changes, documents, gate_queries, planted_gates, quality, records, relational, review, term_search, text_queries
+from lexigate.operators import changes, documents, gate_queries, hashes, planted_gates, quality, records, relational, review, spans, term_search, text_queries
 from lexigate.plans import audit
-from lexigate.streaming import events
+from lexigate.streaming import chains, events
 
-_MODULES = (relational, quality, review, planted_gates, term_search, records, gate_queries, documents, text_queries, changes, audit, events)
+_MODULES = (relational, quality, review, planted_gates, term_search, records, gate_queries, documents, text_queries, changes, hashes, spans, audit, events, chains)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in _MODULES:
