@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust scores.
 
 DataFrame functions only. The matches of a pattern and the gaps between them (a split by
-the same pattern) give every match its place in one fold over both. Patterns run only on
-texts that hold a character which each of their matches needs. Repeats are possessive or
+the same pattern) give every match its place: they are summed up in runs of about the square
+root of their number, so that no step copies what all steps before it found, and the words
+around a match are read from the gaps beside it or from its run. Patterns run only on texts that hold a character which each of their matches needs. Repeats are possessive or
 anchored at the start of their run where that changes no match, so time stays linear
 in the text and no run of characters, however long, needs a deep stack.
 """
@@ -83,29 +84,58 @@ ADDED = (
 )
 
 
-def _spans(text: Column, kind: Kind, rank: int, base: Column | None = None) -> Column:
-    """The confirmed spans of one kind, in code points, end exclusive."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def take(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        match = x["match"]
-        end = start + F.coalesce(F.char_length(match), F.lit(0))
-        near = F.lower(F.substring(text, F.greatest(start - AROUND + 1, F.lit(1)).cast("int"), (end - start + 2 * AROUND).cast("int")))
-        score = F.lit(kind.score) + F.when(near.rlike(kind.words), kind.raised).otherwise(0.0)
-        good = match.isNotNull() & F.coalesce(kind.confirm(match), F.lit(False))
-        if base is not None:
-            good = good & (score >= ACCEPT) & ~F.exists(base, lambda s: (s["start"] < end) & (s["end"] > start))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
+def _spans(text: Column, kind: Kind, rank: int, base: Column | None = None) -> Column:
+    """The confirmed spans of one kind, in code points, end exclusive."""
     none = F.array().cast(f"array<{SPAN}>")
-    found, gaps = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
-    folded = F.aggregate(both, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), take)["out"]
+
+    def size(x: Column) -> Column:
+        return F.char_length(x["gap"]) + F.coalesce(F.char_length(x["match"]), F.lit(0))
+
+    def of_run(run: Column, at: Column, stop: Column) -> Column:
+        origin = F.greatest(at - AROUND, F.lit(0).cast("bigint"))
+
+        def along(piece: Column, taken: Column | None) -> Column:
+            def take(acc: Column, x: Column) -> Column:
+                start = acc["at"] + F.char_length(x["gap"])
+                match = x["match"]
+                end = start + F.coalesce(F.char_length(match), F.lit(0))
+                wide = (F.char_length(x["gap"]) >= AROUND) & (F.char_length(x["after"]) >= AROUND)
+                beside = F.concat(F.right(x["gap"], F.lit(AROUND)), match, F.left(x["after"], F.lit(AROUND)))
+                within = piece.substr((F.greatest(start - AROUND, F.lit(0)) - origin + 1).cast("int"), (end - F.greatest(start - AROUND, F.lit(0)) + AROUND).cast("int"))
+                near = F.lower(F.when(wide, beside).otherwise(within))
+                score = F.lit(kind.score) + F.when(near.rlike(kind.words), kind.raised).otherwise(0.0)
+                good = match.isNotNull() & F.coalesce(kind.confirm(match), F.lit(False))
+                if taken is not None:
+                    good = good & (score >= ACCEPT) & ~F.exists(taken, lambda s: (s["start"] < end) & (s["end"] > start))
+                span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
+                return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), take)["out"]
+
+        piece = text.substr((origin + 1).cast("int"), (stop - origin + AROUND).cast("int"))
+        if base is None:
+            return _let(piece, lambda p: along(p, None))
+        return _let(piece, lambda p: _let(F.filter(base, lambda s: (s["start"] < stop) & (s["end"] > at)), lambda t: along(p, t)))
+
+    def of_rows(rows: Column) -> Column:
+        long = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(rows)))).cast("int")
+        runs = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / long).cast("int"))
+        run = lambda i: F.slice(rows, i * long + 1, long)
+        sums = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0).cast("bigint"), lambda n, x: n + size(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return _let(starts, lambda at: F.flatten(F.transform(runs, lambda i: of_run(run(i), F.get(at, i), F.get(at, i + 1)))))
+
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    zipped = _let(F.split(text, kind.pattern, -1), lambda gaps: F.arrays_zip(gaps.alias("gap"), found.alias("match"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("after")))
     possible = text.rlike("[0-9]") if kind.name != "email" else F.lit(True)
     if kind.needs:
         possible = F.contains(text, F.lit(kind.needs)) & possible
-    return F.when(possible & text.rlike(kind.pattern), folded).otherwise(none)
+    return F.when(possible & text.rlike(kind.pattern), _let(zipped, of_rows)).otherwise(none)
 
 
 def _joined(spans: Column) -> Column:

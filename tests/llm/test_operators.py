@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -332,6 +333,19 @@ def test_personal_data(spark, rows, edges, empty):
     assert {r["spans"] for r in pii.span_digest(pii.personal_data(long)).collect()} == {""}
 
 
+def test_personal_data_of_one_long_text_with_many_spans(spark):
+    """Two megabytes with fifty thousand spans, close together and far apart; the work must not grow with their square."""
+    far = "write to abc.def@example.com or call +49 30 1234567 now, thank you all; nothing else stands here é\n" * 12_500
+    near = "a@b.co 1.2.3.4 " * 12_500
+    df = spark.createDataFrame([(1, far + near), (2, near + far)], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.span_digest(pii.personal_data(df)).collect()}
+    assert time.monotonic() - began < 120
+    for i, x in ((1, far + near), (2, near + far)):
+        assert got[i]["base_sha256"] == hashlib.sha256(_base(x).encode()).hexdigest()
+        assert got[i]["n_email"] + got[i]["n_ip"] + got[i]["n_phone"] == 50_000
+
+
 def test_added_kinds(spark):
     items = [(1, "my iban GB82 WEST 1234 5698 7654 32 ok"), (2, "iban GB82WEST12345698765433"), (3, "ssn 123-45-6789"), (4, "number 123-45-6789"), (5, "call my phone 555-123-4567")]
     got = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.span_digest(pii.personal_data(spark.createDataFrame(items, "doc_id bigint, text string"))).collect()}
