@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -133,41 +132,42 @@ def vec_top1_cosine(spark: SparkSession, d: str) -> DataFrame:
     return best.select("q", "b.vec_id", "b.cosine", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.col("b.cosine"))), 4).alias("similarity"))
 
 
-#: Query vectors of one block: what is sent to every task.
-BLOCK = 4096
+#: Query vectors of one block, which is sent to every task, and stored vectors compared with them at a time.
+BLOCK, STEP = 4096, 512
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """(q, vec_id, distance): the k vectors nearest to each query, itself left out; least id on ties.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False, by: str | None = None) -> DataFrame:
+    """(q, vec_id, distance, place): the k vectors nearest to each query, itself left out; least id on ties.
 
-    Both sides have vec_id and embedding. Queries go to the tasks in blocks of BLOCK; each
-    Arrow batch keeps its k best for every query, each task the k best of its batches, so
-    what is shuffled is k rows for a query and task. Null vectors are near to nothing.
+    Both sides have vec_id and embedding; with ``by`` only vectors of the query's value in that
+    column count (null is equal to nothing). Queries go to the tasks in blocks of BLOCK; a
+    task compares STEP vectors with them at a time and holds the k best of each query, so
+    that its memory depends on BLOCK, STEP and k only, and what is shuffled is k rows for a query and task.
+    Null vectors, and distances that are no number, are near to nothing.
     Distances are squared L2, or 1 less the cosine, rounded to 6 places.
     """
     spark = vectors.sparkSession
+    same = F.col(by).cast("string") if by else F.lit("")
     blocks = -(-queries.count() // BLOCK)
     out = None
     for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).where("embedding is not null").select("vec_id", "embedding").toArrow()
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).where(F.col("embedding").isNotNull() & same.isNotNull()).select("vec_id", "embedding", same.alias("group")).toArrow()
         if not own.num_rows:
             continue
         ids, matrix = own.column("vec_id").to_numpy(), np.array(own.column("embedding").to_pylist(), np.float64)
+        code = {g: i for i, g in enumerate(dict.fromkeys(own.column("group").to_pylist()))}
+        groups = np.array([code[g] for g in own.column("group").to_pylist()])
 
-        def best(batches, ids=ids, matrix=matrix):
-            kept = None
+        def best(batches, ids=ids, matrix=matrix, code=code, groups=groups):
+            kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
             for batch in batches:
                 batch = batch.filter(pc.is_valid(batch.column(1)))
-                if batch.num_rows:
-                    found = _block_distances(matrix, np.array(batch.column(1).to_pylist(), np.float64), cosine)
-                    rows = batch.column(0).to_numpy()
-                    q, v = np.nonzero(ids[:, None] != rows[None, :])
-                    new = pd.DataFrame({"q": ids[q], "vec_id": rows[v], "distance": np.round(found[q, v], 6)})
-                    kept = _least(new if kept is None else pd.concat([kept, new]), k)
-            if kept is not None:
-                yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
-
-        part = vectors.select("vec_id", "embedding").mapInArrow(best, "q bigint, vec_id bigint, distance double")
+                for at in range(0, batch.num_rows, STEP):
+                    part = batch.slice(at, STEP)
+                    kept = _keep(kept, ids, matrix, groups, part, code, k, cosine)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["q", "vec_id", "distance"])
+
+        part = vectors.select("vec_id", "embedding", same.alias("group")).mapInArrow(best, "q bigint, vec_id bigint, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "q bigint, vec_id bigint, distance double, place bigint")
@@ -175,16 +175,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False
     return out.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _keep(kept: tuple, ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray, part: pa.RecordBatch, code: dict, k: int, cosine: bool) -> tuple:
+    """The k best (query, vector, distance) of those kept and of one more step of vectors."""
+    rows = part.column(0).to_numpy()
+    found = np.round(_block_distances(matrix, np.array(part.column(1).to_pylist(), np.float64), cosine), 6)
+    own = np.array([code.get(g, -1) for g in part.column(2).to_pylist()])
+    found[(ids[:, None] == rows[None, :]) | (groups[:, None] != own[None, :]) | np.isnan(found)] = np.inf
+    least = np.partition(found, min(k, found.shape[1]) - 1, axis=1)[:, min(k, found.shape[1]) - 1]
+    q, v = np.nonzero((found <= least[:, None]) & (found < np.inf))
+    q, v, d = np.concatenate([kept[0], q]), np.concatenate([kept[1], rows[v]]), np.concatenate([kept[2], found[q, v]])
+    order = np.lexsort((v, d, q))
+    q, v, d = q[order], v[order], d[order]
+    first = np.concatenate([np.arange(len(q))[:1], np.flatnonzero(q[1:] != q[:-1]) + 1])
+    place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+    return q[place < k], v[place < k], d[place < k]
+
+
 def _block_distances(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
     if cosine:
-        return 1 - (a @ b.T) / np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1 - (a @ b.T) / np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
 
 
-def _least(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    return rows.sort_values(["q", "distance", "vec_id"]).groupby("q").head(k)
-
-
 def vec_nearest_all(spark: SparkSession, d: str) -> DataFrame:
     """Three nearest of all vectors for every vector whose id is divisible by 20, by squared L2 distance."""
     e = table(spark, d, "embeddings")
