@@ -50,7 +50,7 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     ``first`` read; ``confirm`` takes (a, b) pairs and returns the confirmed ones as (u, v).
     ``first`` is true for one of the keys that a pair shares; without it nodes have their ``keys``.
     ``close`` is a costlier test than ``near``, put to the pairs that are near. ``picks`` members
-    of a bucket stand for it in the rounds after the first, which look at one key ``among`` so many.
+    of a bucket stand for it in the rounds after the first, which look at one key ``among`` so many, other keys in every round.
 
     First each node is compared with one node only: of the most connected member of each of
     its buckets, the one that it meets in most of them. The document that a family was
@@ -84,7 +84,8 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     often = met.repartition("node").groupBy("node", "centre").agg(F.count("*").alias("times"))
     links = [linked(often.groupBy("node").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre")))]
 
-    looked_at = (F.col("c") > FEW) & (F.pmod(F.xxhash64("key"), F.lit(among)) == 0)
+    def looked_at(turn: int) -> Column:
+        return (F.col("c") > FEW) & (F.pmod(F.xxhash64("key"), F.lit(among)) == turn % among)
 
     def some(turn: int) -> Column:
         picked = [F.min_by("node", F.struct(F.xxhash64("node", "key", F.lit(turn), F.lit(p)), "node")) for p in range(picks)]
@@ -93,14 +94,14 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     if rounds > 1:
         have = links[0].select(F.explode(F.array("u", "v")).alias("node")).distinct()
         alone = buckets.select("key", "node").join(have.hint("merge"), "node", "left_anti")
-        other = buckets.groupBy("key").agg(some(1), F.count("*").alias("c")).where(looked_at)
+        other = buckets.groupBy("key").agg(some(1), F.count("*").alias("c")).where(looked_at(1))
         links.append(linked(alone.join(other.hint("merge"), "key").select("node", F.explode("centres").alias("centre")).where("node <> centre")))
     labelled = _label(buckets, links)
     for turn in range(2, rounds):
         if labelled.isEmpty():
             break
         groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), some(turn))
-        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centres"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where(looked_at)
+        main = groups.groupBy("key").agg(F.max_by(F.struct("comp", "centres"), F.struct("c", "comp")).alias("main"), F.sum("c").alias("c")).where(looked_at(turn))
         outside = labelled.join(main.hint("merge"), "key").where("comp <> main.comp").select("node", F.explode("main.centres").alias("centre"))
         links.append(linked(outside))
         before, labelled = labelled, _label(labelled.select("key", "node"), links)

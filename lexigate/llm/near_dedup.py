@@ -33,7 +33,7 @@ SHINGLE = 5
 CHUNKS, WIDTH, BITS, ERRORS = 8, 5, 12, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Symbols of 4 bits in a sketch.
-SKETCH = 512
+SKETCH = 1536
 #: Differing symbols up to which two signatures are sure to share a key.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 ROUNDS = 3
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, shingle: int = SHINGLE
         return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, shingle), "u binary, v binary")
 
     nodes = cut(needed.join(texts.select("cid", "sketch").hint("merge"), "cid").select(F.col("cid").alias("node"), "n", *_SIG, "sketch"))
-    comp = bucket_components(buckets, nodes, near, confirm, ROUNDS, _first, close, among=2)
+    comp = bucket_components(buckets, nodes, near, confirm, ROUNDS, _first, close, among=4)
     drop(buckets, needed, texts, nodes)
 
     nodes = classes.select("cid", "rep").join(comp.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
