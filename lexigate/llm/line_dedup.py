@@ -13,15 +13,18 @@ Buckets are never expanded into all their pairs: see ``_buckets``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
 from lexigate.llm._buckets import Side, bucket_components, shared_buckets
+from lexigate.llm._edits import distances
 from lexigate.llm._filter import bit_filter, bit_words, marked, passes
 from lexigate.llm._session import cut, drop, prepare
 
@@ -303,23 +306,48 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+#: Pairs and letters that are compared together.
+TOGETHER, LETTERS = 8000, 1 << 22
+
+
+def within(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether each pair of lines has enough edit similarity."""
+    most = np.array([int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)], np.int64)
+    found = distances(a, b)
+    for i in np.flatnonzero(found < 0).tolist():
+        found[i] = edit_distance(a[i], b[i], int(most[i]))
+    return found <= most
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of lines with enough edit similarity; columns: a, b, la, lb."""
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            most = int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)
-            good.append(edit_distance(x, y, most) <= most)
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+    held: list[pa.RecordBatch] = []
+    lines: tuple[list[str], list[str]] = ([], [])
+    letters = 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch.select([0, 1]))
+            for x, c in zip(lines, (2, 3), strict=True):
+                x.extend(batch.column(c).to_pylist())
+            letters += sum(pc.sum(pc.utf8_length(batch.column(c))).as_py() or 0 for c in (2, 3))
+        if held and (batch is None or len(lines[0]) >= TOGETHER or letters >= LETTERS):
+            pairs = pa.Table.from_batches(held).combine_chunks()
+            mask = pa.array(within(*lines), pa.bool_())
+            for good in pairs.filter(mask).rename_columns(["u", "v"]).to_batches():
+                yield good
+            held, lines, letters = [], ([], []), 0
 
 
 def _near(x: Side, y: Side) -> Column:
-    """False only where lengths or counted letters rule the edit similarity out."""
-    longer = F.greatest(x("n"), y("n"))
+    """False only where lengths or counted letters rule the edit similarity out.
+
+    A changed letter moves two counts, one put in or taken out moves one count at most, and there are
+    as many of the latter as the lengths differ by.
+    """
+    longer, shorter = F.greatest(x("n"), y("n")), F.least(x("n"), y("n"))
     most = F.floor((1 - SIMILARITY) * longer + 1e-9)
     apart = sum((F.bit_count(x(r).bitwiseXOR(y(r))) for r in RINGS), F.lit(0))
-    return (longer - F.least(x("n"), y("n")) <= most) & (apart <= 2 * most)
+    return (longer - shorter <= most) & (apart <= 2 * most - (longer - shorter))
 
 
 def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

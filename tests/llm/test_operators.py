@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexigate.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, queries, token_counts
 from lexigate.llm._buckets import bucket_components
+from lexigate.llm._edits import distances
 from lexigate.llm.vocabularies import PATTERN, vocabulary
 from tests.conftest import SMALL
 
@@ -563,6 +564,27 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b, most) == min(plain(a, b), most + 1)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz 0", "漢字仮名交文書日本語😀é a"])
+def test_distances_of_many_pairs(letters):
+    rng = random.Random(5)
+    a, b = [], []
+    for _ in range(600):
+        x = [rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 128, 129, 300, 1100]))]
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 6 + 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        a.append("".join(x))
+        b.append("".join(y))
+    found = distances(a, b)
+    told = [(x, y, d) for x, y, d in zip(a, b, found.tolist(), strict=True) if d >= 0]
+    assert len(told) > 400
+    assert all(line_dedup.edit_distance(x, y, len(x) + len(y)) == d for x, y, d in told)
+    most = [int((1 - line_dedup.SIMILARITY) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)]
+    assert line_dedup.within(a, b).tolist() == [line_dedup.edit_distance(x, y, k) <= k for x, y, k in zip(a, b, most, strict=True)]
+    assert line_dedup.within([], []).tolist() == [] and line_dedup.within(["a"], [""]).tolist() == [False]
+
+
 # 10: decontamination
 
 
