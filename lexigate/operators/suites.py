@@ -75,9 +75,13 @@ ORACLE_SQL = {
         ),
         n AS (SELECT doc_id, target, unnest(regexp_extract_all(source, '[0-9]+(?:[.,][0-9]+)?')) AS n FROM c WHERE tampered),
         l AS (SELECT DISTINCT doc_id FROM n WHERE NOT regexp_matches(target, '(^|[^0-9])' || regexp_replace(n, '[.,]', '[.,]', 'g') || '($|[^0-9])')),
-        p AS (SELECT doc_id FROM c WHERE NOT tampered AND regexp_matches(source, $P$))
+        u AS (SELECT doc_id, source, unnest(list_zip(regexp_extract_all(source, $U$, 1, 'i'), regexp_extract_all(source, $U$, 2, 'i'))) AS z FROM c WHERE NOT tampered),
+        p AS (
+            SELECT doc_id FROM c WHERE NOT tampered AND (regexp_matches(source, $P$) OR regexp_matches(source, '\[\[PII|<EMAIL|<PHONE'))
+            UNION SELECT doc_id FROM u WHERE NOT regexp_matches(lower(source), replace(z[1], '.', '[.,]') || '\s*' || z[2])
+        )
         SELECT form, CASE WHEN broken THEN 'rejected' WHEN tampered THEN 'tampered' ELSE 'canonical' END AS kind, count(*) AS cases,
             count(*) FILTER (NOT broken AND CASE WHEN tampered THEN doc_id IN (FROM l) ELSE doc_id NOT IN (FROM p) END) AS passed
         FROM c GROUP BY 1, 2
-    """.replace("$P$", "'" + "|".join(f"(?:{v})" for v in gates.PII_SHAPES.values()).replace("'", "''") + "'"),
+    """.replace("$U$", rf"'([0-9]+(?:[.,][0-9]+)?)\s*({_UNIT})\b'").replace("$P$", "'" + "|".join(f"(?:{v})" for v in gates.PII_SHAPES.values()).replace("'", "''") + "'"),
 }

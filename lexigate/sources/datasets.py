@@ -21,6 +21,8 @@ from lexigate.functions.canonical import dumps
 
 #: Names of the files of each form.
 GLOBS = {"json": "*.json", "jsonl": "*.jsonl", "csv": "*.csv"}
+#: Characters of a CSV field, at most: what a C long of any platform holds, so no field that a row can have is refused.
+FIELD = (1 << 31) - 1
 CASES = "path string, suite string, case_id string, place bigint, input string, expected string, assertions array<string>, tags array<string>, metadata string, reason string"
 _NAMES = [x.split()[0] for x in CASES.split(", ")]
 _LIST = pa.list_(pa.string())
@@ -76,6 +78,7 @@ def _of_json(path: str, text: str) -> Iterator[tuple]:
 
 def _of_csv(path: str, text: str) -> Iterator[tuple]:
     """Cases of one CSV file with a header; input and expected hold JSON, empty ones an empty object."""
+    csv.field_size_limit(FIELD)
     try:
         for i, row in enumerate(csv.DictReader(io.StringIO(text, newline="")), 1):
             name = (row.get("id") or f"row_{i}").strip()

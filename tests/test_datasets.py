@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
 
 from lexigate.operators import suites
 from lexigate.sources import datasets
+from tests.oracle import difference
 
 FILES = {
     "a/named.json": json.dumps({"metadata": {"name": "My suite"}, "cases": [{"id": "x", "input": {"b": 1, "a": "é"}, "tags": ["t", 2], "assertions": [{"path": "p"}, "no object"]}, {"input": {}}, {"id": 7, "expected": {"z": None}}, "no object", {"input": [1]}, {"tags": "t"}, {"input": {"n": float("nan")}}]}),
@@ -52,6 +54,23 @@ def test_cases_and_rejects_of_every_form(spark, folder):
     ])
 
 
+def test_long_fields_of_a_csv_file_are_read(spark, tmp_path):
+    """Fields beyond the csv module's own limit of 131,072 characters, and the rows behind them."""
+    (tmp_path / "long.csv").write_text('id,input,expected\n' + "".join(f'c{i},"{{""text"": ""{"x" * n}""}}",\n' for i, n in enumerate((5, 400_000, 7))))
+    cases, rejects = datasets.discover_cases(spark, str(tmp_path))
+    assert sorted((r["case_id"], len(r["input"])) for r in cases.collect()) == [("c0", 16), ("c1", 400_011), ("c2", 18)]
+    assert rejects.count() == 0
+
+
+def test_golden_files_on_units_and_long_texts(spark, tmp_path):
+    """Units in capitals are critical in a canonical copy too; a text of 70,000 letters is two long fields of a CSV file."""
+    rows = [(2, "give 37L"), (4, "give 7 MG"), (5, "x" * 70_000), (8, "give 5 mg"), (10, "[[PII_1]]"), (11, "y")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert not difference(suites.golden_files(spark, str(tmp_path)), suites.ORACLE_SQL["golden_files"], con)
+
+
 def test_line_numbers_hold_where_a_file_is_split(spark, tmp_path):
     (tmp_path / "many.jsonl").write_text("".join(f'{{"input": {{"n": {i}}}}}\n' for i in range(1, 5001)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
