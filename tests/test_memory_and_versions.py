@@ -43,6 +43,19 @@ def test_best_match_of_every_segment(spark, threshold):
     assert memory.best_matches(spark.createDataFrame([], SEGMENT), spark.createDataFrame(stored, SEGMENT)).count() == 0
 
 
+def test_parts_of_similar_sets_meet_and_others_do_not(spark):
+    """Sets over few tokens: all similar pairs are found, and keys are few and mostly of one set."""
+    rng = random.Random(3)
+    base = [rng.sample(range(900), rng.randrange(6, 120)) for _ in range(150)]
+    sets = [(f"s{i}", [f"t{x}" for x in sorted(b)]) for i, b in enumerate(base + [[*b[1:], 901, 902][: len(b)] for b in base])]
+    df = spark.createDataFrame(sets, "cid string, tokens array<string>")
+    want = {(x, y) for x, a in sets for y, b in sets if x != y and 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b))}
+    assert {(r["x"], r["y"]) for r in memory.similar_sets(df, df).collect()} == want and len(want) > 200
+    hashed = df.selectExpr("xxhash64(cid) AS id", "3 AS role", "transform(tokens, t -> xxhash64(t)) AS hashes")
+    met = hashed.mapInArrow(memory._keys(85), "key bigint, id bigint, packed bigint").groupBy("key").count().selectExpr("sum(count)", "sum(count * count)").first()
+    assert met[0] <= sum(0.5 * len(t) + 4 for _, t in sets) and met[1] < 4 * met[0]
+
+
 @pytest.mark.parametrize("cosine", [False, True])
 def test_nearest_in_steps(spark, monkeypatch, cosine):
     """Blocks and steps of any size, equal vectors, a null one, groups, fewer vectors than asked for."""
