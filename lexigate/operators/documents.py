@@ -106,32 +106,6 @@ def tm_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return cand.join(bench, "a").join(docs, "b").where(100 * common >= 85 * union).select("a", "b", F.round(common / union, 6).alias("similarity"))
 
 
-def _dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def _vector_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Queries (every vector whose id is divisible by 20) against all others with the same label."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
-    return q.join(e, "label").where("q <> vec_id")
-
-
-def vec_top3_l2(spark: SparkSession, d: str) -> DataFrame:
-    """Three nearest vectors of the same label by squared L2 distance, least id on ties."""
-    dist = F.aggregate(F.zip_with("x", "embedding", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    x = _vector_pairs(spark, d).select("q", "vec_id", F.round(dist, 6).alias("distance"))
-    return x.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id")).cast("bigint")).where("place <= 3")
-
-
-def vec_top1_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vector of the same label by cosine distance, and the similarity clamped to 0..100."""
-    cos = _dot(F.col("x"), F.col("embedding")) / F.sqrt(_dot(F.col("x"), F.col("x")) * _dot(F.col("embedding"), F.col("embedding")))
-    x = _vector_pairs(spark, d).select("q", "vec_id", F.round(cos, 6).alias("cosine"))
-    best = x.groupBy("q").agg(F.max_by(F.struct("vec_id", "cosine"), F.struct("cosine", -F.col("vec_id"))).alias("b"))
-    return best.select("q", "b.vec_id", "b.cosine", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.col("b.cosine"))), 4).alias("similarity"))
-
-
 #: Query vectors of one block, which is sent to every task, and stored vectors compared with them at a time.
 BLOCK, STEP = 4096, 512
 
@@ -198,6 +172,19 @@ def _block_distances(a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
 
 
+def vec_top3_l2(spark: SparkSession, d: str) -> DataFrame:
+    """Three nearest vectors of the same label by squared L2 distance, least id on ties."""
+    e = table(spark, d, "embeddings")
+    return nearest(e, e.where("vec_id % 20 = 0"), 3, by="label")
+
+
+def vec_top1_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vector of the same label by cosine distance, and the similarity clamped to 0..100."""
+    e = table(spark, d, "embeddings")
+    best = nearest(e, e.where("vec_id % 20 = 0"), 1, cosine=True, by="label").withColumn("cosine", F.round(1 - F.col("distance"), 6))
+    return best.select("q", "vec_id", "cosine", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.col("cosine"))), 4).alias("similarity"))
+
+
 def vec_nearest_all(spark: SparkSession, d: str) -> DataFrame:
     """Three nearest of all vectors for every vector whose id is divisible by 20, by squared L2 distance."""
     e = table(spark, d, "embeddings")
