@@ -6,6 +6,9 @@ documents for evaluation cases; suppliers' and parts' names for glossary terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,11 +145,26 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.length("text").alias("before"), F.length("r").alias("after"), marks("EMAIL").alias("emails"), marks("IPV4").alias("addresses"))
 
 
+def _places(rule: str):
+    """Whether a literal is in each text, and where: offsets of every occurrence, overlapping ones too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                at = []
+                while (i := text.find(rule, at[-1] + 1 if at else 0)) >= 0:
+                    at.append(i)
+                found.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([",".join(map(str, x)) for x in found], pa.string()), pa.array([bool(x) for x in found], pa.bool_())], ["doc_id", "offsets", "fires"])
+
+    return run
+
+
 def rule_test(spark: SparkSession, d: str) -> DataFrame:
     """Offsets of every match of a rule's literal in the first line of a document, overlapping ones too, and whether it would fire."""
-    line, rule = F.substring_index("text", "\n", 1), "an"
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(line) - len(rule) + 1, F.lit(1))), lambda i: F.lower(line).substr(i, F.lit(len(rule))) == rule)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(at, lambda i: (i - 1).cast("string")), ",").alias("offsets"), (F.size(at) > 0).alias("fires"))
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.lower(F.substring_index("text", "\n", 1)).alias("line"))
+    return lines.mapInArrow(_places("an"), f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, offsets string, fires boolean")
 
 
 def merged_spans(spark: SparkSession, d: str) -> DataFrame:
