@@ -41,7 +41,8 @@ def plain(x: Column) -> Column:
 
     Characters whose plain form is more than one (ligatures) stay as they are.
     """
-    bare = F.regexp_replace(F.translate(x, *_compatible()), r"[\u200b\u200c\u200d\u2060\ufeff]", "")
+    shown = F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, *_compatible())).otherwise(x)
+    bare = F.regexp_replace(shown, r"[\u200b\u200c\u200d\u2060\ufeff]", "")
     return F.regexp_replace(bare, r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " ")
 
 
@@ -54,19 +55,17 @@ def sentences(x: Column) -> Column:
     """Sentences after . ! ? and space, but not after titles, initials and abbreviations in a sentence."""
     chunks = F.split(F.regexp_replace(x, r"([.!?]+\s+)", "$1" + _MARK), _MARK, -1)
 
-    def joined(acc: Column, c: Column) -> Column:
-        last = F.regexp_replace(F.regexp_extract(acc["open"], r"(\S*)\s*$", 1), r"[.!?]+$", "")
-        initial = last.rlike(r"^\p{Lu}$")
-        later = last.isin(CONTEXTUAL + CREDENTIALS) & ~c.rlike("^[A-Z0-9]")
-        goes_on = (acc["open"] == "") | initial | last.isin(TITLES) | later
-        return F.struct(
-            F.when(goes_on, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
-            F.when(goes_on, F.concat(acc["open"], c)).otherwise(c).alias("open"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    folded = F.aggregate(chunks, start, joined, lambda a: F.array_append(a["done"], a["open"]))
-    return F.filter(F.transform(folded, lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
+    last = lambda c: F.regexp_replace(F.regexp_extract(c, r"(?<!\S)(\S*)\s*$", 1), r"[.!?]+$", "")
+    lasts = F.concat(F.array(F.lit(None).cast("string")), F.transform(chunks, last))
+
+    def opened(p: Column) -> Column:
+        later = p["last"].isin(CONTEXTUAL + CREDENTIALS) & ~p["c"].rlike("^[A-Z0-9]")
+        goes_on = p["last"].isNull() | p["last"].rlike(r"^\p{Lu}$") | p["last"].isin(TITLES) | later
+        return F.when(goes_on, p["c"]).otherwise(F.concat(F.lit(_MARK), p["c"]))
+
+    pairs = F.filter(F.arrays_zip(chunks.alias("c"), lasts.alias("last")), lambda p: p["c"].isNotNull())
+    parts = F.split(F.array_join(F.transform(pairs, opened), ""), _MARK, -1)
+    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
 
 
 def cjk_sentences(x: Column) -> Column:

@@ -78,3 +78,12 @@ def test_conserved(spark):
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end")))
     rows = [("good text here", "best text here"), ("good text here", "best word here")]
     assert _pairs(spark, lambda s, t: X.conserved(s, t, spans), rows) == [True, False]
+
+
+def test_sentences_of_many_chunks(spark):
+    """Joins depend on the neighbouring chunk alone; a text of 3,000 sentences is cut in one pass."""
+    text = "Dr. Who met J. Smith. He left ... at once! See Fig. 3 etc. and so on? . Yes.  \n No"
+    rows = [(1, text), (2, "One two. " * 3000), (3, ""), (4, None), (5, " \n")]
+    got = dict(map(tuple, spark.createDataFrame(rows, "i int, t string").select("i", X.sentences(F.col("t"))).collect()))
+    assert got[1] == ["Dr. Who met J. Smith.", "He left ...", "at once!", "See Fig.", "3 etc. and so on?", ".", "Yes.", "No"]
+    assert got[2] == ["One two."] * 3000 and got[3] == [] and got[4] is None and got[5] == []
