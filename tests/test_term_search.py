@@ -92,3 +92,19 @@ def test_rules(spark):
             want += [(i, rule, *x, correction.lower() not in (target or "").lower()) for x in at]
     assert sorted(map(tuple, term_search.rule_hits(p, r).collect())) == sorted(want)
     assert sorted((x["rule_id"], x["reason"].split(":")[0]) for x in term_search.rejected_rules(r).collect()) == [(13, "invalid regex"), (14, "empty pattern")]
+
+
+def test_regexes_are_tried_where_their_letters_stand(spark):
+    """The same matches as a scan with every pattern, for patterns with and without letters at the front."""
+    import re
+
+    from lexigate.operators.term_search import _lead, rule_hits
+
+    assert [_lead(p) for p in ("ab[,.]", "ab*", "ab?c", "a|b", "[ab]", "éa", "ab+", "a{2}")] == ["ab", "a", "a", "", "", "", "ab", ""]
+    patterns = ["ab[,.]", "aba", "ab*", "ab?c", "a|b", r"\bab\b", "k.", "éa", "a{2}", "AB\\s"]
+    texts = ["abababa, AB. abc ac", "aaaa bb éA ÉA", "K. ſk! İab,", "", None]
+    rules = spark.createDataFrame([(i, p, "", True) for i, p in enumerate(patterns)], "rule_id bigint, pattern string, correction string, is_regex boolean")
+    pairs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "pair_id bigint, source string, target string")
+    want = {(i, j, m.start(), m.end()) for i, t in enumerate(texts) for j, p in enumerate(patterns) for m in re.finditer(p, t or "", re.IGNORECASE)}
+    got = [tuple(r)[:4] for r in rule_hits(pairs, rules).select("pair_id", "rule_id", "start", "end").collect()]
+    assert set(got) == want and len(got) == len(want)
