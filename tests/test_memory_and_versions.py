@@ -143,3 +143,18 @@ def test_merge_of_terms(spark):
     have, fresh = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "key string, target string"), spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "4"), ("d", "4"), ("c", None)], "key string, target string")
     assert sorted((r["key"], r["op"], r["target"]) for r in versions.merge_terms(have, fresh, 5).collect()) == [("b", "patch", "3"), ("d", "create", "4")]
     assert sorted((r["key"], r["op"]) for r in versions.merge_terms(have, fresh.limit(0), 5).collect()) == [("a", "delete"), ("b", "delete"), ("c", "delete")]
+
+
+def test_long_first_lines_and_pairs_of_vectors(spark, tmp_path):
+    """A first line of 600,000 letters is searched in one pass; nearest vectors come without a join of pairs."""
+    from lexigate.operators import records
+
+    rows = [(1, "An" + "x" * 600_000 + "aNan\nan"), (2, ""), (3, None), (4, "b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, records.rule_test(spark, str(tmp_path)).collect())) == [(1, "0,600002,600004", True), (2, "", False), (4, "", False)]
+    vectors = [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 1), (2, [1.0, 0.1], 1), (3, [1.0, 0.0], 2), (20, [0.0, 1.0], 3), (4, [-1.0, 0.0], 1)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    top3, top1 = documents.vec_top3_l2(spark, str(tmp_path)), documents.vec_top1_cosine(spark, str(tmp_path))
+    assert sorted(map(tuple, top3.select("q", "vec_id", "distance", "place").collect())) == [(0, 1, 0.01, 1), (0, 2, 0.01, 2), (0, 4, 4.0, 3)]
+    assert [tuple(r) for r in top1.select("q", "vec_id", "cosine", "similarity").collect()] == [(0, 1, 0.995037, 99.5037)]
+    assert "Join" not in top3._jdf.queryExecution().toString()
