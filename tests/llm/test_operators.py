@@ -367,6 +367,27 @@ def test_pairwise_quality(spark, edges, empty):
     assert pairwise_quality.score(empty, model).count() == 0
 
 
+def test_pairwise_quality_learns_from_every_labelled_document(spark):
+    """Means, loss and cut against all pairs by hand, with more labelled documents than any sample held."""
+    rng = np.random.default_rng(3)
+    text = lambda i: " ".join("".join(rng.choice(list("abcDE#1,"), rng.integers(1, 9 if i % 3 else 6))) for _ in range(rng.integers(1, 12)))
+    items = [(i, text(i), int(i % 3 > 0)) for i in range(9000)]
+    table = spark.createDataFrame(items, "doc_id bigint, text string, label int")
+    model = pairwise_quality.fit(table.select("doc_id", "text"), table.select("doc_id", "label"))
+    raw = [t.encode() for _, t, _ in items]
+    x = pairwise_quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).astype(np.float32).astype(float)
+    y = np.array([z for *_, z in items])
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-6) and np.allclose(model.scale, x.std(axis=0) + 0.02, atol=1e-5)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    worth = z @ model.weights
+    good, bad = z[y == 1], z[y == 0]
+    pull = 1 / (1 + np.exp(worth[y == 1][:, None] - worth[y == 0][None, :]))
+    slope = (pull.sum(axis=0) @ bad - pull.sum(axis=1) @ good) / pull.size + pairwise_quality.DECAY * model.weights
+    assert np.linalg.norm(model.weights) > 0.1 and np.linalg.norm(slope) < 1e-3
+    ordered = np.sort(worth)
+    assert model.cut == pytest.approx((ordered[2999] + ordered[3000]) / 2, abs=1e-9)
+
+
 def test_quality_rules(spark, rows, edges, empty):
     def want(text):
         w = WORD.findall((text or "").encode())
