@@ -2,7 +2,8 @@
 
 A text is a sequence of words, each coded as its bytes and a closing space, and one end
 mark. Every byte is coded by its eight bits; a bit's context is the bits before it and
-the last 0 to ``DEPTH`` bytes of its word (spaces before its first byte). At each node of
+the last 0 to ``DEPTH`` bytes of the text, over the borders of words (spaces before its
+first byte), or those of its word alone. At each node of
 the context tree a Krichevsky-Trofimov estimate of the node is mixed, half and half, with
 the product of its children, over all depths down to the leaves; a child that training
 has not seen gives every bit 1/2.
@@ -11,9 +12,10 @@ The tree holds every context of the training texts and lies in no one place: gra
 and byte) are dealt out by the last two bytes of their context, so that a task has whole
 subtrees, weighs them bottom-up and hands up what depth 2 comes to; the top of two depths is
 one small array; then the tasks go down their subtrees again and give the probability of
-every gram that any text has. A word's code length is the sum over its grams and depends on
-the word alone. Most words are looked up in a broadcast table of fixed size; the others are
-joined with the full table of words, as the unigram base needs anyway.
+every gram that any text has. A text's code length is the sum over its grams. Most grams are
+looked up in a broadcast table of fixed size; the others are joined with the full table. Where
+contexts are those of a word, its code length depends on the word alone and is looked up or
+joined with the word's count, as the unigram base needs anyway.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from lexigate.llm._session import cut, drop, prepare
 DEPTH = 5
 #: Depth of the contexts that a task has whole, and grams that it weighs at a time (one larger subtree makes its own chunk).
 ROOT, CHUNK = 2, 1 << 18
-#: Words in the broadcast table of counts and code lengths, at most.
+#: Words, and grams, in the broadcast tables of counts and code lengths, at most.
 TABLE = 1 << 18
 #: Distinct words that a task holds before it passes them on.
 HELD = 1 << 18
@@ -57,17 +59,65 @@ def _coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return context[live], flat[live], owner[live]
 
 
+def _text_grams(data: np.ndarray, w: T.Words, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, gram, row from the first) of every coded byte of some rows, about BLOCK bytes at a time."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + T.BLOCK, "right")) - 1)
+        p, q = w.first[a], w.first[b]
+        start, row, length = w.start[p:q], w.row[p:q] - a, w.end[p:q] - w.start[p:q]
+        size = np.bincount(row, length + 1, b - a).astype(np.int64) + DEPTH + 1
+        first = np.cumsum(size) - size
+        before = np.cumsum(np.append(0, length + 1))
+        at = (first - before[w.first[a:b] - p])[row] + DEPTH + before[:-1]
+        flat = np.full(int(size.sum()), SPACE, np.int64)
+        word = np.repeat(np.arange(len(start)), length)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
+        flat[at[word] + place] = data[start[word] + place]
+        flat[first + size - 1] = END
+        gram = flat.copy()
+        for k in range(1, DEPTH + 1):
+            gram[DEPTH:] |= flat[DEPTH - k : len(flat) - k] << (8 * k)
+        live = np.arange(len(flat)) - np.repeat(first, size) >= DEPTH
+        yield a, b, gram[live], np.repeat(np.arange(b - a), size)[live]
+        a = b
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the grams of whole texts, about HELD at a time; n counts training rows (column 0) only."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        gram, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held[:] = [(gram, n)]
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    for batch in batches:
+        learn = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+        for a, _, data, offsets in T.blocks(batch):
+            data = T.LOWER[data]
+            for i, j, gram, row in _text_grams(data, T.words(data, offsets, T.SPACE_WORDS), offsets):
+                held.append(_merged(gram, learn[a + i : a + j][row]))
+        if sum(len(x) for x, _ in held) > 4 * HELD:
+            rows = out()
+            if len(rows) > 2 * HELD:
+                held.clear()
+                yield rows
+    if held:
+        yield out()
+
+
 _BOUNDARY = int.from_bytes(bytes([SPACE] * DEPTH), "little")
 
 
 def _distinct(batch: pa.RecordBatch):
-    """Distinct words of a block of rows: (rows, bytes, words, hashes, one start and end, inverse)."""
+    """Distinct words of a block of rows: (rows, bytes, offsets, words, hashes, one start and end, inverse)."""
     for a, b, data, offsets in T.blocks(batch, size=1 << 21):
         data = T.LOWER[data]
         w = T.words(data, offsets, T.SPACE_WORDS)
         h = np.concatenate([T.span_hash(data[i:j], w.start[p:q] - i, w.end[p:q] - i) for i, j, p, q in _pieces(w, offsets)] or [np.zeros(0, np.uint64)]).view(np.int64)
         keys, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        yield a, b, data, w, keys, w.start[index], w.end[index], inverse
+        yield a, b, data, offsets, w, keys, w.start[index], w.end[index], inverse
 
 
 def _pieces(w: T.Words, offsets: np.ndarray):
@@ -90,7 +140,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b, data, w, keys, start, end, inverse in _distinct(batch):
+        for a, b, data, _, w, keys, start, end, inverse in _distinct(batch):
             count = np.bincount(inverse, learn[a:b][w.row], len(keys)).astype(np.int64).tolist()
             raw = data.tobytes()
             for key, n, i, j in zip(keys.tolist(), count, start.tolist(), end.tolist(), strict=True):
@@ -259,21 +309,25 @@ def gram_lengths(grams: DataFrame) -> DataFrame:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gain, length, end = shared.value
+        known, gain, length, end, grams, log10p = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, _, w, keys, _, _, inverse in _distinct(batch):
+            for a, b, data, ends, w, keys, _, _, inverse in _distinct(batch):
                 n = b - a
                 at = np.searchsorted(known, keys)
                 at[at == len(known)] = 0
                 hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
                 found = hit[inverse]
-                score = np.bincount(w.row[found], length[at[inverse[found]]], n) + end
                 part = np.bincount(w.row[found], gain[at[inverse[found]]], n)
                 seen = np.bincount(w.row[found], gain[at[inverse[found]]] > 0, n).astype(np.int64)
                 missing = ~found
                 pair, times = _pairs(w.row[missing], inverse[missing], len(keys))
                 offsets = np.searchsorted(pair // max(len(keys), 1), np.arange(n + 1))
+                if grams is None:
+                    score = np.bincount(w.row[found], length[at[inverse[found]]], n) + end
+                    lost = [pa.nulls(n, pa.list_(pa.int64()))] * 2
+                else:
+                    score, *lost = _gram_score(data, w, ends, grams, log10p)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row + np.arange(n)),
@@ -284,26 +338,55 @@ def _score(shared):
                         pa.array(score),
                         T.int_lists(keys[pair % max(len(keys), 1)], offsets),
                         T.int_lists(times, offsets),
+                        *lost,
                     ],
-                    ["row", "doc_id", "n_tokens", "seen", "part", "score", "missing", "times"],
+                    ["row", "doc_id", "n_tokens", "seen", "part", "score", "missing", "times", "lost", "lost_times"],
                 )
                 row += n
 
     return run
 
 
+def _gram_score(data: np.ndarray, w: T.Words, offsets: np.ndarray, grams: np.ndarray, log10p: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of each text, what the grams of the table come to, and the others with their times."""
+    score, lost, often, count = np.zeros(len(offsets) - 1), [], [], []
+    for a, b, gram, row in _text_grams(data, w, offsets):
+        at = np.searchsorted(grams, gram)
+        at[at == len(grams)] = 0
+        found = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
+        score[a:b] = np.bincount(row[found], log10p[at[found]], b - a)
+        order = np.lexsort((gram[~found], row[~found]))
+        g, r = gram[~found][order], row[~found][order]
+        new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]))[: len(g)])
+        lost.append(g[new])
+        often.append(np.diff(np.append(new, len(g))))
+        count.append(np.bincount(r[new], minlength=b - a))
+    places = np.cumsum(np.concatenate([[0], *count]))
+    return score, T.int_lists(np.concatenate(lost), places), T.int_lists(np.concatenate(often), places)
+
+
 def _pairs(row: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(row * size + word, return_counts=True)
 
 
-def code_lengths(docs: DataFrame, learn: Column) -> DataFrame:
+def _least(counts: DataFrame) -> int:
+    """The exponent of the count, by powers of two, from which on TABLE rows at most have it in column n."""
+    sizes = {r["k"]: r["c"] for r in counts.where("n > 0").groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("k")).agg(F.count("*").alias("c")).collect()}
+    least, room = 64, TABLE
+    while least and (room := room - sizes.get(least - 1, 0)) >= 0:
+        least -= 1
+    return least
+
+
+def code_lengths(docs: DataFrame, learn: Column, across: bool = False) -> DataFrame:
     """Score every whole text; the rows where ``learn`` holds teach counts and tree.
 
     Words are runs of bytes other than space and 09-0D, A-Z lower-cased; null texts count
     as empty, and every text has one end mark, counted as a token. Rows are returned one
     for one, repeated ones too; an empty table gives an empty result. With no training
     rows every bit has probability 1/2. Words are counted by a 64-bit hash. Other columns
-    are ignored. A null ``learn`` teaches nothing.
+    are ignored. A null ``learn`` teaches nothing. With ``across`` contexts reach over the
+    borders of words, as in the tree of a whole text; without it they start anew at each word.
 
     Returns doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score
     (add-one unigram, log10), score (the tree's log10 probability of the text).
@@ -317,31 +400,41 @@ def code_lengths(docs: DataFrame, learn: Column) -> DataFrame:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_tokens, distinct = total["n"] + texts, total["v"] + (texts > 0)
 
-    held = words.mapInArrow(_grams, "key bigint, gram bigint, times bigint, n bigint")
-    mark = spark.createDataFrame([(_BOUNDARY << 8 | END, texts)], "gram bigint, n bigint")
-    grams = cut(held.select("gram", "n").unionByName(mark).groupBy("gram").agg(F.sum("n").alias("n")))
-    lengths = cut(gram_lengths(grams))
+    if across:
+        held = source.select("learn", "text").mapInArrow(_count_grams, "gram bigint, n bigint")
+        grams = cut(held.groupBy("gram").agg(F.sum("n").alias("n")))
+        lengths = cut(gram_lengths(grams))
+        known, end = words.select("key", "n", F.lit(0.0).alias("length")), 0.0
+    else:
+        held = words.mapInArrow(_grams, "key bigint, gram bigint, times bigint, n bigint")
+        mark = spark.createDataFrame([(_BOUNDARY << 8 | END, texts)], "gram bigint, n bigint")
+        grams = cut(held.select("gram", "n").unionByName(mark).groupBy("gram").agg(F.sum("n").alias("n")))
+        lengths = cut(gram_lengths(grams))
+        end = lengths.where(F.col("gram") == (_BOUNDARY << 8 | END)).first()["log10p"]
+        coded = held.select("key", "gram", "times").join(lengths.hint("merge"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("log10p")).alias("length"))
+        known = cut(words.select("key", "n").join(coded.hint("merge"), "key"))
+        drop(words, lengths)
+
+    often = known.where(F.col("n") >= F.lit(2.0) ** _least(known)).toArrow().sort_by("key")
+    table = (None, None)
+    if across:
+        chosen = grams.where(F.col("n") >= F.lit(2.0) ** _least(grams)).select("gram")
+        most = lengths.join(F.broadcast(chosen), "gram").toArrow().sort_by("gram")  # TABLE rows at most
+        table = tuple(most.column(c).to_numpy() for c in ("gram", "log10p"))
     drop(grams)
-    end = lengths.where(F.col("gram") == (_BOUNDARY << 8 | END)).first()["log10p"]
-    coded = held.select("key", "gram", "times").join(lengths.hint("merge"), "gram").groupBy("key").agg(F.sum(F.col("times") * F.col("log10p")).alias("length"))
-    known = cut(words.select("key", "n").join(coded.hint("merge"), "key"))
-    drop(words, lengths)
-
-    # the count from which words are few enough for the table, by powers of two
-    sizes = {r["k"]: r["c"] for r in known.where("n > 0").groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("k")).agg(F.count("*").alias("c")).collect()}
-    least, room = 64, TABLE
-    while least and (room := room - sizes.get(least - 1, 0)) >= 0:
-        least -= 1
-    often = known.where(F.col("n") >= F.lit(2.0) ** least).toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast((often.column("key").to_numpy(), np.log10(often.column("n").to_numpy() + 1.0), often.column("length").to_numpy(), end))
-    schema = f"row bigint, doc_id {kind}, n_tokens bigint, seen bigint, part double, score double, missing array<bigint>, times array<bigint>"
+    shared = spark.sparkContext.broadcast((often.column("key").to_numpy(), np.log10(often.column("n").to_numpy() + 1.0), often.column("length").to_numpy(), end, *table))
+    schema = f"row bigint, doc_id {kind}, n_tokens bigint, seen bigint, part double, score double, missing array<bigint>, times array<bigint>, lost array<bigint>, lost_times array<bigint>"
     rows = cut(source.select("doc_id", "text").mapInArrow(_score(shared), schema))
 
     lost = rows.select("row", F.explode(F.arrays_zip("missing", "times")).alias("x")).select("row", F.col("x.missing").alias("key"), F.col("x.times").alias("times"))
     gained = F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain")
     found = lost.join(known.hint("merge"), "key").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), gained, F.sum(F.col("times") * F.col("length")).alias("rest"))
     end_gain, norm = math.log10(texts + 1), math.log10(n_tokens + distinct + 1)
-    out = rows.drop("missing", "times").join(found.hint("merge"), "row", "left")
+    out = rows.drop("missing", "times", "lost", "lost_times").join(found.hint("merge"), "row", "left")
+    if across:
+        rare = rows.select("row", F.explode(F.arrays_zip("lost", "lost_times")).alias("x")).select("row", F.col("x.lost").alias("gram"), F.col("x.lost_times").alias("times"))
+        rare = rare.join(lengths.hint("merge"), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log10p")).alias("rare"))
+        out = out.join(rare.hint("merge"), "row", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)) + F.coalesce("rare", F.lit(0.0)))
     base = F.col("part") + F.coalesce("gain", F.lit(0.0)) + F.lit(end_gain) - F.col("n_tokens") * F.lit(norm)
     n_known = F.col("seen") + F.coalesce("more", F.lit(0)) + F.lit(int(texts > 0))
     score = F.col("score") + F.coalesce("rest", F.lit(0.0))

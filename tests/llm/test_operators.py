@@ -288,6 +288,29 @@ def test_context_tree_weighting_by_hand(spark):
     assert got["score"] == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("table", [0, 8, 1 << 18])
+def test_context_tree_reaches_over_words(spark, monkeypatch, table):
+    """The contexts of a whole text by hand, whatever part of its grams the table holds; a text that teaches nothing too."""
+    monkeypatch.setattr(context_tree, "TABLE", table)
+    d = context_tree.DEPTH
+    texts = [(1, "Abab ab\n ba", True), (2, "ba ab zab", False), (3, None, True), (4, " ", False)]
+
+    def coded(text):
+        line = " " * d + "".join(f"{w} " for w in (text or "").lower().split()) + "\n"
+        return [(tuple(line[k - d : k].encode()), ord(line[k])) for k in range(d, len(line))]
+
+    training = [x for _, t, learn in texts if learn for x in coded(t)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, learn boolean")
+    got = {r["doc_id"]: r["score"] for r in context_tree.code_lengths(df, F.col("learn"), across=True).collect()}
+    for i, t, _ in texts:
+        want = 0.0
+        for c, s in coded(t):
+            for k in range(8):
+                p = _tree_by_hand(c, s, [(s >> (7 - j)) & 1 for j in range(k)], training, d)
+                want += math.log10(p if (s >> (7 - k)) & 1 else 1 - p)
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 def test_context_tree_edges(edges, empty):
     got = context_tree.code_lengths(edges, F.col("doc_id") != 7).collect()
     assert len(got) == len(EDGES) and all(r["score"] < 0 for r in got)
