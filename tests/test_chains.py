@@ -122,3 +122,63 @@ def test_stream_appends_in_order_of_time(spark, tmp_path):
             last = own
     assert sorted(tuple(r)[:5] for r in found if r["status"] == chains.APPENDED) == want
     assert sorted((r["chain"], r["seq"], r["event_id"]) for r in found if r["status"] == chains.SILENT) == [(1, 40, 139), (1, 41, 500), (2, 20, 219)]
+
+
+def test_events_that_come_together_wait_as_one_entry():
+    """State entries do not grow with the events of a batch, and what waits is linked in order of time."""
+    import pandas as pd
+
+    class State(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+        appendValue = list.append
+
+    class Head:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    class Handle:
+        getValueState, getListState, registerTimer = (lambda *_: Head()), (lambda *_: State()), (lambda *_: None)
+
+    class Times:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    x = chains.Appender()
+    x.init(Handle())
+    n = 500
+    batch = lambda a: pd.DataFrame({"ts": pd.to_datetime([1000 * (n - i) + a for i in range(n)], unit="ms"), "event_id": range(n), "payload": [None if i % 7 == 0 else f'"{i}é\n' for i in range(n)]})
+    for a in (0, 500):
+        assert list(x.handleInputRows((1,), iter([batch(a)]), None)) == []
+    assert len(x.waiting) == 2
+    head, seen = chains.ZERO, 0
+    rows = sorted((int(t.value), i, p) for a in (0, 500) for t, i, p in batch(a).itertuples(index=False, name=None))
+    for mark in (100_000, 10_000_000):
+        for r in pd.concat(x.handleExpiredTimer((1,), Times(mark), None)).itertuples(index=False):
+            if r.status == chains.APPENDED:
+                assert (r.seq, r.event_id, r.previous_hash) == (seen, rows[seen][1], head)
+                head, seen = chains.link(seen, head, rows[seen][2]), seen + 1
+                assert r.event_hash == head
+        assert len(x.waiting) <= 1
+    assert seen == 2 * n and not x.waiting
