@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigate.llm._filter import bit_words, marked
 from lexigate.llm._graph import components
 from lexigate.llm._session import cut, drop
 
@@ -38,12 +39,32 @@ def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
     return met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets"))
 
 
+def met_buckets(lists: DataFrame) -> DataFrame:
+    """(key, node, meets) as ``shared_buckets`` gives them, for ``lists`` (node, mins) where nodes may come repeatedly.
+
+    The least and the greatest node of each key tell whether two nodes have it. They combine before the exchange,
+    so that no key is hot there, and a filter of bits lets only rows of shared keys, and a few others, go round again.
+    """
+    exploded = lists.select("node", F.explode("mins").alias("key"))
+    ends = exploded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = cut(ends.where("lo <> hi").select("key"))
+    words = cut(bit_words(shared))
+    own = marked(exploded, words, "key").where("hit_").select("key", "node").distinct()
+    met = cut(own.join(shared.hint("merge"), "key", "left_semi"))
+    drop(shared, words)
+    size = met.groupBy("key").agg(F.count("*").alias("size"))
+    meets = met.join(size.hint("merge"), "key").groupBy("node").agg(F.sum("size").alias("meets"))
+    out = cut(met.join(meets.hint("merge"), "node").select("key", "node", "meets"))
+    drop(met)
+    return out
+
+
 def least_shared(key: Column, x: Side, y: Side) -> Column:
     """Whether a key is the least of those that two nodes share."""
     return key == F.array_min(F.array_intersect(x("keys"), y("keys")))
 
 
-def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared, close: Callable[[Side, Side], Column] = lambda x, y: F.lit(True), picks: int = 1, among: int = 1) -> DataFrame:
+def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side, Side], Column], confirm: Callable[[DataFrame], DataFrame], rounds: int, first: Callable[[Column, Side, Side], Column] = least_shared, close: Callable[[Side, Side], Column] = lambda x, y: F.lit(True), picks: int = 1, among: int = 1, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) over all confirmed links between nodes that share a bucket.
 
     ``buckets`` has (key, node) and may have meets, ``nodes`` has node and the columns that ``near`` and
@@ -61,6 +82,7 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
     out buckets of FEW members, which the last step settles as cheaply.
     At last every two members of one bucket that still lie in different components are
     compared, so no component is left split; pairs inside a component need no comparison.
+    ``last`` does that by itself, from (key, node, comp) to the confirmed pairs as (u, v).
     """
     columns = [c for c in nodes.columns if c != "node"]
 
@@ -107,6 +129,11 @@ def bucket_components(buckets: DataFrame, nodes: DataFrame, near: Callable[[Side
         before, labelled = labelled, _label(labelled.select("key", "node"), links)
         drop(before)
 
+    if last is not None:
+        links.append(last(labelled))
+        out = components(_all(links))
+        drop(labelled, *links)
+        return out
     groups = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = groups.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     member = labelled.join(main.hint("merge"), "key").withColumnRenamed("node", "m")

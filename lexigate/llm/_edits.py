@@ -8,6 +8,8 @@ import numpy as np
 WIDE, CELLS = 16, 1 << 20
 #: Pairs from which a group of one width is worth its columns, and at most in a chunk.
 FEWEST, MOST = 16, 2048
+#: Letters of a text up to which it is compared here, and how many of them at a time with the other's.
+LONGEST, STEP = 1 << 14, 32
 
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
@@ -29,8 +31,24 @@ def _flat(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair, position, starts[pair] + position
 
 
-def _chunk(a: np.ndarray, b: np.ndarray, starts: tuple[np.ndarray, np.ndarray], m: np.ndarray, n: np.ndarray, wide: int, letters: int) -> np.ndarray:
-    """Distances of pairs whose first text fills ``wide`` words; the second ones come longest first."""
+def _alike(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, left: np.ndarray, way: int) -> np.ndarray:
+    """Letters that each pair of texts has in common from places i and j on, of ``left`` at most; way -1: backwards."""
+    out, live, step = np.zeros(len(i), np.int64), np.flatnonzero(left > 0), np.arange(STEP)
+    while len(live):
+        at = np.minimum(out[live, None] + step, left[live, None] - 1)
+        differ = a[i[live, None] + way * at] != b[j[live, None] + way * at]
+        found = differ.any(axis=1)
+        out[live] = np.minimum(out[live] + np.where(found, differ.argmax(axis=1), STEP), left[live])
+        live = live[~found & (out[live] < left[live])]
+    return out
+
+
+def _chunk(a: np.ndarray, b: np.ndarray, starts: tuple[np.ndarray, np.ndarray], m: np.ndarray, n: np.ndarray, wide: int, letters: int, band: int) -> np.ndarray:
+    """Distances of pairs whose first text fills ``wide`` words; the second ones come longest first.
+
+    Only the words of a column that hold rows at most ``band`` from the diagonal are looked at (Ukkonen 1985):
+    distances up to the band are exact, and what is told beyond it is no less than the distance.
+    """
     pair, at, place = _flat(m, starts[0])
     masks = np.zeros((wide, len(m) * letters), np.uint64)
     np.add.at(masks.reshape(-1), (at // 64) * masks.shape[1] + pair * letters + a[place], _ONE << (at % 64).astype(np.uint64))
@@ -39,18 +57,23 @@ def _chunk(a: np.ndarray, b: np.ndarray, starts: tuple[np.ndarray, np.ndarray],
     column[at, pair] = b[place] + pair * letters
     active = np.searchsorted(-n, -np.arange(int(n[0])), "left")
     up, down = np.full((wide, len(m)), ~np.uint64(0)), np.zeros((wide, len(m)), np.uint64)
-    score, last = m.astype(np.int64), ((m - 1) % 64).astype(np.uint64)
+    last, high = ((m - 1) % 64).astype(np.uint64), min(wide - 1, band // 64)
+    score = m.astype(np.int64) if high == wide - 1 else np.full(len(m), 64 * (high + 1), np.int64)  # of the last row looked at
     for j, k in enumerate(active.tolist()):
         at = column[j, :k]
         more, less = _ONE, np.uint64(0)
-        for w in range(wide):
+        if high < min(wide - 1, (j + 1 + band) // 64):
+            high += 1
+            score += 64 if high < wide - 1 else m - 64 * (wide - 1)
+        for w in range(max(0, j - band) // 64, high + 1):
             same, pv, mv = masks[w].take(at), up[w, :k], down[w, :k]
             vertical = same | mv
             same |= less
             horizontal = (((same & pv) + pv) ^ pv) | same
             plus, minus = mv | ~(horizontal | pv), pv & horizontal
-            if w == wide - 1:
-                score[:k] += ((plus >> last[:k]) & _ONE).view(np.int64) - ((minus >> last[:k]) & _ONE).view(np.int64)
+            if w == high:
+                row = last[:k] if high == wide - 1 else _TOP
+                score[:k] += ((plus >> row) & _ONE).view(np.int64) - ((minus >> row) & _ONE).view(np.int64)
             shifted, lower = plus << _ONE | more, minus << _ONE | less
             more, less = plus >> _TOP, minus >> _TOP
             up[w, :k] = lower | ~(vertical | shifted)
@@ -58,23 +81,30 @@ def _chunk(a: np.ndarray, b: np.ndarray, starts: tuple[np.ndarray, np.ndarray],
     return score
 
 
-def distances(a: list[str], b: list[str]) -> np.ndarray:
+def distances(a: list[str], b: list[str], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distance of each pair; -1 where the pair is left to a plain comparison.
 
-    That holds for texts whose shorter one is empty or has over 64 * WIDE letters, and for the few of a rare width.
+    That holds for texts whose shorter one is empty, for those of which more than 64 * WIDE letters are
+    left between what both have in common at their ends, and for the few of a rare width. Distances
+    over ``most`` may be told as any number over it.
     """
     out = np.full(len(a), -1, np.int64)
     swap = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
     a, b = [x for x, _ in swap], [y for _, y in swap]
     m, n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    width = (m + 63) // 64
-    fit = np.flatnonzero((width > 0) & (width <= WIDE) & (n <= 128 * WIDE))
+    fit = np.flatnonzero((m > 0) & (n <= LONGEST))
     if len(fit) < FEWEST:
         return out
-    m, n, width = m[fit], n[fit], width[fit]
+    m, n = m[fit], n[fit]
+    most = m + n if most is None else most[fit]
     x, y, letters = _coded([a[i] for i in fit.tolist()], [b[i] for i in fit.tolist()])
     starts = np.cumsum(m) - m, np.cumsum(n) - n
-    for wide in np.unique(width).tolist():
+    begin = _alike(x, y, *starts, m, 1)
+    end = _alike(x, y, starts[0] + m - 1, starts[1] + n - 1, m - begin, -1)
+    starts, m, n = (starts[0] + begin, starts[1] + begin), m - begin - end, n - begin - end
+    out[fit] = np.where(m == 0, n, np.where(n - m > most, most + 1, -1))
+    width = np.where((out[fit] < 0) & (n <= 128 * WIDE), (m + 63) // 64, 0)
+    for wide in np.unique(width[(width > 0) & (width <= WIDE)]).tolist():
         group = np.flatnonzero(width == wide)
         if len(group) < FEWEST:
             continue
@@ -82,5 +112,5 @@ def distances(a: list[str], b: list[str]) -> np.ndarray:
         step = max(FEWEST, min(MOST, CELLS // (letters * wide)))
         for at in range(0, len(group), step):
             g = group[at : at + step]
-            out[fit[g]] = _chunk(x, y, (starts[0][g], starts[1][g]), m[g], n[g], wide, letters)
+            out[fit[g]] = _chunk(x, y, (starts[0][g], starts[1][g]), m[g], n[g], wide, letters, int(most[g].max()))
     return out

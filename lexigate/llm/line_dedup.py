@@ -8,13 +8,14 @@ between have both sorts, so that a word more or less keeps no pair apart. Nodes
 are confirmed by edit similarity alone, and each connected group keeps its first occurrence.
 Lengths and counted letters spare comparisons that cannot succeed.
 
-Buckets are never expanded into all their pairs: see ``_buckets``.
+Members of a bucket are compared in rounds (see ``_buckets``), and what these leave apart in
+blocks of members, so that pairs are never rows. That last step still compares every two of them.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
-from lexigate.llm._buckets import Side, bucket_components, shared_buckets
+from lexigate.llm._buckets import Side, bucket_components, met_buckets
 from lexigate.llm._edits import distances
 from lexigate.llm._filter import bit_filter, bit_words, marked, passes
 from lexigate.llm._session import cut, drop, prepare
@@ -313,31 +314,135 @@ TOGETHER, LETTERS = 8000, 1 << 22
 def within(a: list[str], b: list[str]) -> np.ndarray:
     """Whether each pair of lines has enough edit similarity."""
     most = np.array([int((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b, strict=True)], np.int64)
-    found = distances(a, b)
+    found = distances(a, b, most)
     for i in np.flatnonzero(found < 0).tolist():
         found[i] = edit_distance(a[i], b[i], int(most[i]))
     return found <= most
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines with enough edit similarity; columns: a, b, la, lb."""
+def _linked(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """u, v of the pairs (u, v, line of u, line of v) with enough edit similarity, many pairs at a time."""
     held: list[pa.RecordBatch] = []
     lines: tuple[list[str], list[str]] = ([], [])
     letters = 0
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held.append(batch.select([0, 1]))
-            for x, c in zip(lines, (2, 3), strict=True):
-                x.extend(batch.column(c).to_pylist())
-            letters += sum(pc.sum(pc.utf8_length(batch.column(c))).as_py() or 0 for c in (2, 3))
-        if held and (batch is None or len(lines[0]) >= TOGETHER or letters >= LETTERS):
+    for part in itertools.chain(parts, [None]):
+        if part is not None:
+            held.append(pa.RecordBatch.from_arrays(list(part[:2]), ["u", "v"]))
+            for x, column in zip(lines, part[2:], strict=True):
+                x.extend(column.to_pylist())
+                letters += pc.sum(pc.utf8_length(column)).as_py() or 0
+        if held and (part is None or len(lines[0]) >= TOGETHER or letters >= LETTERS):
             pairs = pa.Table.from_batches(held).combine_chunks()
-            mask = pa.array(within(*lines), pa.bool_())
-            for good in pairs.filter(mask).rename_columns(["u", "v"]).to_batches():
-                yield good
+            yield from pairs.filter(pa.array(within(*lines), pa.bool_())).to_batches()
             held, lines, letters = [], ([], []), 0
 
 
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines with enough edit similarity; columns: a, b, la, lb."""
+    return _linked(tuple(batch.columns) for batch in batches)
+
+
+#: Members of a bucket in a block on average, and pairs of members that are looked at together.
+BLOCK, LOOKED_AT = 64, 1 << 19
+#: Lengths of a band differ by less than this factor: linked lines lie in one band or in adjacent ones.
+BAND = 1.12
+
+
+def _members(column: pa.Array) -> dict[str, pa.Array]:
+    flat = column.flatten()
+    return {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
+
+
+def _padded(lists: pa.Array, fill: int) -> np.ndarray:
+    """Lists of keys as rows of one width."""
+    out = np.full((len(lists), 2 * BLOCKS), fill, np.int64)
+    size = pc.list_value_length(lists).to_numpy()
+    out[np.arange(2 * BLOCKS) < size[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _meeting(batches: Iterator[pa.RecordBatch], same: bool) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]:
+    """Pairs of members of two blocks of a bucket, or of one block, that are in different components, may be linked and share no lesser key.
+
+    Columns: key, x (and y unless ``same``).
+    """
+    for batch in batches:
+        key, sides = batch.column(0).to_numpy(), [batch.column(1), batch.column(1 if same else 2)]
+        size = [pc.list_value_length(c).to_numpy().astype(np.int64) for c in sides]
+        start = [np.cumsum(s) - s for s in size]
+        x, y = map(_members, sides)
+        number = lambda c: (x[c].to_numpy(), y[c].to_numpy())  # noqa: B023, E731
+        many = np.cumsum(size[0] * size[1])
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(many, LOOKED_AT + (many[at - 1] if at else 0), "right")))
+            each = size[0][at:to] * size[1][at:to]
+            row = np.repeat(np.arange(at, to), each)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            i, j = start[0][row] + place // size[1][row], start[1][row] + place % size[1][row]
+            at = to
+            comp, n = number("comp"), number("n")
+            ok = comp[0][i] != comp[1][j]
+            if same:
+                ok &= i < j
+            row, i, j = row[ok], i[ok], j[ok]
+            longer, differ = np.maximum(n[0][i], n[1][j]), np.abs(n[0][i] - n[1][j])
+            most = np.floor((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+            apart = sum(np.bitwise_count((a[i] ^ b[j]).view(np.uint64)).astype(np.int64) for a, b in map(number, RINGS))
+            ok = (differ <= most) & (apart <= 2 * most - differ)
+            row, i, j = row[ok], i[ok], j[ok]
+            if len(i):
+                a, b = _padded(x["mins"].take(pa.array(i)), 0), _padded(y["mins"].take(pa.array(j)), 0)
+                top = np.iinfo(np.int64).max
+                least = np.full(len(i), top)
+                for column in a.T:
+                    least = np.minimum(least, np.where((column != 0) & (b == column[:, None]).any(axis=1), column, top))
+                ok = least == key[row]
+                i, j = pa.array(i[ok]), pa.array(j[ok])
+                if len(i):
+                    yield x["node"].take(i), y["node"].take(j), x["line"].take(i), y["line"].take(j)
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _linked(_meeting(batches, True))
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _linked(_meeting(batches, False))
+
+
+def _block_links(found: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The last comparison of ``bucket_components``: members of a bucket meet in blocks, and pairs are never rows.
+
+    A bucket falls into bands of lengths and, by a hash, into blocks of about BLOCK members. Every block is compared
+    with itself and with the others of its band and the next, each two of them in the task that they are dealt to.
+    """
+
+    def last(labelled: DataFrame) -> DataFrame:
+        band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int").alias("band")
+        sized = labelled.join(found.select("node", "n").hint("merge"), "node").groupBy("key", band).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        member = F.struct("node", "comp", "n", *RINGS, "mins", "line").alias("member")
+        full = labelled.join(found.hint("merge"), "node").select("key", band, "node", "comp", member).join(sized.hint("merge"), ["key", "band"])
+        full = full.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        blocks = cut(full.groupBy("key", "band", "part").agg(F.collect_list("member").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+        inside = blocks.where("lo <> hi").select("key", "members").mapInArrow(_inside, "u bigint, v bigint")
+
+        def side(x: str, *more: str) -> DataFrame:
+            return blocks.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "part", *more)])
+
+        order = (F.col("band_y") == F.col("band_x") + 1) | ((F.col("band_y") == F.col("band_x")) & (F.col("part_x") < F.col("part_y")))
+        apart = F.least("lo_x", "lo_y") < F.greatest("hi_x", "hi_y")
+        two = side("x", "lo", "hi").join(side("y", "lo", "hi").hint("merge"), "key").where(order & apart).select("key", "band_x", "part_x", "band_y", "part_y")
+        for x in "xy":
+            two = two.join(side(x, "members").hint("merge"), ["key", f"band_{x}", f"part_{x}"])
+        between = two.select("key", "members_x", "members_y").mapInArrow(_between, "u bigint, v bigint")
+        links = cut(inside.unionByName(between))
+        drop(blocks)
+        return links
+
+    return last
+
+
 def _near(x: Side, y: Side) -> Column:
     """False only where lengths or counted letters rule the edit similarity out.
 
@@ -358,9 +463,8 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    nodes = source.select("text").mapInArrow(_index(min_words), "node bigint, mins array<bigint>").groupBy("node").agg(F.first("mins").alias("mins"))
-    nodes = cut(nodes)
-    buckets = cut(shared_buckets(nodes, F.col("mins")))
+    nodes = cut(source.select("text").mapInArrow(_index(min_words), "node bigint, mins array<bigint>"))
+    buckets = met_buckets(nodes)
     drop(nodes)
 
     bits = bit_filter(buckets.select("node"))
@@ -374,15 +478,21 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
         return both.select("a", "b", "la", "lb").mapInArrow(_confirm, "u bigint, v bigint")
 
-    comp = bucket_components(buckets, found.drop("line").withColumnRenamed("mins", "keys"), _near, confirm, ROUNDS, picks=PICKS)
+    comp = bucket_components(buckets, found.drop("line").withColumnRenamed("mins", "keys"), _near, confirm, ROUNDS, picks=PICKS, last=_block_links(found))
     drop(buckets, found)
-    own = rows.groupBy("node").agg(F.min(F.struct("row.doc_id", "line_no")).alias("at"))
+    own = rows.groupBy("node").agg(F.min(F.struct("row.doc_id", "line_no")).alias("at"), F.count("*").alias("times"))
     grouped = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct())
-    grouped = own.join(grouped.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = own.join(grouped.hint("merge"), "node", "left").where("times > 1 or component is not null").select("node", "at", F.coalesce("component", "node").alias("component"))
+    grouped = cut(grouped)
     least = grouped.groupBy("component").agg(F.min("at").alias("kept"))
-    kept = grouped.join(least.hint("merge"), "component").select("node", "kept")
-    judged = rows.select("row.doc_id", "row.version", "line_no", "node").join(kept.hint("merge"), "node")
-    return judged.select("doc_id", "version", "line_no", (F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).alias("first"))
+    kept = cut(grouped.join(least.hint("merge"), "component").select("node", "kept"))
+    drop(grouped)
+    words = cut(bit_words(kept.select("node")))
+    places = rows.select("row.doc_id", "row.version", "line_no", "node")
+    judged = marked(places, words, "node")
+    several = judged.where("hit_").join(kept.hint("merge"), "node", "left")
+    first = F.col("kept").isNull() | F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))
+    return several.select("doc_id", "version", "line_no", first.alias("first")).unionByName(judged.where("not hit_").select("doc_id", "version", "line_no", F.lit(True).alias("first")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed") -> DataFrame:

@@ -629,6 +629,44 @@ def test_distances_of_many_pairs(letters):
     assert line_dedup.within([], []).tolist() == [] and line_dedup.within(["a"], [""]).tolist() == [False]
 
 
+def test_members_of_a_bucket_meet_in_blocks(spark, monkeypatch):
+    """Lines around one passage, all in one bucket: every link is found, across blocks and bands too, and pairs are no rows."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    starts = [" ".join(word() for _ in range(rng.choice([3, 8, 9, 10]))) for _ in range(20)]
+    lines = [f"{x[: -1 - k]} {passage}" for x in starts for k in range(4)]
+    rings = line_dedup._rings([x.encode() for x in lines])
+    keys = [[7] * line_dedup.BLOCKS] * len(lines)
+    rows = [(i, x, *[int(r[i]) for r in rings], len(x), k) for i, (x, k) in enumerate(zip(lines, keys, strict=True))]
+    found = spark.createDataFrame(rows, "node bigint, line string, r0 bigint, r1 bigint, r2 bigint, r3 bigint, n int, mins array<bigint>")
+    labelled = spark.createDataFrame([(7, i, i // 2) for i in range(len(lines))], "key bigint, node bigint, comp bigint")
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if i // 2 != j // 2]
+    want = {p for p, good in zip(pairs, line_dedup.within(*[[lines[p[k]] for p in pairs] for k in (0, 1)]), strict=True) if good}
+    got = [tuple(sorted(r, reverse=True)) for r in line_dedup._block_links(found)(labelled).collect()]
+    assert 0 < len(want) < len(pairs) and len(got) == len(set(got)) and set(got) == want
+
+
+def test_distances_within_a_band():
+    """Distances up to the bound are exact, those over it stay over it; what both texts have in common at their ends goes first."""
+    rng = random.Random(9)
+    a, b, most = [], [], []
+    for _ in range(800):
+        x = [rng.choice("abc é") for _ in range(rng.choice([5, 64, 129, 300, 700]))]
+        y = list(x)
+        for _ in range(rng.randrange(len(x) // 5 + 2)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", rng.choice("abc é")])
+        a.append("".join(x))
+        b.append("".join(y))
+        most.append(rng.randrange(len(x) // 4 + 2))
+    told = [(x, y, k, d) for x, y, k, d in zip(a, b, most, distances(a, b, np.array(most)).tolist(), strict=True) if d >= 0]
+    assert len(told) > 700 and all(min(d, k + 1) == line_dedup.edit_distance(x, y, k) for x, y, k, d in told)
+    long = "x" * 3000  # beyond WIDE words, but for the ends
+    assert distances([f"{long}a"] * 20, [f"{long}bc"] * 20).tolist() == [2] * 20
+
+
 # 10: decontamination
 
 
