@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigate.llm._filter import bit_words, marked
 from lexigate.llm._graph import components
 from lexigate.llm._session import cut, drop
 
@@ -16,6 +18,8 @@ Side = Callable[[str], Column]
 
 #: One node in SAMPLE is looked at for hot keys, and at most so many keys are taken as hot.
 SAMPLE, HOT_KEYS = 64, 10_000
+#: Pairs of a key and a node that a task packs together.
+PACKED = 1 << 20
 #: Members of a bucket up to which the last comparison of all is no more work than the rounds before it.
 FEW = 8
 
@@ -39,24 +43,61 @@ def shared_buckets(nodes: DataFrame, keys: Column) -> DataFrame:
     return met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets"))
 
 
-def met_buckets(lists: DataFrame) -> DataFrame:
-    """(key, node, meets) as ``shared_buckets`` gives them, for ``lists`` (node, mins) where nodes may come repeatedly.
-
-    The least and the greatest node of each key tell whether two nodes have it. They combine before the exchange,
-    so that no key is hot there, and a filter of bits lets only rows of shared keys, and a few others, go round again.
+def packed_keys(batches: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """part, keys, nodes out of (keys, nodes) of equal length: those of a part in one row for each PACKED pairs, each pair once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for more in itertools.chain(batches, [None]):
+        if more is not None:
+            held.append(more)
+        if held and (more is None or sum(len(k) for k, _ in held) >= PACKED):
+            keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, nodes = _distinct(keys, nodes)
+            part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            ids, first = np.unique(part[order], return_index=True)
+            ends = pa.py_buffer(np.append(first * 8, len(part) * 8).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(ids), [None, ends, pa.py_buffer(x[order])]) for x in (keys, nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *packed], ["part", "keys", "nodes"])
+            held = []
+
+
+def _distinct(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order of keys, each once."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    again = np.append(False, keys[1:] == keys[:-1])
+    if again.any():  # nodes in order where a key has several
+        several = np.flatnonzero(again | np.append(again[1:], False))
+        several_ = several[np.lexsort((nodes[several], keys[several]))]
+        nodes[several] = nodes[several_]
+        new = ~again
+        new[1:] |= nodes[1:] != nodes[:-1]
+        keys, nodes = keys[new], nodes[new]
+    return keys, nodes
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node and the key's number of nodes, of the keys that two nodes or more have; whole parts come to one task."""
+    got = [[np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for batch in batches for c in (1, 2)]
+    keys, nodes = ([x for part in got[c::2] for x in part] for c in (0, 1))
+    if keys:
+        key, node = _distinct(np.concatenate(keys), np.concatenate(nodes))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        size = np.repeat(size, size)
+        met = size > 1
+        out = pa.Table.from_arrays([pa.array(x[met]) for x in (key, node, size)], ["key", "node", "size"])
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+
+def met_buckets(packed: DataFrame) -> DataFrame:
+    """(key, node, meets) as ``shared_buckets`` gives them, for rows of ``packed_keys``, where pairs may come repeatedly.
+
+    The pairs of a part meet in one task, as arrays of 16 bytes a pair, where sorting tells the shared keys; only
+    the pairs of these become rows.
     """
-    exploded = lists.select("node", F.explode("mins").alias("key"))
-    ends = exploded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = cut(ends.where("lo <> hi").select("key"))
-    words = cut(bit_words(shared))
-    own = marked(exploded, words, "key").where("hit_").select("key", "node").distinct()
-    met = cut(own.join(shared.hint("merge"), "key", "left_semi"))
-    drop(shared, words)
-    size = met.groupBy("key").agg(F.count("*").alias("size"))
-    meets = met.join(size.hint("merge"), "key").groupBy("node").agg(F.sum("size").alias("meets"))
-    out = cut(met.join(meets.hint("merge"), "node").select("key", "node", "meets"))
-    drop(met)
-    return out
+    met = packed.repartition("part").mapInArrow(_met, "key bigint, node bigint, size bigint")
+    return cut(met.select("key", "node", F.sum("size").over(Window.partitionBy("node")).alias("meets")))
 
 
 def least_shared(key: Column, x: Side, y: Side) -> Column:

@@ -8,8 +8,8 @@ between have both sorts, so that a word more or less keeps no pair apart. Nodes
 are confirmed by edit similarity alone, and each connected group keeps its first occurrence.
 Lengths and counted letters spare comparisons that cannot succeed.
 
-Members of a bucket are compared in rounds (see ``_buckets``), and what these leave apart in
-blocks of members, so that pairs are never rows. That last step still compares every two of them.
+Members of a bucket are compared with its most connected one (see ``_buckets``), and what that leaves
+apart in blocks of members, so that pairs are never rows. That last step still compares every two of them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.llm import _text as T
-from lexigate.llm._buckets import Side, bucket_components, met_buckets
+from lexigate.llm._buckets import Side, bucket_components, met_buckets, packed_keys
 from lexigate.llm._edits import distances
 from lexigate.llm._filter import bit_filter, bit_words, marked, passes
 from lexigate.llm._session import cut, drop, prepare
@@ -40,10 +40,12 @@ LONG_FROM, SHORT_TO = 10, 11
 DISTANCE = 64
 #: Edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.9
+#: Parts of the keys for each partition of a shuffle.
+PARTS = 4
 #: Words of the ring codes of a line's letters.
 RINGS = ["r0", "r1", "r2", "r3"]
 #: Rounds of comparing the members of a bucket with some of them, and with how many.
-ROUNDS, PICKS = 3, 4
+ROUNDS, PICKS = 1, 4
 
 _ZERO_DIGITS = T.LOWER.copy()
 _ZERO_DIGITS[0x30:0x3A] = 0x30
@@ -53,7 +55,7 @@ _FACTORS = np.random.default_rng(20240611).integers(1, 1 << 63, (BLOCKS, LONG_DE
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
     """Words and lines of a block: (words, word hashes, line begin, stop, row, number, first word)."""
-    norm = _ZERO_DIGITS[data]
+    norm = np.frombuffer(data.tobytes().translate(_ZERO_DIGITS.tobytes()), np.uint8)
     w = T.words(norm, offsets, T.ALNUM_WORDS)
     cut_at = np.flatnonzero(data == 10)
     begin = np.sort(np.concatenate([offsets[:-1], cut_at + 1]), kind="stable")
@@ -91,14 +93,16 @@ def _min_keys(h: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.nd
     edges = np.stack([first[keep], first[keep + 1]], axis=1).reshape(-1)
     if edges[-1] == len(h):
         edges = edges[:-1]
-    keys = np.empty((len(keep), 2, BLOCKS), np.uint64)
-    for j, factors in enumerate(_FACTORS):
-        total = np.full(len(keep), j, np.uint64)
-        for depth, f in enumerate(factors, 1):
-            total = total * _ODD + T.mix(np.minimum.reduceat(h * f, edges)[::2])
-            if depth == SHORT_DEPTH:
-                keys[:, 0, j] = T.mix(total)
-        keys[:, 1, j] = T.mix(total)
+    turned, least = np.empty(len(h), np.uint64), np.empty((BLOCKS, LONG_DEPTH, len(edges)), np.uint64)
+    for f, out in zip(_FACTORS.reshape(-1), least.reshape(-1, len(edges)), strict=True):
+        np.minimum.reduceat(np.multiply(h, f, out=turned), edges, out=out)
+    least = T.mix(least[:, :, ::2])
+    keys, total = np.empty((len(keep), 2, BLOCKS), np.uint64), np.arange(BLOCKS, dtype=np.uint64)[:, None]
+    for depth in range(LONG_DEPTH):
+        total = total * _ODD + least[:, depth]
+        if depth + 1 == SHORT_DEPTH:
+            keys[:, 0] = T.mix(total).T
+    keys[:, 1] = T.mix(total).T
     size = first[keep + 1] - first[keep]
     has = np.stack([size <= SHORT_TO, size >= LONG_FROM], axis=1)
     return keys[has].reshape(-1), np.concatenate([[0], np.cumsum(has.sum(axis=1) * BLOCKS)])
@@ -159,6 +163,28 @@ class _Judged:
         spaced = np.where(T.ALNUM_WORDS[self.norm], self.norm, np.uint8(0x20)).tobytes() if len(chosen) else b""
         return [b" ".join(spaced[self.begin[i] : self.stop[i]].split()) for i in self.keep[chosen].tolist()]
 
+    def lines(self, chosen: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The texts as one array, and their ring codes."""
+        line = self.keep[chosen]
+        inside = np.zeros(len(self.begin), bool)
+        inside[line] = True
+        first, last = np.searchsorted(self.words.start, self.begin), np.searchsorted(self.words.start, self.stop)
+        word = np.repeat(inside, last - first)  # lines follow one another, and so do their words
+        start, end = self.words.start[word], self.words.end[word]
+        size = (last - first)[line]
+        length = end - start + 1  # with a space after each word
+        at = np.cumsum(length) - length
+        data = self.norm.take(np.arange(length.sum()) + np.repeat(start - at, length), mode="clip")
+        data[at + length - 1] = 0x20
+        final = np.cumsum(size) - 1
+        stays = np.ones(len(data), bool)
+        stays[(at + length - 1)[final]] = False  # but for the last
+        data = data[stays]
+        bytes_ = np.add.reduceat(length, final - size + 1) - 1 if len(line) else np.zeros(0, np.int64)
+        edges = np.concatenate([[0], np.cumsum(bytes_)])
+        texts = pa.Array.from_buffers(pa.string(), len(line), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+        return texts, _ring_codes(data, edges[:-1])
+
     def keys(self, chosen: np.ndarray) -> pa.Array:
         if not len(chosen):
             return T.int_lists(np.zeros(0, np.int64), np.zeros(1, np.int64))
@@ -176,9 +202,13 @@ def _letters(texts: list[bytes]) -> np.ndarray:
     return (counts << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _rings(texts: list[bytes]) -> np.ndarray:
+def _ring_codes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """32 counts of letters of each normalised line as ring codes: RINGS words."""
-    return _RING[_tally(*_joined(texts), 32)].view(np.int64).T if texts else np.zeros((len(RINGS), 0), np.int64)
+    return _RING[_tally(data, begin, 32)].view(np.int64).T if len(begin) else np.zeros((len(RINGS), 0), np.int64)
+
+
+def _rings(texts: list[bytes]) -> np.ndarray:
+    return _ring_codes(*_joined(texts))
 
 
 def _sign(min_words: int, keys: bool = False):
@@ -197,21 +227,22 @@ def _sign(min_words: int, keys: bool = False):
     return run
 
 
-def _index(min_words: int):
-    """node and keys of the judged lines, each node once a block."""
+def _index(min_words: int, parts: int):
+    """Keys and nodes of the judged lines, packed by parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for _, _, data, offsets in T.blocks(batch):
                 x = _Judged(data, offsets, min_words)
                 once = np.sort(np.unique(x.node, return_index=True)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(x.node[once]), x.keys(once)], ["node", "mins"])
+                keys = x.keys(once)
+                yield keys.flatten().to_numpy(), np.repeat(x.node[once], np.diff(keys.offsets.to_numpy()))
 
-    return run
+    return lambda batches: packed_keys(found(batches), parts)
 
 
 def _rows(min_words: int, bits: np.ndarray):
-    """Judged lines; once a block those whose node is in the filter have text, signature, length and keys."""
+    """Judged lines; once a block those whose node is in the filter have text, signature and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,10 +253,9 @@ def _rows(min_words: int, bits: np.ndarray):
                 at = np.full(len(x.node), -1)
                 at[wanted] = np.arange(len(wanted))
                 place = pa.array(at, mask=at < 0)
-                raw = x.texts(wanted)
-                texts = [t.decode() for t in raw]
-                found = [pa.array(texts, pa.string()), *map(pa.array, _rings(raw)), pa.array([len(t) for t in texts], pa.int32()), x.keys(wanted)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), *[c.take(place) for c in found]], ["row", "line_no", "node", "line", *RINGS, "n", "mins"])
+                texts, rings = x.lines(wanted)
+                found = [texts, *map(pa.array, rings), pc.utf8_length(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x.row + a)), pa.array(x.number), pa.array(x.node), *[c.take(place) for c in found]], ["row", "line_no", "node", "line", *RINGS, "n"])
 
     return run
 
@@ -463,15 +493,14 @@ def line_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prepare(docs.sparkSession)
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    nodes = cut(source.select("text").mapInArrow(_index(min_words), "node bigint, mins array<bigint>"))
-    buckets = met_buckets(nodes)
-    drop(nodes)
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = met_buckets(source.select("text").mapInArrow(_index(min_words, parts), "part int, keys binary, nodes binary"))
 
     bits = bit_filter(buckets.select("node"))
     signed = source.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"), "text")
-    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, " + ", ".join(f"{r} bigint" for r in RINGS) + ", n int, mins array<bigint>"))
-    members = buckets.groupBy("node").agg(F.count("*").alias("keys"))
-    found = rows.where("line is not null").join(members.hint("merge"), "node", "left_semi")
+    rows = cut(signed.mapInArrow(_rows(min_words, bits), f"row struct<doc_id: {kind}, version: bigint>, line_no bigint, node bigint, line string, " + ", ".join(f"{r} bigint" for r in RINGS) + ", n int"))
+    members = buckets.groupBy("node").agg(F.collect_list("key").alias("mins"))
+    found = rows.where("line is not null").join(members.hint("merge"), "node")
     found = cut(found.groupBy("node").agg(*[F.first(c).alias(c) for c in ("line", *RINGS, "n", "mins")]))
 
     def confirm(pairs: DataFrame) -> DataFrame:

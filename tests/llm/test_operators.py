@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigate.llm import byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, queries, token_counts
+from lexigate.llm import _buckets, byte_bpe, context_tree, decontaminate, language_id, line_dedup, near_dedup, pairwise_quality, pii, quality_rules, queries, token_counts
 from lexigate.llm._buckets import bucket_components
 from lexigate.llm._edits import distances
 from lexigate.llm.vocabularies import PATTERN, vocabulary
@@ -667,6 +667,54 @@ def test_distances_within_a_band():
     assert distances([f"{long}a"] * 20, [f"{long}bc"] * 20).tolist() == [2] * 20
 
 
+def test_distances_of_rare_lengths():
+    """Pairs of any length are told together where few edits are allowed; each of these lengths occurs once."""
+    rng = random.Random(11)
+    a = ["".join(rng.choice("abcdefgh é") for _ in range(k)) for k in range(100, 1500, 35)]
+    b = []
+    for x in a:
+        y = list(x)
+        for at in rng.sample(range(len(x)), 5):
+            y[at] = rng.choice(["", "z", f"{y[at]}y"])
+        b.append("".join(y))
+    found = distances(a, b, np.full(len(a), 60))
+    assert found.min() >= 0 and found.tolist() == [line_dedup.edit_distance(x, y, 60) for x, y in zip(a, b, strict=True)]
+
+
+def test_keys_meet_in_packed_parts(spark, monkeypatch):
+    """Every key that two nodes have, with all of its nodes; meets are the sizes of a node's buckets summed up."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(_buckets, "PACKED", 50)
+    rng = np.random.default_rng(4)
+    keys, nodes = rng.integers(-60, 60, 400) * 977, rng.integers(0, 30, 400)
+    packed = pa.Table.from_batches(list(_buckets.packed_keys(iter([(keys[:0], nodes[:0]), *[(keys[i : i + 20], nodes[i : i + 20]) for i in range(0, 400, 20)]]), 7)))
+    assert packed.num_rows > 7
+    held = collections.defaultdict(set)
+    for k, n in zip(keys.tolist(), nodes.tolist(), strict=True):
+        held[k].add(n)
+    sizes = collections.Counter()
+    for found in held.values():
+        sizes.update({n: len(found) for n in found if len(found) > 1})
+    want = sorted((k, n, sizes[n]) for k, found in held.items() if len(found) > 1 for n in found)
+    assert sorted(map(tuple, _buckets.met_buckets(spark.createDataFrame(packed)).collect())) == want and len(want) < 400
+    none = spark.createDataFrame([], "part int, keys binary, nodes binary")
+    assert _buckets.met_buckets(none).count() == 0
+
+
+def test_texts_of_chosen_lines(rows):
+    """Normalised lines are cut out in one go, and their counted letters with them."""
+    import pyarrow as pa
+
+    texts = [x or "" for _, x in rows] + ["", "\n\n", "  a,b;c d  é!\n!!1 2 33 d e f??\n", "今天天气很好我们 x\n\na b c d e f é"]
+    for _, _, data, offsets in line_dedup.T.blocks(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])):
+        x = line_dedup._Judged(data, offsets, line_dedup.MIN_WORDS)
+        for chosen in (np.arange(len(x.node)), np.arange(0, len(x.node), 3), np.arange(0)):
+            want = x.texts(chosen)
+            got, rings = x.lines(chosen)
+            assert [t.encode() for t in got.to_pylist()] == want and np.array_equal(rings, line_dedup._rings(want))
+
+
 # 10: decontamination
 
 
