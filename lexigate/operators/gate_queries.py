@@ -12,8 +12,8 @@ SRC, TGT = F.col, F.col
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(conv_id, turn, source, target): a user turn and the assistant turn after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """(conv_id, turn, source, target): a user turn and the assistant turn after it; nulls come last, as in SQL."""
+    w = Window.partitionBy("conv_id").orderBy(*[F.asc_nulls_last(c) for c in ("turn", "role", "text")])
     c = table(spark, d, "conversations").withColumn("next_role", F.lead("role").over(w)).withColumn("target", F.lead("text").over(w))
     return c.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("source"), "target")
 

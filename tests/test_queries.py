@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,19 @@ def test_negation_and_severity(spark):
     assert [r[0] for r in df.select(gates.severity(F.col("m"))).collect()] == ["CRITICAL", "CRITICAL", "CRITICAL", "MAJOR", "MINOR", "MAJOR", "MAJOR"]
 
 
+def test_negation_beside_letters_beyond_ascii(spark, tmp_path):
+    """A word ends at any letter but A-Z, as in SQL; null turns, roles and texts come last there."""
+    sources = ["adoja noítaga", "del ñno", "NOé", "no2 _not nora", "do not", "won't é", "plain"]
+    rows = [(i, t, r, x) for i, s in enumerate(sources) for t, r, x in ((0, "user", s), (1, "assistant", "rien" if i == 4 else "oui"))]
+    rows += [(20, None, "assistant", "oui"), (20, 0, "user", "not"), (21, None, "user", "not"), (21, 0, "assistant", "oui"), (22, 0, "user", "not"), (22, 0, None, "oui"), (22, 1, "assistant", "oui"), (23, 0, "user", None), (23, 0, "user", "not"), (23, 1, "assistant", "oui")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for name in ("gate_negation_fr", "gate_sentiment_es"):
+        assert not difference(catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLE_SQL[name], con)
+    assert sorted(r["conv_id"] for r in catalogue.QUERIES["gate_negation_fr"](spark, str(tmp_path)).collect()) == [0, 1, 2, 5, 20]
+
+
 def test_gates_of_other_scripts(spark):
     ar = _gate(spark, gates.script_numbers, [("5 and 12", "٥ و ١٢"), ("5", "٦")], "ar")
     assert [len(x) for x in ar] == [0, 1]
