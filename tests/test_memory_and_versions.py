@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -43,6 +44,26 @@ def test_best_match_of_every_segment(spark, threshold):
     assert memory.best_matches(spark.createDataFrame([], SEGMENT), spark.createDataFrame(stored, SEGMENT)).count() == 0
 
 
+def test_memory_writes_words_once_and_shuffles_few(spark):
+    """What stays under the checkpoint folder is smaller than the documents, and only words of marked lines are read again."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    held = lambda: {p: p.stat().st_size for p in Path(folder).glob("lexigate-memory-*/*.parquet")}
+    before = held()
+    assert memory.memory_best_segments(spark, "/root/testdata/sf0.01").count() == 2804
+    assert sum(n for p, n in held().items() if p not in before) < Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+    rows = spark.range(20_000).selectExpr("id * 7 AS line", "'w' AS words")
+    ids = spark.range(0, 20_000, 40).selectExpr("id * 7 AS x")
+    got = [r["line"] for r in memory._marked(rows, "line", ids).collect()]
+    assert {i * 7 for i in range(0, 20_000, 40)} <= set(got) and len(got) == len(set(got)) < 600
+
+
+def test_null_owners_match_nothing(spark):
+    rows = [(None, 1, "a b c d e f g"), (1, 2, "a b c d e f g"), (2, 3, "g f e d c b a"), (None, 4, "a b c d e f g h"), (3, 5, "a b c d e f g i")]
+    segments = spark.createDataFrame(rows, SEGMENT)
+    got = sorted(map(tuple, memory.best_matches(segments, segments).collect()))
+    assert got == [(1, 2, 2, 3, 1.0), (2, 3, 1, 2, 1.0), (3, 5, 1, 2, 0.875)]
+
+
 def test_parts_of_similar_sets_meet_and_others_do_not(spark):
     """Sets over few tokens: all similar pairs are found, and keys are few and mostly of one set."""
     rng = random.Random(3)
