@@ -1,8 +1,9 @@
 """Datasets of evaluation cases in JSON, JSON lines and CSV, as one schema, with rejects.
 
 Files are found and read by Spark's own readers, so that they may lie in any store. Lines of a
-JSON-lines file are split over tasks like any text; JSON and CSV files are read one to a row, since
-neither can be cut. What does not parse costs only its own case, or its file where there is no
+JSON-lines file are split over tasks like any text; a JSON file is one row, since it cannot be
+cut. A CSV file cannot be cut either, but its lines pass one task as a stream, in order, so that a
+task holds a case and not the file. What does not parse costs only its own case, or its file where there is no
 case to tell apart, and is kept with a reason.
 """
 
@@ -11,7 +12,8 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +27,8 @@ GLOBS = {"json": "*.json", "jsonl": "*.jsonl", "csv": "*.csv"}
 FIELD = (1 << 31) - 1
 CASES = "path string, suite string, case_id string, place bigint, input string, expected string, assertions array<string>, tags array<string>, metadata string, reason string"
 _NAMES = [x.split()[0] for x in CASES.split(", ")]
+#: Cases, and characters of them, that go back to Spark at once (one longer case goes alone).
+ROWS, CHARS = 1000, 1 << 22
 _LIST = pa.list_(pa.string())
 _KINDS = [*[pa.string()] * 3, pa.int64(), pa.string(), pa.string(), _LIST, _LIST, pa.string(), pa.string()]
 
@@ -76,11 +80,11 @@ def _of_json(path: str, text: str) -> Iterator[tuple]:
         yield _case(path, suite, i, case, f"case_{i}")
 
 
-def _of_csv(path: str, text: str) -> Iterator[tuple]:
-    """Cases of one CSV file with a header; input and expected hold JSON, empty ones an empty object."""
+def _of_csv(path: str, lines: Iterable[str]) -> Iterator[tuple]:
+    """Cases of the lines of one CSV file with a header; input and expected hold JSON, empty ones an empty object."""
     csv.field_size_limit(FIELD)
     try:
-        for i, row in enumerate(csv.DictReader(io.StringIO(text, newline="")), 1):
+        for i, row in enumerate(csv.DictReader(part for line in lines for part in io.StringIO(line + "\n", newline="")), 1):
             name = (row.get("id") or f"row_{i}").strip()
             try:
                 case = {"id": name, "input": json.loads(row.get("input") or "{}"), "expected": json.loads(row.get("expected") or "{}")}
@@ -100,16 +104,39 @@ def _of_line(path: str, text: str, place: int) -> Iterator[tuple]:
             yield _reject(path, _stem(path), f"line_{place}", place, "line is not JSON")
 
 
+def _packed(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of CASES as batches of ROWS rows and about CHARS characters at most."""
+    pack = lambda held: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held, strict=True), _KINDS, strict=True)], _NAMES)
+    held, chars = [], 0
+    for row in rows:
+        size = sum(len(row[i] or "") for i in (4, 5, 8))
+        if held and (len(held) == ROWS or chars + size > CHARS):
+            yield pack(held)
+            held, chars = [], 0
+        held.append(row)
+        chars += size
+    if held:
+        yield pack(held)
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield tuple(c[at].as_py() for c in batch.columns)
+
+
 def _rows(parse):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = list(parse(*row))
-                for at in range(0, len(found), 5000):
-                    part = list(zip(*found[at : at + 5000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(part, _KINDS, strict=True)], _NAMES)
+    return lambda batches: _packed(case for row in _stream(batches) for case in parse(*row))
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = groupby(_stream(batches), lambda row: row[0])
+    return _packed(case for path, rows in files for case in _of_csv(path, (line for _, line in rows)))
+
 
-    return run
+def _placed(files: DataFrame) -> DataFrame:
+    """(path, value, block, order): lines with the block of the file that they come from and their order in it."""
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("order"))
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -117,7 +144,7 @@ def _lines(files: DataFrame) -> DataFrame:
 
     A file's blocks are numbered apart; only one count a block is summed up over a file.
     """
-    x = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("order"))
+    x = _placed(files)
     inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("order"))
     counts = x.groupBy("path", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -134,8 +161,11 @@ def read_cases(spark: SparkSession, path: str, form: str, glob: str | None = Non
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob or GLOBS[form])
     if form == "jsonl":
         return _lines(reader.text(path)).mapInArrow(_rows(_of_line), CASES)
+    if form == "csv":
+        lines = _placed(reader.text(path, lineSep="\n")).repartition("path").sortWithinPartitions("path", "block", "order")
+        return lines.select("path", "value").mapInArrow(_csv_rows, CASES)
     whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.mapInArrow(_rows(_of_json if form == "json" else _of_csv), CASES)
+    return whole.mapInArrow(_rows(_of_json), CASES)
 
 
 def discover_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from lexigate.operators import suites
@@ -62,6 +65,43 @@ def test_long_fields_of_a_csv_file_are_read(spark, tmp_path):
     assert rejects.count() == 0
 
 
+def test_csv_lines_pass_as_a_stream():
+    """Cases come out before the file has been read; an error costs the rest of its own file only."""
+    read = []
+
+    def batches():
+        for i, lines in enumerate([["id,input,expected"], *[[f'c{i}{j},"{{""k"": ""{"x" * 5000}""}}",' for j in range(100)] for i in range(60)]]):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"path": ["f.csv"] * len(lines), "value": lines})
+        yield pa.RecordBatch.from_pydict({"path": ["g.csv"] * 3 + ["h.csv"] * 2, "value": ["id,input", "a,{}", "b\rc,{}", "id", "d"]})
+
+    out = datasets._csv_rows(batches())
+    first = next(out)
+    assert 0 < first.num_rows <= datasets.ROWS and len(read) < 15
+    rest = [r for b in out for r in b.to_pylist()]
+    assert first.num_rows + sum(r["path"] == "f.csv" for r in rest) == 6000
+    assert [(r["path"], r["case_id"]) for r in rest if r["path"] != "f.csv"] == [("g.csv", "a"), ("g.csv", "b"), ("g.csv", "c"), ("h.csv", "d")]
+
+
+def test_csv_files_that_are_split_are_read_in_order(spark, tmp_path):
+    """Quoted line ends of every kind, over the borders of blocks, against the csv module over the whole text."""
+    texts = {f"f{n}.csv": "id,input,expected\r\n" + "".join(f'n{i},"{{""t"": {i},{end * (i % 4)} ""u"": ""{"y" * (i % 90)}""}}",\r\n{end if i % 9 == 0 else ""}' for i in range(900)) for n, end in enumerate(["\n", "\r\n", "\r"])}
+    texts["open.csv"] = 'id,input\na,{}\nb,"{}'
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {(r["path"].rsplit("/", 1)[-1], r["place"]): (r["case_id"], r["input"], r["reason"]) for r in datasets.read_cases(spark, str(tmp_path), "csv").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {}
+    for name, text in texts.items():
+        for i, row in enumerate(csv.DictReader(io.StringIO(text, newline="")), 1):
+            want[name, i] = (row["id"], datasets.dumps(json.loads(row["input"])), None)
+    assert got == want and len(want) == 2702
+
+
 def test_golden_files_on_units_and_long_texts(spark, tmp_path):
     """Units in capitals are critical in a canonical copy too; a text of 70,000 letters is two long fields of a CSV file."""
     rows = [(2, "give 37L"), (4, "give 7 MG"), (5, "x" * 70_000), (8, "give 5 mg"), (10, "[[PII_1]]"), (11, "y")]
