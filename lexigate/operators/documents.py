@@ -108,6 +108,8 @@ def tm_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 #: Query vectors of one block, which is sent to every task, and stored vectors compared with them at a time.
 BLOCK, STEP = 4096, 512
+#: Vectors of one block where every vector is a query; a cell holds two blocks.
+CELL = 8192
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False, by: str | None = None) -> DataFrame:
@@ -138,22 +140,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool = False
                 batch = batch.filter(pc.is_valid(batch.column(1)))
                 for at in range(0, batch.num_rows, STEP):
                     part = batch.slice(at, STEP)
-                    kept = _keep(kept, ids, matrix, groups, part, code, k, cosine)
+                    own = np.array([code.get(g, -1) for g in part.column(2).to_pylist()])
+                    kept = _keep(kept, ids, matrix, groups, part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), np.float64), own, k, cosine)
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["q", "vec_id", "distance"])
 
         part = vectors.select("vec_id", "embedding", same.alias("group")).mapInArrow(best, "q bigint, vec_id bigint, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "q bigint, vec_id bigint, distance double, place bigint")
+    return _places(out, k)
+
+
+def _places(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id")).cast("bigint")
-    return out.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
 
+def nearest_of_each(vectors: DataFrame, k: int, by: str, cosine: bool = False) -> DataFrame:
+    """(q, vec_id, distance, place): what ``nearest`` gives where every vector is a query, among those of its value in ``by``.
 
-def _keep(kept: tuple, ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray, part: pa.RecordBatch, code: dict, k: int, cosine: bool) -> tuple:
+    All pairs of a value are compared, so the work grows with the square of its vectors. It is dealt over cells of two
+    blocks of about CELL vectors: a task holds one cell, whatever the input, and a vector is sent to as many cells as its value has blocks.
+    """
+    x = vectors.select("vec_id", "embedding", F.col(by).cast("string").alias("group")).dropna()
+    # one row for each CELL vectors at most
+    many = x.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("group", F.ceil(F.col("n") / CELL).alias("parts"))
+    x = x.join(F.broadcast(many), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    x = x.withColumn("own", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    cells = x.select("vec_id", "embedding", "own", "group", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"))
+
+    def best(cell: pa.Table) -> pa.Table:
+        ids, own = cell.column("vec_id").to_numpy(), cell.column("own").to_numpy()
+        matrix = np.array(cell.column("embedding").to_pylist(), np.float64)
+        low, high = own == cell.column("low")[0].as_py(), own == cell.column("high")[0].as_py()
+        found = []
+        for asked, stored in [(low, high), (high, low)][: 2 - int(low.all())]:
+            kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+            q, mine, same, rows, held = ids[asked], matrix[asked], np.zeros(asked.sum(), int), ids[stored], matrix[stored]
+            for at in range(0, len(rows), STEP):
+                part = slice(at, at + STEP)
+                kept = _keep(kept, q, mine, same, rows[part], held[part], np.zeros(len(rows[part]), int), k, cosine)
+            found.append(pa.table({"q": q[kept[0]], "vec_id": kept[1], "distance": kept[2]}))
+        return pa.concat_tables(found)
+
+    return _places(cells.groupBy("group", "low", "high").applyInArrow(best, "q bigint, vec_id bigint, distance double"), k)
+
+
+def _keep(kept: tuple, ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray, rows: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int, cosine: bool) -> tuple:
     """The k best (query, vector, distance) of those kept and of one more step of vectors."""
-    rows = part.column(0).to_numpy()
-    found = np.round(_block_distances(matrix, np.array(part.column(1).to_pylist(), np.float64), cosine), 6)
-    own = np.array([code.get(g, -1) for g in part.column(2).to_pylist()])
+    found = np.round(_block_distances(matrix, vectors, cosine), 6)
     found[(ids[:, None] == rows[None, :]) | (groups[:, None] != own[None, :]) | np.isnan(found)] = np.inf
     least = np.partition(found, min(k, found.shape[1]) - 1, axis=1)[:, min(k, found.shape[1]) - 1]
     q, v = np.nonzero((found <= least[:, None]) & (found < np.inf))
@@ -179,9 +214,8 @@ def vec_top3_l2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vec_top1_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vector of the same label by cosine distance, and the similarity clamped to 0..100."""
-    e = table(spark, d, "embeddings")
-    best = nearest(e, e.where("vec_id % 20 = 0"), 1, cosine=True, by="label").withColumn("cosine", F.round(1 - F.col("distance"), 6))
+    """Nearest vector of the same label for every vector, by cosine distance, and the similarity clamped to 0..100."""
+    best = nearest_of_each(table(spark, d, "embeddings"), 1, "label", cosine=True).withColumn("cosine", F.round(1 - F.col("distance"), 6))
     return best.select("q", "vec_id", "cosine", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * F.col("cosine"))), 4).alias("similarity"))
 
 
@@ -231,6 +265,6 @@ ORACLE_SQL = {
     "rebuilt_text": "SELECT conv_id, sha256(string_agg(text, '. ' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
 }
 ORACLE_SQL["vec_top3_l2"] = "WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum((q.v - e.v) * (q.v - e.v)), 6) AS distance FROM u q JOIN u e ON q.label = e.label AND q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS place FROM p) t WHERE place <= 3"
-ORACLE_SQL["vec_top1_cosine"] = "WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum(q.v * e.v) / sqrt(sum(q.v * q.v) * sum(e.v * e.v)), 6) AS cosine FROM u q JOIN u e ON q.label = e.label AND q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, cosine, round(greatest(0.0, least(100.0, 100 * cosine)), 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS r FROM p) t WHERE r = 1"
+ORACLE_SQL["vec_top1_cosine"] = "WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum(q.v * e.v) / sqrt(sum(q.v * q.v) * sum(e.v * e.v)), 6) AS cosine FROM u q JOIN u e ON q.label = e.label AND q.i = e.i AND q.vec_id <> e.vec_id GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, cosine, round(greatest(0.0, least(100.0, 100 * cosine)), 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) AS r FROM p) t WHERE r = 1"
 ORACLE_SQL["vec_nearest_all"] = "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(sum((q.v - e.v) * (q.v - e.v)), 6) AS distance FROM u q JOIN u e ON q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id) SELECT q, vec_id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS place FROM p) t WHERE place <= 3"
 ORACLE_SQL["memory_best_match"] = "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT q.vec_id AS q, e.vec_id, round(1 - sum(q.v * e.v) / sqrt(sum(q.v * q.v) * sum(e.v * e.v)), 6) AS distance FROM u q JOIN u e ON q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, e.vec_id), n AS (SELECT q, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS k FROM p) t WHERE k = 1 AND distance < 0.1), x AS (SELECT a.vec_id AS q, min(b.vec_id) AS vec_id FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id) SELECT e.vec_id AS q, coalesce(x.vec_id, n.vec_id) AS match, CASE WHEN x.q IS NOT NULL THEN 1.0 WHEN n.q IS NOT NULL THEN 0.9 END::DOUBLE AS score FROM embeddings e LEFT JOIN x ON x.q = e.vec_id LEFT JOIN n ON n.q = e.vec_id WHERE e.vec_id % 20 = 0"

@@ -97,6 +97,29 @@ def test_nearest_in_steps(spark, monkeypatch, cosine):
     assert documents.nearest(df.limit(0), df, 2).count() == documents.nearest(df, df.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [False, True])
+def test_nearest_of_each_in_cells(spark, monkeypatch, cosine):
+    """Every vector is a query, over one cell or many; nulls are near to nothing, ties go to the least id."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(1, 5, 3)] if i != 17 else None, None if i == 3 else 7 if i == 4 else int(i % 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    far = lambda x, y: 1 - np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)) if cosine else np.sum((np.array(x) - np.array(y)) ** 2)
+    want = []
+    for i, x, a in rows:
+        if x is not None and a is not None:
+            near = sorted((abs(round(float(far(x, y)), 6)), j) for j, y, b in rows if j != i and y is not None and a == b)[:2]
+            want += [(i, j, d, k) for k, (d, j) in enumerate(near, 1)]
+    for cell in (documents.CELL, 9):
+        monkeypatch.setattr(documents, "CELL", cell)
+        got = documents.nearest_of_each(df, 2, "label", cosine).collect()
+        assert sorted((a, b, abs(c), d) for a, b, c, d in got) == sorted(want)
+    assert documents.nearest_of_each(df.limit(0), 2, "label").count() == 0
+
+
+def test_top_cosine_of_every_vector(spark):
+    assert documents.vec_top1_cosine(spark, "/root/testdata/sf0.001").select("q").distinct().count() == 500
+
+
 def test_constraint_packs(spark):
     v = lambda *x: [float(y) for y in x]
     jobs = spark.createDataFrame([(1, 10, "g", "en-de", v(0, 0)), (2, 11, "h", "en-fr", v(0, 0)), (3, None, None, "en-de", None), (4, 10, "off", "xx", v(9, 9))], "job_id bigint, org_id bigint, glossary_id string, pair string, embedding array<double>")
